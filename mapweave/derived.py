@@ -106,6 +106,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def places_sql(value: str, count: int) -> str:
+    return f"floor(({value}) * 1e{count} + 0.5) / 1e{count}"
+
+
 def duck(body: str, *views: str) -> str:
     """DuckDB text: the named views as CTEs, then ``body`` (``WITH`` steps or a ``SELECT``)."""
     names: list[str] = []

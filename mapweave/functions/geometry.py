@@ -84,8 +84,9 @@ def area_covers(outer: Column, inner: Column) -> Column:
 def segment_ratio(ax: Column, az: Column, bx: Column, bz: Column, px: Column, pz: Column) -> Column:
     """Position of the nearest point along a segment, 0 to 1; 0 for a segment without length."""
     dx, dz = bx - ax, bz - az
-    squared = F.nullif((dx * dx + dz * dz).cast("double"), F.lit(0.0))
-    return F.coalesce(clamp(((px - ax) * dx + (pz - az) * dz) / squared, 0.0, 1.0), F.lit(0.0))
+    squared = (dx * dx + dz * dz).cast("double")
+    share = ((px - ax) * dx + (pz - az) * dz) / F.nullif(squared, F.lit(0.0))
+    return F.when(squared > 0, clamp(share, 0.0, 1.0)).otherwise(0.0)
 
 
 def segment_distance(ax: Column, az: Column, bx: Column, bz: Column, px: Column, pz: Column) -> Column:

@@ -97,7 +97,8 @@ def loose_flag(value: Column) -> Column:
 def road_layer(value: Column) -> Column:
     """Layer number within five levels of the ground; unreadable text is the ground."""
     text = F.when(F.trim(value) == "", F.lit("0")).otherwise(value)
-    return F.coalesce(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), _number(text))), F.lit(0.0))
+    number = _number(text)
+    return F.when(number.isNull(), 0.0).otherwise(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), number)))
 
 
 def appearance_tags(tags: Column) -> Column:

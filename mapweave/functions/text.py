@@ -11,6 +11,12 @@ def half_up(value: Column, scale: float = 1.0) -> Column:
     return F.floor(value * scale + 0.5)
 
 
+def places(value: Column, count: int) -> Column:
+    """Round half up by plain arithmetic, which every SQL engine repeats bit for bit."""
+    scale = float(10**count)
+    return F.floor(value * scale + 0.5).cast("double") / scale
+
+
 def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *parts), 256)
 

@@ -147,29 +147,36 @@ def strip_edges(points: DataFrame, width: str = "width", keys: list[str] = KEYS,
     """Left and right edge points of a mitred strip; the mitre is limited at sharp bends."""
     near = neighbors(points, keys, order, ["x", "z"], before="_prev", after="_next", block=block)
 
-    def direction(ax, az, bx, bz) -> Column:
-        length = gap(ax, az, bx, bz)
-        safe = F.nullif(length, F.lit(0.0))
-        return F.struct(
-            F.coalesce((bx - ax) / safe, F.lit(1.0)).alias("x"), F.coalesce((bz - az) / safe, F.lit(0.0)).alias("z")
-        )
-
-    inward = direction(F.col("_prev.x"), F.col("_prev.z"), F.col("x"), F.col("z"))
-    outward = direction(F.col("x"), F.col("z"), F.col("_next.x"), F.col("_next.z"))
-    turned = near.where(F.col("_prev").isNotNull() | F.col("_next").isNotNull()).withColumns({
-        "_in": F.when(F.col("_prev").isNotNull(), inward).otherwise(outward),
-        "_out": F.when(F.col("_next").isNotNull(), outward).otherwise(inward),
+    # Flat columns per step: Catalyst would inline structs at each use.
+    step_in, step_out = F.col("_prev").isNotNull(), F.col("_next").isNotNull()
+    measured = near.where(step_in | step_out).withColumns({
+        "_li": gap(F.col("_prev.x"), F.col("_prev.z"), F.col("x"), F.col("z")),
+        "_lo": gap(F.col("x"), F.col("z"), F.col("_next.x"), F.col("_next.z")),
+    })
+
+    def unit(difference: Column, length: str, still: float) -> Column:
+        return F.coalesce(difference / F.nullif(F.col(length), F.lit(0.0)), F.lit(still))
+
+    headed = measured.withColumns({
+        "_ix": F.when(step_in, unit(F.col("x") - F.col("_prev.x"), "_li", 1.0)),
+        "_iz": F.when(step_in, unit(F.col("z") - F.col("_prev.z"), "_li", 0.0)),
+        "_ox": F.when(step_out, unit(F.col("_next.x") - F.col("x"), "_lo", 1.0)),
+        "_oz": F.when(step_out, unit(F.col("_next.z") - F.col("z"), "_lo", 0.0)),
+    }).withColumns({
+        "_ix": F.coalesce("_ix", "_ox"), "_iz": F.coalesce("_iz", "_oz"),
+        "_ox": F.coalesce("_ox", "_ix"), "_oz": F.coalesce("_oz", "_iz"),
     })
     # Normals turn a direction (x, z) into (-z, x); the mitre is their normalised sum.
-    sum_x, sum_z = -F.col("_in.z") - F.col("_out.z"), F.col("_in.x") + F.col("_out.x")
-    sized = turned.withColumn("_len", F.sqrt(sum_x * sum_x + sum_z * sum_z))
+    sized = headed.withColumns({"_sx": -F.col("_iz") - F.col("_oz"), "_sz": F.col("_ix") + F.col("_ox")}).withColumn(
+        "_len", F.sqrt(F.col("_sx") * F.col("_sx") + F.col("_sz") * F.col("_sz"))
+    )
     folded = F.col("_len") < 0.001
     safe = F.when(folded, F.lit(1.0)).otherwise(F.col("_len"))
     sized = sized.withColumns({
-        "_mx": F.when(folded, -F.col("_out.z")).otherwise(sum_x / safe),
-        "_mz": F.when(folded, F.col("_out.x")).otherwise(sum_z / safe),
+        "_mx": F.when(folded, -F.col("_oz")).otherwise(F.col("_sx") / safe),
+        "_mz": F.when(folded, F.col("_ox")).otherwise(F.col("_sz") / safe),
     })
-    facing = F.abs(F.col("_mz") * F.col("_out.x") - F.col("_mx") * F.col("_out.z"))
+    facing = F.abs(F.col("_mz") * F.col("_ox") - F.col("_mx") * F.col("_oz"))
     half = F.col(width) / 2.0
     reach = F.least(half / F.greatest(F.lit(0.35), facing), half * 2.5)
     y = F.col("y") if "y" in points.columns else F.lit(0.035)

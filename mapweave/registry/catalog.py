@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 TOPICS = (
-    "features", "lines",
+    "features", "lines", "elevation", "spatial",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

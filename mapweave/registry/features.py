@@ -43,7 +43,9 @@ widths AS (SELECT area_id, way_id, source_id, highway, layer, bridge, tunnel, ac
   CASE WHEN w > 0 THEN w WHEN width_m > 0 THEN width_m WHEN lanes_n > 0 THEN greatest(3.0, lanes_n * 3.2) ELSE {CLASS_SQL} END AS road_width,
   CASE WHEN w > 0 THEN 'override' WHEN width_m > 0 THEN 'source' WHEN lanes_n > 0 THEN 'lanes' ELSE 'class' END AS width_source
   FROM parsed)"""
-LAYER_SQL = "coalesce(greatest(-5.0, least(5.0, try_cast(layer AS double))), 0.0)"
+LAYER_SQL = (
+    "CASE WHEN try_cast(layer AS double) IS NULL THEN 0e0 ELSE greatest(-5e0, least(5e0, try_cast(layer AS double))) END"
+)
 BRIDGE_SQL = "(bridge IS NOT NULL AND bridge NOT IN ('', 'no', 'false', '0'))"
 TUNNEL_SQL = "(tunnel IS NOT NULL AND tunnel NOT IN ('', 'no', 'false', '0'))"
 
