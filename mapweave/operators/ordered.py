@@ -1,9 +1,9 @@
-"""Order along a key: neighbours, running sums, positions and gap filling.
+"""Order along a key: neighbours, running values, positions, ranks and gap filling.
 
 A key of bounded size needs one plain window, and a chain of windows over the same key costs one shuffle and one sort
-in total. ``split_size`` counts the largest key once; when it is too large for one task it returns a block length, and
-the functions then cut each key into blocks of consecutive order numbers: windows run inside a block, and what crosses
-a block border comes from one summary row per block.
+in total. ``split_size`` counts the largest key once; when it is too large for one task it returns a number of pieces,
+and the functions then cut each key into that many ordered pieces: windows run inside a piece, and what crosses a border
+comes from one summary row per piece.
 """
 
 from __future__ import annotations
@@ -13,26 +13,32 @@ from pyspark.sql import functions as F
 
 from mapweave.session import cut_lineage
 
-BLOCK = 65_536
 TASK_ROWS = 1_000_000
 
 
 def split_size(df: DataFrame, keys: list[str], limit: int = TASK_ROWS) -> int | None:
-    """None while every key fits into one task, else the block length. One counting job."""
+    """None while every key fits into one task, else the number of pieces per key. One counting job."""
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return BLOCK if largest is not None and largest > limit else None
+    return None if largest is None or largest <= limit else 2 * -(-largest // limit)
 
 
-def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
-    """Rows with their block; written once because the windows and the summaries both read them."""
-    return cut_lineage(df.withColumn("_blk", F.floor(F.col(order) / block)))
+def _blocked(df: DataFrame, keys: list[str], order: str, pieces: int) -> DataFrame:
+    """Rows with their piece ``_blk``, cut at approximate quantiles of the order.
+
+    The cuts only spread the work; results do not depend on their accuracy. Written once, as the windows and the
+    summaries both read it.
+    """
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, shares, F.lit(1000)).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return cut_lineage(df.join(cuts, keys).withColumn("_blk", below).drop("_cuts"))
 
 
 def neighbors(df: DataFrame, keys: list[str], order: str, columns: list[str], before: str | None = None,
               after: str | None = None, block: int | None = None) -> DataFrame:
     """Attach the previous and next row of the same key as structs of ``columns``.
 
-    ``order`` is an integer, unique within a key; it may have gaps.
+    ``order`` is a number, unique within a key; it may have gaps.
     """
     row = F.struct(*[F.col(c) for c in columns])
 
@@ -46,7 +52,7 @@ def neighbors(df: DataFrame, keys: list[str], order: str, columns: list[str], be
 
     if block is None:
         return df.withColumns(around(Window.partitionBy(*keys).orderBy(order)))
-    rows = _blocked(df, order, block)
+    rows = _blocked(df, keys, order, block)
     cells = [*keys, "_blk"]
     across = Window.partitionBy(*keys).orderBy("_blk")
     edge = rows.groupBy(*cells).agg(F.min_by(row, order).alias("_first"), F.max_by(row, order).alias("_last")).select(
@@ -74,7 +80,7 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
             )
             result = result.withColumn(total, F.sum("_v").over(whole))
         return result.drop("_v")
-    rows = _blocked(rows, order, block)
+    rows = _blocked(rows, keys, order, block)
     cells = [*keys, "_blk"]
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*cells).agg(F.sum("_v").alias("_s"))
@@ -98,7 +104,7 @@ def last_known(df: DataFrame, keys: list[str], order: str, value: str, name: str
     upto = (Window.unboundedPreceding, 0)
     if block is None:
         return df.withColumn(name, F.last(value, True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)))
-    rows = _blocked(df, order, block)
+    rows = _blocked(df, keys, order, block)
     cells = [*keys, "_blk"]
     inside = Window.partitionBy(*cells).orderBy(order).rowsBetween(*upto)
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,3 +114,35 @@ def last_known(df: DataFrame, keys: list[str], order: str, value: str, name: str
     return rows.withColumn(name, F.last(value, True).over(inside)).join(ends, cells).withColumn(
         name, F.coalesce(name, "_carry")
     ).drop("_blk", "_carry")
+
+
+def running_min(df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int | None = None) -> DataFrame:
+    """Least ``value`` of the earlier rows of the key, this row excluded."""
+    before = (Window.unboundedPreceding, -1)
+    if block is None:
+        return df.withColumn(name, F.min(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*before)))
+    rows = _blocked(df, keys, order, block)
+    cells = [*keys, "_blk"]
+    ends = rows.groupBy(*cells).agg(F.min(value).alias("_low")).select(
+        *cells, F.min("_low").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(*before)).alias("_carry")
+    )
+    inside = Window.partitionBy(*cells).orderBy(order).rowsBetween(*before)
+    # ``least`` skips nulls, which is what the first row of a piece needs.
+    return rows.withColumn(name, F.min(value).over(inside)).join(ends, cells).withColumn(
+        name, F.least(name, "_carry")
+    ).drop("_blk", "_carry")
+
+
+def place(df: DataFrame, keys: list[str], value: str, tie: str | None, name: str, block: int | None = None) -> DataFrame:
+    """Place of each row by descending ``value``: shared among equals, or told apart by ``tie``."""
+    order = [F.col(value).desc()] + ([F.col(tie)] if tie else [])
+    number = F.row_number() if tie else F.rank()
+    if block is None:
+        return df.withColumn(name, number.over(Window.partitionBy(*keys).orderBy(*order)))
+    rows = _blocked(df, keys, value, block)
+    cells = [*keys, "_blk"]
+    above = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*cells).count().select(*cells, F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_ahead"))
+    return rows.withColumn(name, number.over(Window.partitionBy(*cells).orderBy(*order))).join(counts, cells).withColumn(
+        name, F.col(name) + F.col("_ahead")
+    ).drop("_blk", "_ahead")

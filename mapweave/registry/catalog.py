@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 TOPICS = (
-    "features", "lines", "elevation", "spatial",
+    "features", "lines", "elevation", "spatial", "registers",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
