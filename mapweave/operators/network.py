@@ -13,7 +13,8 @@ from mapweave.operators.ordered import neighbors
 from mapweave.session import cut_lineage
 
 SHORTEST_EDGE = 0.05
-STEPS_PER_CUT = 6
+STEPS_PER_CUT = 12
+PAGE = 1024
 
 
 def node_key(x: Column, z: Column, layer: Column) -> Column:
@@ -59,38 +60,59 @@ def degrees(parts: DataFrame) -> DataFrame:
     return both.groupBy("area_id", "node").agg(F.count("*").alias("degree"))
 
 
+def _adjacency(edges: DataFrame) -> DataFrame:
+    """Outgoing edges of each node in pages of bounded length, so a hub does not become one huge row."""
+    sized = edges.groupBy("area_id", "src").agg(F.ceil(F.count("*") / PAGE).alias("_pages"))
+    paged = edges.join(sized, ["area_id", "src"]).withColumn("page", F.pmod(F.xxhash64("dst"), F.col("_pages")))
+    return paged.groupBy("area_id", F.col("src").alias("node"), "page").agg(
+        F.collect_list(F.struct("dst", "length")).alias("out")
+    )
+
+
 def shortest_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Distance and predecessor of every node reachable from each source: ``area_id, source, node, dist, prev``.
 
     Sources: ``area_id, source, node`` and optionally ``ex_a, ex_b``, an edge the search must not use. All sources relax
-    together; only improved nodes go on, and lineage is cut every few steps.
+    together, one shuffle per step: a row passes itself on and, while it is fresh, offers its neighbours a distance.
     """
-    if "ex_a" not in sources.columns:
-        sources = sources.withColumns({"ex_a": F.lit(None).cast("string"), "ex_b": F.lit(None).cast("string")})
-    key = ["area_id", "source", "node"]
-    graph = cut_lineage(edges.select("area_id", F.col("src").alias("node"), "dst", "length").repartition("area_id", "node"))
-    bans = sources.select("area_id", "source", "ex_a", "ex_b")
-    state = sources.select(*key, F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("fresh"))
-    banned = sources.where("ex_a IS NOT NULL").limit(1).count() > 0
+    none = F.lit(None).cast("string")
+    ban = [c for c in ("ex_a", "ex_b") if c in sources.columns]
+    graph = cut_lineage(_adjacency(edges).repartition("area_id", "node"))
+    # ``b`` holds distance and predecessor, ``old`` the distance before the last step.
+    state = sources.select(
+        "area_id", "source", "node", *ban, F.struct(F.lit(0.0).alias("dist"), none.alias("prev")).alias("b"),
+        F.lit(None).cast("double").alias("old"),
+    )
+    fresh = F.col("old").isNull() | (F.col("b.dist") < F.col("old"))
+
+    def offer(edge: Column) -> Column:
+        return F.struct(
+            edge["dst"].alias("node"),
+            F.struct((F.col("b.dist") + edge["length"]).alias("dist"), F.col("node").alias("prev")).alias("b"),
+            F.lit(None).cast("double").alias("old"),
+        )
+
+    def allowed(edge: Column) -> Column:
+        pair = F.struct(F.col("node").alias("x"), edge["dst"].alias("y"))
+        return ~F.coalesce(
+            (pair == F.struct(F.col("ex_a").alias("x"), F.col("ex_b").alias("y")))
+            | (pair == F.struct(F.col("ex_b").alias("x"), F.col("ex_a").alias("y"))), F.lit(False))
+
+    own = F.array(F.struct("node", "b", F.col("b.dist").alias("old")))
+    nothing = F.slice(own, 1, 0)
+    usable = F.filter("out", allowed) if ban else F.col("out")
+    sent = F.inline(F.concat(
+        F.when(F.coalesce("page", F.lit(0)) == 0, own).otherwise(nothing),
+        F.when(fresh & F.col("out").isNotNull(), F.transform(usable, offer)).otherwise(nothing),
+    ))
+    best = [F.min("b").alias("b"), F.min("old").alias("old"), *[F.first(c).alias(c) for c in ban]]
     while True:
         for _ in range(STEPS_PER_CUT):
-            step = state.where("fresh").join(graph, ["area_id", "node"])
-            if banned:
-                step = step.join(bans, ["area_id", "source"])
-                hit = ((F.col("node") == F.col("ex_a")) & (F.col("dst") == F.col("ex_b"))) | (
-                    (F.col("node") == F.col("ex_b")) & (F.col("dst") == F.col("ex_a")))
-                step = step.where(~F.coalesce(hit, F.lit(False)))
-            offers = step.select(
-                "area_id", "source", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
-                F.col("node").alias("prev"), F.lit(None).cast("double").alias("old"),
-            )
-            known = state.select(*key, "dist", "prev", F.col("dist").alias("old"))
-            state = known.unionByName(offers).groupBy(*key).agg(
-                F.min(F.struct("dist", "prev")).alias("_b"), F.min("old").alias("_old")
-            ).select(*key, "_b.dist", "_b.prev", (F.col("_old").isNull() | (F.col("_b.dist") < F.col("_old"))).alias("fresh"))
+            met = state.join(graph, ["area_id", "node"], "left").select("area_id", "source", *ban, sent)
+            state = met.repartition("area_id", "node").groupBy("area_id", "source", "node").agg(*best)
         state = cut_lineage(state)
-        if state.where("fresh").isEmpty():
-            return state.drop("fresh")
+        if state.where(fresh).isEmpty():
+            return state.select("area_id", "source", "node", "b.dist", "b.prev")
 
 
 def routes_to_goal(edges: DataFrame, goals: DataFrame) -> DataFrame:

@@ -264,32 +264,35 @@ def distinct_courses(course_points: DataFrame, order: list[str]) -> DataFrame:
 def candidates(points: DataFrame, parts: DataFrame, starts: DataFrame, target: float = 1000.0, count: int = 3) -> tuple[DataFrame, DataFrame]:
     """Best courses per start over the width filters, loops first and then by score, with their points.
 
-    ``points`` carry ``width``; a filter that drops no road of an area is skipped there.
+    ``points`` carry ``width``; a filter that drops no road of an area is skipped there. Each filter's roads count as an
+    area of their own, so one search covers all filters.
     """
-    sets, before = [], None
-    for number, least in enumerate(WIDTH_FILTERS):
-        kept = points.where(F.col("width") >= least)
-        roads = kept.groupBy("area_id").agg(F.countDistinct("way_id").alias("_n"))
-        if before is not None:
-            fewer = roads.join(before.select("area_id", F.col("_n").alias("_m")), "area_id").where("_n <> _m").select("area_id")
-            kept = kept.join(fewer, "area_id", "left_semi")
-            asked = starts.join(fewer, "area_id", "left_semi")
-        else:
-            asked = starts
-        before = roads
-        kept = cut_lineage(kept)
-        kept_parts = parts.where(F.col("width") >= least)
-        laid = circuits(kept, kept_parts, asked, min(1000.0, target)).withColumn("set_no", F.lit(number))
-        sets.append(laid.withColumn("course_id", F.concat_ws("/", F.lit(str(number)), "course_id")))
-    every = cut_lineage(sets[0].unionByName(sets[1]).unionByName(sets[2]))
-    distinct = distinct_courses(every, ["set_no", "turn"])
-    full = cut_lineage(repeat_laps(distinct, target))
+    filters = F.array(*[F.struct(F.lit(n).alias("set_no"), F.lit(w).alias("least")) for n, w in enumerate(WIDTH_FILTERS)])
+    ways = points.select("area_id", "way_id", "width").distinct().withColumn("_f", F.explode(filters)).where(
+        F.col("width") >= F.col("_f.least")
+    )
+    sizes = ways.groupBy("area_id", F.col("_f.set_no").alias("set_no")).agg(F.count("*").alias("_n"))
+    fewer = F.col("_n") != F.coalesce(F.lag("_n").over(Window.partitionBy("area_id").orderBy("set_no")), F.lit(-1))
+    used = cut_lineage(sizes.where("_n > 0").withColumn("_new", fewer).where("_new").select(
+        F.col("area_id").alias("home"), "set_no", F.concat_ws("#", F.col("area_id").cast("string"), F.col("set_no").cast("string")).alias("area_id"),
+        F.element_at(F.array(*[F.lit(w) for w in WIDTH_FILTERS]), F.col("set_no") + 1).alias("least"),
+    ))
+
+    def per_set(df: DataFrame, filtered: bool) -> DataFrame:
+        joined = df.withColumnRenamed("area_id", "home").join(used, "home")
+        return (joined.where(F.col("width") >= F.col("least")) if filtered else joined).drop("home", "set_no", "least")
+
+    laid = circuits(cut_lineage(per_set(points, True)), cut_lineage(per_set(parts, True)), per_set(starts, False), min(1000.0, target))
+    every = cut_lineage(laid.join(used.drop("least"), "area_id").withColumn(
+        "course_id", F.concat_ws("/", F.col("set_no").cast("string"), "course_id")
+    ).drop("area_id").withColumnRenamed("home", "area_id"))
+    full = cut_lineage(repeat_laps(distinct_courses(every, ["set_no", "turn"]), target))
     scored = quality(full, parts, turns(full)).join(
         full.select(*COURSE, "start_id", "kind", "laps", "lap_length", "set_no", "turn", "road_width").distinct(), COURSE
     )
-    best = top_per_group(
+    best = cut_lineage(top_per_group(
         scored, ["area_id", "start_id"], [F.col("kind"), F.col("score").desc(), F.col("set_no"), F.col("turn")], count
-    )
+    ))
     return best, full.join(best.select(*COURSE), COURSE, "left_semi")
 
 

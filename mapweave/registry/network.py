@@ -48,30 +48,31 @@ def node_degrees(spark, sf_dir):
 
 
 def search(spark, sf_dir):
-    """Distances from the lowest node key of each area."""
+    """Edges, and distances from the node with most edges in each area; the lowest key wins a tie."""
     _, edges = N.road_graph(grid_points(spark, sf_dir))
     edges = cut_lineage(edges)
-    sources = edges.groupBy("area_id").agg(F.min("src").alias("node")).withColumn("source", F.lit("lowest"))
-    return N.shortest_distances(edges, sources)
+    counts = edges.groupBy("area_id", "src").agg((-F.count("*")).alias("n"))
+    sources = counts.groupBy("area_id").agg(F.min(F.struct("n", "src"))["src"].alias("node")).withColumn("source", F.lit("hub"))
+    return edges, N.shortest_distances(edges, sources)
 
 
 # Two passes of the keyed recursion: a row per node, replaced while it improves.
 DIST_SQL = f"""{GRAPH_SQL},
 di(area_id, node, dist) USING KEY (area_id, node) AS (
- SELECT area_id, min(src), 0e0 FROM eg GROUP BY 1
+ SELECT area_id, src, 0e0 FROM (SELECT area_id, src, count(*) AS n FROM eg GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY n DESC, src) = 1
  UNION SELECT eg.area_id, eg.dst, min(d.dist + eg.len) FROM di d JOIN eg ON eg.area_id = d.area_id AND eg.src = d.node
   LEFT JOIN recurring.di r ON r.area_id = eg.area_id AND r.node = eg.dst WHERE r.dist IS NULL OR d.dist + eg.len < r.dist GROUP BY 1, 2)"""
 
 
 @topic.query(duck(f"WITH RECURSIVE {DIST_SQL} SELECT area_id, node, round(dist, 4) AS dist FROM di", *VIEWS))
 def shortest_distances(spark, sf_dir):
-    return search(spark, sf_dir).select("area_id", "node", F.round("dist", 4).alias("dist"))
+    return search(spark, sf_dir)[1].select("area_id", "node", F.round("dist", 4).alias("dist"))
 
 
 @topic.query(duck(f"""
 WITH RECURSIVE {DIST_SQL} SELECT area_id, round(max(dist), 4) AS dist, count(*) AS reachable FROM di GROUP BY 1""", *VIEWS))
 def farthest_nodes(spark, sf_dir):
-    found = search(spark, sf_dir)
+    _, found = search(spark, sf_dir)
     return N.farthest(found).select("area_id", F.round("dist", 4).alias("dist")).join(
         found.groupBy("area_id").agg(F.count("*").alias("reachable")), "area_id"
     )
@@ -81,10 +82,7 @@ def farthest_nodes(spark, sf_dir):
 WITH RECURSIVE {DIST_SQL}, fa AS (SELECT area_id, max(dist) AS dist FROM di GROUP BY 1) SELECT area_id, true AS starts_at_source, round(dist, 4) AS length FROM fa""", *VIEWS))
 def farthest_path_lengths(spark, sf_dir):
     """Length of the extracted path to the farthest node, summed over its edges."""
-    _, edges = N.road_graph(grid_points(spark, sf_dir))
-    edges = cut_lineage(edges)
-    sources = edges.groupBy("area_id").agg(F.min("src").alias("node")).withColumn("source", F.lit("lowest"))
-    found = N.shortest_distances(edges, sources)
+    edges, found = search(spark, sf_dir)
     ends = N.farthest(found).select("area_id", "source", F.col("node").alias("end"))
     walked = N.paths(found, ends)
     order = F.array_sort(F.collect_list(F.struct("dist", "node")))
