@@ -74,27 +74,33 @@ def frame_to_ecef(east: Column, north: Column, up: Column, frame: Column) -> Col
     )
 
 
-def with_geodetic(df: DataFrame, point: str, names=("lon", "lat", "height"), rounds: int = 8) -> DataFrame:
-    """Add longitude, latitude and height of an Earth-centred struct column by eight refinements.
+def geodetic_latitude(point: Column, rounds: int = 8) -> Column:
+    """Latitude in radians and height of an Earth-centred point by eight refinements.
 
-    Each refinement is its own projection, so Catalyst evaluates it once inside generated code.
+    One aggregate expression: it stays small when a filter on the result is pushed through the projection.
     """
-    x, y, z = (F.col(f"{point}.{axis}") for axis in "xyz")
-    steps = df.withColumns({
-        "_flat": F.sqrt(x * x + y * y),
-    }).withColumn("_phi", F.atan2(z, F.col("_flat") * (1 - ECCENTRICITY_2)))
-    for _ in range(rounds):
-        steps = steps.withColumn("_sin", F.sin("_phi"))
-        steps = steps.withColumn("_rad", F.lit(SEMI_MAJOR) / F.sqrt(1 - ECCENTRICITY_2 * F.col("_sin") * F.col("_sin")))
-        steps = steps.withColumn("_alt", F.col("_flat") / F.cos("_phi") - F.col("_rad"))
-        steps = steps.withColumn(
-            "_phi",
-            F.atan2(z, F.col("_flat") * (1 - ECCENTRICITY_2 * F.col("_rad") / (F.col("_rad") + F.col("_alt")))),
+    flat = F.sqrt(point["x"] * point["x"] + point["y"] * point["y"])
+
+    def refine(state: Column, _: Column) -> Column:
+        sine = F.sin(state["phi"])
+        radius = F.lit(SEMI_MAJOR) / F.sqrt(1 - ECCENTRICITY_2 * sine * sine)
+        # Radius plus height equals the distance from the axis over the cosine.
+        slant = flat / F.cos(state["phi"])
+        return F.struct(
+            F.atan2(point["z"], flat * (1 - ECCENTRICITY_2 * radius / slant)).alias("phi"), (slant - radius).alias("height")
         )
+
+    start = F.struct(F.atan2(point["z"], flat * (1 - ECCENTRICITY_2)).alias("phi"), F.lit(0.0).alias("height"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, refine)
+
+
+def with_geodetic(df: DataFrame, point: str, names=("lon", "lat", "height")) -> DataFrame:
+    """Add longitude, latitude and height of an Earth-centred struct column."""
     lon, lat, height = names
-    return steps.withColumns({lon: degrees(F.atan2(y, x)), lat: degrees(F.col("_phi")), height: F.col("_alt")}).drop(
-        "_flat", "_phi", "_sin", "_rad", "_alt"
-    )
+    solved = df.withColumn("_geo", geodetic_latitude(F.col(point)))
+    return solved.withColumns({
+        lon: degrees(F.atan2(F.col(f"{point}.y"), F.col(f"{point}.x"))), lat: degrees(F.col("_geo.phi")), height: F.col("_geo.height"),
+    }).drop("_geo")
 
 
 def local_to_map(df: DataFrame, x: Column, z: Column, frame: Column, names=("lon", "lat", "height")) -> DataFrame:

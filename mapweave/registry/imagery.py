@@ -36,9 +36,8 @@ def buildings(spark, sf_dir):
 
 ROOF_SQL = """
 px AS (SELECT *, r * 0.299 + g * 0.587 + b * 0.114 AS l FROM v_pixels),
-gr AS (SELECT c.image_id, c.r, c.g, c.b, e.l - w.l AS gx, s.l - n.l AS gy FROM px c JOIN px e ON e.image_id = c.image_id AND e.x = c.x + 1 AND e.y = c.y JOIN px w ON w.image_id = c.image_id AND w.x = c.x - 1 AND w.y = c.y
- JOIN px s ON s.image_id = c.image_id AND s.x = c.x AND s.y = c.y + 1 JOIN px n ON n.image_id = c.image_id AND n.x = c.x AND n.y = c.y - 1
- WHERE c.x > 8.5 AND c.x < 23.5 AND c.y > 14.5 AND c.y < 27.5 AND c.x % 2 = 0 AND c.y % 2 = 0),
+nb AS (SELECT *, lead(l) OVER h - lag(l) OVER h AS gx, lead(l) OVER v - lag(l) OVER v AS gy FROM px WINDOW h AS (PARTITION BY image_id, y ORDER BY x), v AS (PARTITION BY image_id, x ORDER BY y)),
+gr AS (SELECT * FROM nb WHERE x > 8.5 AND x < 23.5 AND y > 14.5 AND y < 27.5 AND x % 2 = 0 AND y % 2 = 0),
 te AS (SELECT image_id, count(*) AS samples, avg(r) AS red, avg(g) AS green, avg(b) AS blue, coalesce(sum(gx * gx) FILTER (WHERE sqrt(gx * gx + gy * gy) >= 10), 0) AS xx,
  coalesce(sum(gy * gy) FILTER (WHERE sqrt(gx * gx + gy * gy) >= 10), 0) AS yy, coalesce(sum(gx * gy) FILTER (WHERE sqrt(gx * gx + gy * gy) >= 10), 0) AS xy, count(*) FILTER (WHERE sqrt(gx * gx + gy * gy) >= 10) AS gradients FROM gr GROUP BY 1),
 ob AS (SELECT *, gradients / samples AS texture, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) / greatest(1, xx + yy) AS anisotropy, 0.5 * atan2(2 * xy, xx - yy) + pi() / 2 AS ridge FROM te)"""
