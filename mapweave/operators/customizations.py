@@ -10,6 +10,7 @@ from mapweave.functions.geometry import (
 )
 from mapweave.functions.text import point_key
 from mapweave.operators.ordered import split_size
+from mapweave.schemas import CUSTOMIZATION
 from mapweave.session import cut_lineage
 
 KEY = ["provider", "source_id"]
@@ -67,16 +68,10 @@ def rejected(outcome: DataFrame) -> DataFrame:
 def empty_payload(payload: Column) -> Column:
     """The payload, or the empty record of a reset."""
     blank = F.from_json(F.lit('{"footprint":"","openings":[],"boundaries":[],"landscaping":[],"appearance":{}}'),
-                        _payload_ddl())
+                        CUSTOMIZATION)
     return F.coalesce(payload, blank)
 
 
-def _payload_ddl() -> str:
-    from mapweave.schemas import CUSTOMIZATION
-
-    return CUSTOMIZATION[len("struct<"):-1]
-
-
 def has_customization(payload: Column) -> Column:
     def filled(name: str) -> Column:
         return F.coalesce(F.size(payload[name]), F.lit(0)) > 0

@@ -85,7 +85,8 @@ def cell_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Co
         crowded = cut_lineage(crowded)
         a, b = _refine(a, crowded, "_lb", size), _refine(b, crowded, "_rb", size).drop("parts")
         keys += ["sx", "sz"]
-    joined = a.join(b, keys)
+    # The sides grow by the cells they touch, which size estimates do not see: never broadcast them.
+    joined = a.join(b.hint("merge"), keys)
     home = F.lit(True)
     for axis in "xz":
         corner = F.greatest(F.col(f"_lb.{axis}0"), F.col(f"_rb.{axis}0"))
@@ -96,6 +97,15 @@ def cell_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Co
     return joined.where(home).drop("_lb", "_rb", "cx", "cz", "sx", "sz", "parts")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that a later filter can use without Catalyst copying their expressions into the join below.
+
+    A long expression inside a join condition makes the generated method too large for the JVM to compile.
+    """
+    packed = F.explode(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    return df.withColumn("_computed", packed).select(*df.columns, "_computed.*")
+
+
 def segment_gap(px="px", pz="pz") -> tuple[Column, Column]:
     """Ratio along the segment and distance for joined point and segment columns."""
     ax, az, bx, bz = (F.col(c) for c in ("ax", "az", "bx", "bz"))
@@ -112,7 +122,7 @@ def within_distance(points: DataFrame, parts: DataFrame, reach, size: float = 32
     pairs = cell_join(points, parts, point_box("px", "pz"), segment_box(reach), size)
     ratio, distance = segment_gap()
     far = F.lit(reach) if isinstance(reach, (int, float)) else reach
-    return pairs.withColumn("ratio", ratio).withColumn("distance", distance).where(F.col("distance") <= far)
+    return computed(pairs, ratio=ratio, distance=distance).where(F.col("distance") <= far)
 
 
 LEVELS = 20

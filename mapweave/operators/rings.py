@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from mapweave.functions.geometry import point_in_ring
 
-_RING = "array<array<double>>"
+# Workers get the helper functions themselves, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_RINGS = ArrayType(ArrayType(ArrayType(DoubleType())))
 
 
 def assemble(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
@@ -32,12 +38,11 @@ def assemble(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float, f
     return rings
 
 
-@F.pandas_udf(f"array<{_RING}>")
-def _assemble_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(_RINGS)
+def _assemble_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    shape = pa.list_(pa.list_(pa.list_(pa.float64())))
     for lines in batches:
-        yield lines.map(lambda row: [
-            [list(p) for p in ring] for ring in assemble([[(float(p[0]), float(p[1])) for p in line] for line in row])
-        ])
+        yield pa.array([assemble([[tuple(p) for p in line] for line in row]) for row in lines.to_pylist()], shape)
 
 
 def relation_polygons(relations: DataFrame, keys: list[str]) -> DataFrame:

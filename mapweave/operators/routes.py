@@ -282,7 +282,7 @@ def candidates(points: DataFrame, parts: DataFrame, starts: DataFrame, target: f
         joined = df.withColumnRenamed("area_id", "home").join(used, "home")
         return (joined.where(F.col("width") >= F.col("least")) if filtered else joined).drop("home", "set_no", "least")
 
-    laid = circuits(cut_lineage(per_set(points, True)), cut_lineage(per_set(parts, True)), per_set(starts, False), min(1000.0, target))
+    laid = circuits(cut_lineage(per_set(points, True)), cut_lineage(per_set(parts, True), wide=True), per_set(starts, False), min(1000.0, target))
     every = cut_lineage(laid.join(used.drop("least"), "area_id").withColumn(
         "course_id", F.concat_ws("/", F.col("set_no").cast("string"), "course_id")
     ).drop("area_id").withColumnRenamed("home", "area_id"))

@@ -130,7 +130,7 @@ def route_checkpoints(spark, sf_dir):
 
 def lattice_parts(spark, sf_dir):
     points = grid_points(spark, sf_dir)
-    return cut_lineage(L.segments(points, carry=("width", "layer")))
+    return cut_lineage(L.segments(points, carry=("width", "layer")), wide=True)
 
 
 @topic.query(duck(f"""

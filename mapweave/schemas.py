@@ -1,9 +1,7 @@
-"""Explicit schemas of every stored table; nothing is inferred at read time."""
+"""Explicit schemas, as DDL text, of every stored table; nothing is inferred at read time."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _POSITION = "struct<lon: double, lat: double, h: double>"
 GEOMETRY = f"struct<type: string, polygons: array<array<array<{_POSITION}>>>>"
 FACTS = (
@@ -35,39 +33,34 @@ CUSTOMIZATION = (
     f"landscaping: array<{_PLANT}>, appearance: {_APPEARANCE}, enhancement: {_EVIDENCE}>"
 )
 
-
-def _table(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-DOCUMENTS = _table(f"area_id bigint, version double, generator string, elements array<{ELEMENT}>")
-ELEMENTS = _table(f"area_id bigint, position bigint, {ELEMENT[len('struct<'):-1]}")
-FEATURES = _table(
+DOCUMENTS = (f"area_id bigint, version double, generator string, elements array<{ELEMENT}>")
+ELEMENTS = (f"area_id bigint, position bigint, " + ELEMENT[len("struct<"):-1].replace(": ", " "))
+FEATURES = (
     f"area_id bigint, snapshot_id string, source_id string, source_type string, source_version int, kind string, "
     f"geometry {GEOMETRY}, tags map<string, string>, facts {FACTS}, warnings array<{DIAGNOSTIC}>, geometry_hash string"
 )
-AREAS = _table(
+AREAS = (
     "area_id bigint, west double, south double, east double, north double, anchor_lon double, anchor_lat double, "
     "size_m double, bearing_deg double, building_level_height double, default_building_height double, "
     "include_minor_paths boolean"
 )
-DEM = _table("area_id bigint, row int, col int, height double")
-OVERRIDES = _table(
+DEM = ("area_id bigint, row int, col int, height double")
+OVERRIDES = (
     "area_id bigint, ordinal bigint, target_id string, operation string, payload_version int, payload string"
 )
-SNAPSHOTS = _table(
+SNAPSHOTS = (
     "snapshot_id string, provider string, query_version int, west double, south double, east double, north double, "
     "selection string, retrieved_at timestamp, content_hash string, derived_from string"
 )
-CUSTOMIZATIONS = _table(f"provider string, source_id string, revision int, payload {CUSTOMIZATION}")
-CUSTOMIZATION_LOG = _table(
+CUSTOMIZATIONS = (f"provider string, source_id string, revision int, payload {CUSTOMIZATION}")
+CUSTOMIZATION_LOG = (
     f"provider string, source_id string, seq bigint, expected_revision int, payload {CUSTOMIZATION}"
 )
-PIXELS = _table("image_id bigint, x int, y int, r int, g int, b int")
-IMAGES = _table(
+PIXELS = ("image_id bigint, x int, y int, r int, g int, b int")
+IMAGES = (
     "image_id bigint, west double, south double, east double, north double, width int, height int"
 )
-POSES = _table(
+POSES = (
     "area_id bigint, trace_id bigint, ts timestamp, x double, z double, qx double, qy double, qz double, qw double"
 )
-JOB_EVENTS = _table("job_id bigint, ts timestamp, status string, progress int, stage string")
+JOB_EVENTS = ("job_id bigint, ts timestamp, status string, progress int, stage string")

@@ -42,7 +42,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result outlives any lost executor."""
+def cut_lineage(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Reliable checkpoint: the result outlives any lost executor.
+
+    ``wide`` is for inputs of joins that multiply rows: a table small enough to be coalesced into fewer partitions than
+    there are cores is dealt out again, so the multiplied work uses all of them. Large tables are left as they are.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    result = df.checkpoint(eager=True)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return result.repartition(cores) if wide and result.rdd.getNumPartitions() < cores else result

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from typing import Any, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from mapweave.operators.jobs import TERMINAL
 from mapweave.streaming.session import use_rocksdb
 
+# Workers get the processors themselves, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Pose safety, recovery and stuck rules.
 UPRIGHT, LOW, HIGH = 0.72, 0.45, 3.2
 SAFE_SECONDS, RECOVER_SECONDS, FALL = 0.6, 2.5, -8.0
