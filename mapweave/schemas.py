@@ -34,7 +34,7 @@ CUSTOMIZATION = (
 )
 
 DOCUMENTS = (f"area_id bigint, version double, generator string, elements array<{ELEMENT}>")
-ELEMENTS = (f"area_id bigint, position bigint, " + ELEMENT[len("struct<"):-1].replace(": ", " "))
+ELEMENTS = ("area_id bigint, position bigint, " + ELEMENT[len("struct<"):-1].replace(": ", " "))
 FEATURES = (
     f"area_id bigint, snapshot_id string, source_id string, source_type string, source_version int, kind string, "
     f"geometry {GEOMETRY}, tags map<string, string>, facts {FACTS}, warnings array<{DIAGNOSTIC}>, geometry_hash string"
