@@ -1,8 +1,8 @@
 """Exact duplicates by progressive refinement, in DataFrame operations alone.
 
 One scan turns each text into a narrow row: size (code points after white space is normalised), head (hash of the first
-``HEAD`` characters) and the full hash. Rows are then grouped by size; those that share their size by (size, head); those
-that share both by the full hash. A row leaves as soon as it is alone, so the full hash is compared only in groups that
+``HEAD`` characters and the size) and the full hash. Rows are then grouped by size; those that share it by head; those that
+share that by the full hash. A row leaves as soon as it is alone, so the full hash is compared only in groups that
 survive, and the text itself is never shuffled. Groups are counts and minima that combine before the shuffle; the joins
 carry narrow rows, which AQE splits where one group holds a large part of the table.
 
@@ -28,28 +28,26 @@ def narrow_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.col(doc_id).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ").alias("even")
     )
     return even.select(
-        "doc_id", F.length("even").alias("size"), F.xxhash64(F.substring("even", 1, HEAD)).alias("head"),
+        "doc_id", F.length("even").alias("size"), F.xxhash64(F.length("even"), F.substring("even", 1, HEAD)).alias("head"),
         F.unhex(F.sha2(F.col("even").cast("binary"), 256)).alias("full"),
     )
 
 
-def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur in more than one row."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    return rows.join(groups, keys, "left_semi")
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs in more than one row."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), key, "left_semi")
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, keep_id (smallest doc_id of the equal texts), group_size, kept, text_sha256 (of the normalised text)."""
     rows = cut_lineage(narrow_rows(docs, doc_id, text))
-    same_size = shared(rows.select("doc_id", "size", "head", "full"), ["size"])
-    same_head = shared(same_size, ["size", "head"])
+    # Each level has one key of its own: none reuses the layout of the level before, so AQE may split its large partitions.
     groups = (
-        same_head.groupBy("size", "head", "full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        shared(shared(rows, "size"), "head").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
     )
     keep = F.coalesce("keep_id", "doc_id")
-    return rows.join(groups, ["size", "head", "full"], "left").select(
+    return rows.join(groups, "full", "left").select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("full")).alias("text_sha256"),
     )
