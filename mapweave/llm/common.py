@@ -38,15 +38,16 @@ def per_task(df: DataFrame, schema: str, start: Callable[[], Callable[..., list]
 
 
 class Lookup(dict):
-    """A bounded cache: what is absent is made by ``make`` and kept; a full cache is emptied, down to ``seed``."""
+    """A bounded cache of what ``make`` gives: long keys are not kept, and a full cache is emptied."""
 
-    def __init__(self, make: Callable, limit: int = 300_000, seed: dict | None = None):
-        super().__init__(seed or {})
-        self.make, self.limit, self.seed = make, limit + len(seed or {}), seed or {}
+    def __init__(self, make: Callable, limit: int = 250_000, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.seed)
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import exact_dedup, token_counts
+from mapweave.llm import byte_bpe, exact_dedup, packing, quality, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op10_exact_dedup": exact_dedup.SQL}
