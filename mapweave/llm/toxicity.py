@@ -1,10 +1,10 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct hashes of its words, its pairs of neighbours and its pairs with one word between them.
-Training takes at most ``MAX_ROWS`` labelled rows (those with the smallest hash of their id, so the choice does not depend on
-layout), deals them to ``SHARDS`` tasks, each of which runs FTRL-proximal with a learning rate per coordinate and L1, and
-averages the weights per coordinate by the squared gradients that each shard has seen. L1 leaves few weights, at most
-``2 ** BITS`` by construction, which are broadcast. Scoring is one pass over all whole texts.
+Spark turns at most ``MAX_ROWS`` labelled rows (those with the smallest hash of their id, so the choice does not depend on
+layout) into feature slots, and one learner takes them in a fixed order, ``EPOCHS`` times: FTRL-proximal is sequential. Each
+coordinate has its own rate; L1 leaves few weights, at most ``2 ** BITS`` by construction, which are broadcast. Scoring is
+one pass over all whole texts.
 
 Null and empty texts get the score of the bias; labels of unknown documents, null labels and null doc_ids teach nothing; of
 repeated labels the largest counts. Without any label all scores stay below one half. Rows that share a doc_id are scored
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import Lookup, id_and_bytes, per_task, read
 
 BITS = 20
-MAX_ROWS = 32_768
-SHARDS = 4
-EPOCHS = 3
+MAX_ROWS = 16_384
+EPOCHS = 5
 FOLDS = 5
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>~-_/\\"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -37,10 +36,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Ftrl:
     """Rates and penalties of the learner."""
 
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.5
-    l2: float = 0.1
+    l1: float = 6.0
+    l2: float = 0.0
 
 
 def word_hash(word: bytes) -> int:
@@ -60,8 +59,8 @@ def slots(body: bytes, words: Lookup) -> np.ndarray:
         return (np.concatenate([run * _ODD, pairs, skips]) >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
-def train(features: list[np.ndarray], targets: list[int], bias: float, epochs: int, rates: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, squared gradients and bias after ``epochs`` passes."""
+def train(features: list[np.ndarray], targets: list[int], bias: float, epochs: int, rates: Ftrl) -> tuple[np.ndarray, float]:
+    """Weights and bias after ``epochs`` passes."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -74,7 +73,7 @@ def train(features: list[np.ndarray], targets: list[int], bias: float, epochs: i
             z[at] += error - (np.sqrt(n[at] + error * error) - np.sqrt(n[at])) / rates.alpha * w
             n[at] += error * error
             bias -= 0.02 * error
-    return weights(np.arange(1 << BITS)), n, bias
+    return weights(np.arange(1 << BITS)), bias
 
 
 @dataclass
@@ -96,7 +95,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards: int = SHARDS, epochs: int = EPOCHS, rates: Ftrl = Ftrl(),
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, rates: Ftrl = Ftrl(),
     doc_id: str = "doc_id", text: str = "text",
 ) -> Model:
     """Learns from labelled rows outside the held-out fold."""
@@ -106,38 +105,31 @@ def fit(
     # Bounded by max_rows, hence the broadcast.
     chosen = known.groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(max_rows)
     rows = id_and_bytes(docs, doc_id, text).join(F.broadcast(chosen), F.col("doc_id") == F.col("key"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "toxic", "body")
 
     def featurise():
         words = word_hashes()
-        return lambda shard, ids, toxic, bodies: [shard, ids, toxic, [np.unique(slots(b, words)).tobytes() for b in bodies]]
+        return lambda ids, bodies, toxic: [ids, toxic, [np.unique(slots(b, words)).tobytes() for b in bodies]]
 
-    dealt = per_task(rows, "shard int, doc_id long, toxic int, slots binary", featurise)
+    dealt = per_task(rows.select("doc_id", "body", "toxic"), "doc_id long, toxic int, slots binary", featurise)
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending")])
         targets = [int(t > 0) for t in table["toxic"].to_pylist()]
         order = np.random.default_rng(0).permutation(len(targets))
-        features = [np.frombuffer(b, dtype=np.uint32) for b in table["slots"].to_pylist()]
+        features = [np.frombuffer(value.as_buffer(), dtype=np.uint32) for value in table["slots"]]
         positive = sum(targets)
-        bias = math.log((positive + 0.5) / (len(targets) - positive + 1.5))
-        w, n, bias = train([features[i] for i in order], [targets[i] for i in order], bias, epochs, rates)
-        seen = np.flatnonzero(n).astype(np.uint32)
+        prior = math.log((positive + 0.5) / (len(targets) - positive + 1.5))
+        weights, bias = train([features[i] for i in order], [targets[i] for i in order], prior, epochs, rates)
+        kept = np.flatnonzero(weights).astype(np.uint32)
         return pa.table({
-            "rows": pa.array([len(targets)], pa.int64()), "bias": pa.array([bias], pa.float64()), "at": pa.array([seen.tobytes()], pa.binary()),
-            "w": pa.array([w[seen].astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n[seen].astype(np.float32).tobytes()], pa.binary()),
+            "bias": pa.array([bias], pa.float64()), "at": pa.array([kept.tobytes()], pa.binary()),
+            "value": pa.array([weights[kept].astype(np.float32).tobytes()], pa.binary()),
         })
 
-    parts = dealt.groupBy("shard").applyInArrow(learn, "rows long, bias double, at binary, w binary, n binary").collect()  # SHARDS rows
-    total, mass, bias, count = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0
-    for part in parts:
-        at, n = np.frombuffer(part["at"], dtype=np.uint32), np.frombuffer(part["n"], dtype=np.float32)
-        total[at] += n * np.frombuffer(part["w"], dtype=np.float32)
-        mass[at] += n
-        bias, count = bias + part["rows"] * part["bias"], count + part["rows"]
-    mean = np.divide(total, mass, out=np.zeros_like(total), where=mass > 0)
-    kept = np.flatnonzero(mean).astype(np.uint32)
-    return Model(kept, mean[kept].astype(np.float32), bias / count if count else math.log(1 / 3))
+    found = dealt.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(learn, "bias double, at binary, value binary").collect()  # one row, or none
+    if not found:
+        return Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), math.log(1 / 3))
+    return Model(np.frombuffer(found[0]["at"], np.uint32), np.frombuffer(found[0]["value"], np.float32), found[0]["bias"])
 
 
 def scorer(model: Model):
