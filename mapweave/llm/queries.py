@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import byte_bpe, exact_dedup, html_text, packing, quality, secret_scan, token_counts, toxicity, url_filter
+from mapweave.llm import byte_bpe, exact_dedup, html_text, near_dup, packing, quality, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_html_text": html_text.op3_html_text,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_near_dup": near_dup.op5_near_dup,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_quality_rules": quality.op8_quality_rules,
