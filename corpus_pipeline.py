@@ -1,20 +1,46 @@
-"""Corpus pipeline over ``documents``: each stage works on all that the one before it kept."""
+"""Corpus pipeline over ``documents``: each stage works on all that the one before it kept.
+
+Toxic documents go, then later copies, then all but one document of each near-duplicate group; secrets are masked in the
+texts that stay, which are packed into sequences last. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import exact_dedup
+from mapweave.llm import exact_dedup, near_dup, packing, secret_scan, toxicity
 from mapweave.llm.common import read
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a model, trained on the labelled ones, predicts to be toxic."""
+    return toxicity.clean_rows(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, the one with the smallest doc_id."""
+    """The row with the smallest doc_id of each group of equal texts."""
     return exact_dedup.first_copies(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
-# A trained score, signatures and packing are not expressible in SQL.
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component of near-duplicates."""
+    return near_dup.first_of_groups(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret span masked."""
+    return secret_scan.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: its place in a sequence of at most 2048 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-duplicates", drop_near_copies), ("secret scan", mask_secrets), ("packing", pack),
+]
+# A trained score, signatures and packing are not expressible in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
