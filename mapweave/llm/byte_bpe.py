@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -40,7 +43,7 @@ class ByteBpe:
         with open(public_tokenizers.path(name), "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.library = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special or {})
-        self.marks = [mark.encode() for mark in special or {}]
+        self.marks = os.path.commonprefix([mark.encode() for mark in special or {}])  # where it is absent, no special string is
         self.sizes = np.zeros(max([*ranks.values(), *(special or {}).values()]) + 1, dtype=np.int64)
         for word, rank in ranks.items():
             self.sizes[rank] = len(word)
@@ -50,10 +53,11 @@ class ByteBpe:
         self.after_space = Lookup(lambda run: self.by_library(b" " + run))
 
     def by_library(self, body: bytes) -> bytes:
-        text = body.decode()
-        marked = any(mark in body for mark in self.marks)
-        ids = self.library.encode(text, allowed_special="all") if marked else self.library.encode_ordinary(text)
-        return np.array(ids, dtype="<u4").tobytes()
+        if self.marks and self.marks in body:
+            ids = self.library.encode(body.decode(), allowed_special="all")
+        else:
+            ids = self.library.encode_ordinary(body.decode())
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
     def flat(self, body: bytes) -> bytes:
         """Ids of a whole span: certain positions cut it into runs, each of them looked up."""

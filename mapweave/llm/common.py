@@ -38,9 +38,10 @@ def per_task(df: DataFrame, schema: str, start: Callable[[], Callable[..., list]
 
 
 class Lookup(dict):
-    """A bounded cache of what ``make`` gives: long keys are not kept, and a full cache is emptied."""
+    """A bounded cache of what ``make`` gives. Long keys are not kept; a full cache drops its younger half, as what is
+    frequent comes early."""
 
-    def __init__(self, make: Callable, limit: int = 250_000, longest: int = 64):
+    def __init__(self, make: Callable, limit: int = 400_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 
@@ -48,6 +49,10 @@ class Lookup(dict):
         value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
-                self.clear()
+                self.shrink()
             self[key] = value
         return value
+
+    def shrink(self):
+        for key in list(self)[self.limit // 2 :]:
+            del self[key]
