@@ -9,7 +9,7 @@ from mapweave.functions.geometry import (
     edges, footprint_signature, opening_height, opening_sill, opening_width, wall_metres,
 )
 from mapweave.functions.text import point_key
-from mapweave.operators.ordered import split_size
+from mapweave.operators.ordered import hot_keys
 from mapweave.schemas import CUSTOMIZATION
 from mapweave.session import cut_lineage
 
@@ -27,7 +27,7 @@ def _next_attempt(log: DataFrame) -> DataFrame:
 
     keys = [*KEY, "level"]
     # A sequence number occurs once per key, so probe and target never share one within a level.
-    known = last_known(both, keys, "_back", "_hit", "next_seq", split_size(both, keys))
+    known = last_known(both, keys, "_back", "_hit", "next_seq", hot_keys(both, keys))
     return known.where(~F.col("target") & F.col("next_seq").isNotNull()).select(*KEY, "seq", "next_seq")
 
 
@@ -107,9 +107,13 @@ def merge_previews(saved: DataFrame, proposals: DataFrame, automatic: DataFrame,
 
 
 def footprint_changed(writes: DataFrame, features: DataFrame) -> DataFrame:
-    """Writes whose stored footprint differs from the building's present one. ``features``: ``source_id, polygons``."""
-    now = features.select("source_id", footprint_signature(F.col("polygons")).alias("_now"))
-    return writes.join(now, "source_id").where((F.col("footprint") != "") & (F.col("footprint") != F.col("_now")))
+    """Writes whose stored footprint differs from the building's present one. ``features``: ``source_id, polygons``.
+
+    Where both sides name a snapshot or an area, a building is sought within it, as a way occurs in many.
+    """
+    keys = [k for k in ("area_id", "snapshot_id", "source_id") if k in writes.columns and k in features.columns]
+    now = features.select(*keys, footprint_signature(F.col("polygons")).alias("_now"))
+    return writes.join(now, keys).where((F.col("footprint") != "") & (F.col("footprint") != F.col("_now")))
 
 
 def opening_errors(openings: DataFrame, walls: DataFrame) -> DataFrame:
@@ -135,8 +139,8 @@ def opening_errors(openings: DataFrame, walls: DataFrame) -> DataFrame:
         "source_id", "ordinal",
         F.when(F.col("_known").isNull(), "detached").when(~F.coalesce(fits, F.lit(False)), "does-not-fit").alias("failure"),
     ).where("failure IS NOT NULL").withColumn("stage", F.lit(0))
-    # The widest opening is 8.1 m: openings more than 8.2 m apart cannot overlap, so bands of that length suffice.
-    band = 8.2
+    # Openings farther apart than the widest one and its margin cannot overlap, so bands of that length suffice.
+    band = float(sized.agg(F.max("opening")).first()[0] or 0.0) + 0.2
     metres = F.col("at") * F.col("length")
     banded = sized.withColumn("_band", F.floor(metres / band))
     keep = ("ordinal", "at", "length", "opening", "low", "tall")

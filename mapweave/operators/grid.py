@@ -14,7 +14,6 @@ from mapweave.functions.geometry import segment_ratio
 from mapweave.session import cut_lineage
 
 PAIR_LIMIT = 50_000_000
-MAX_SPLIT = 64
 
 
 def box(min_x: Column, min_z: Column, max_x: Column, max_z: Column) -> Column:
@@ -78,7 +77,7 @@ def cell_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Co
     ).groupBy(*cells).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     crowded = counted.where(F.col("l") * F.col("r") > limit).select(
         *cells,
-        F.least(F.lit(MAX_SPLIT), F.ceil(F.sqrt(F.col("l") * F.col("r") / limit)) * 2).cast("int").alias("parts"),
+        (F.ceil(F.sqrt(F.col("l") * F.col("r") / limit)) * 2).cast("int").alias("parts"),
     )
     keys = list(cells)
     if not crowded.isEmpty():
@@ -125,21 +124,22 @@ def within_distance(points: DataFrame, parts: DataFrame, reach, size: float = 32
     return computed(pairs, ratio=ratio, distance=distance).where(F.col("distance") <= far)
 
 
-LEVELS = 20
-
-
 def _cell_candidates(wanted: DataFrame, occupied: DataFrame, size: float) -> DataFrame:
     """For each wanted cell, the occupied cells that can hold the nearest row of any point in it.
 
     Works on distinct cells. The coarsest common ancestor that is occupied bounds the distance; the cells around it are
     then compared by their least and greatest distances.
     """
-    half = 1 << (LEVELS - 1)
+    far_out = lambda *names: F.max(F.greatest(*[F.abs(n) for n in names]))
+    reach = wanted.agg(far_out("qx", "qz").alias("m")).union(occupied.agg(far_out("cx", "cz").alias("m"))).agg(F.max("m")).first()[0]
+    # Shifted by half, all indexes are positive and share the one cell of the last level, however far out they lie.
+    height = int(reach or 0).bit_length() + 1
+    half = 1 << (height - 1)
 
     def at(level: Column, name: str) -> Column:
         return F.call_function("shiftright", F.col(name) + half, level)
 
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("lv")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(height))).alias("lv")
     ladder = occupied.select("area_id", "cx", "cz", levels).select(
         "area_id", "lv", at(F.col("lv"), "cx").alias("gx"), at(F.col("lv"), "cz").alias("gz"), "cx", "cz"
     )

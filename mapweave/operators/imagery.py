@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapweave.functions.geo import METRES_PER_DEGREE, map_to_pixel, pixel_to_map, radians
+from mapweave.functions.geo import METRES_PER_DEGREE, map_to_pixel, pixel_to_map, pixel_window, radians
 from mapweave.functions.geometry import edges, point_in_ring
 from mapweave.functions.text import half_up, rgb_hex
 from mapweave.operators.components import label_nodes
@@ -22,6 +22,9 @@ FLAT_TEXTURE, GABLE_ANISOTROPY = 0.06, 0.28
 VEGETATION_STRIDE, VEGETATION_CELLS = 3, 5
 DRIVEWAY_SAMPLES, DRIVEWAY_SCORE = 18, 0.48
 ROAD_CLEARANCE = 0.35
+CROWN_LIMIT = 8.0
+CROP_METRES = 30.0
+CROP_BLOCK = 64  # pixels
 PLANT_COUNT = 16
 
 
@@ -147,7 +150,7 @@ def plants(components: DataFrame, images: DataFrame) -> DataFrame:
     return sized.select(
         *KEY, "number", F.concat(F.lit("aerial-landscape-"), F.col("number").cast("string")).alias("id"),
         F.when(tree, "tree").otherwise("bush").alias("kind"), F.col("_p.lon").alias("lon"), F.col("_p.lat").alias("lat"),
-        limit(F.col("_r"), 0.5, 8.0).alias("crown_radius"),
+        limit(F.col("_r"), 0.5, CROWN_LIMIT).alias("crown_radius"),
         F.when(tree, limit(F.col("_r") * 2.4, 3.5, 16.0)).otherwise(limit(F.col("_r") * 1.35, 0.6, 2.2)).alias("height"),
         limit(0.45 + F.col("strength") * 0.45, 0.35, 0.9).alias("confidence"),
     )
@@ -199,16 +202,17 @@ def offset_from_road(lon: Column, lat: Column, clearance: Column, fallback_lon:
     )
 
 
-def clear_of_roads(found: DataFrame, buildings: DataFrame, roads: DataFrame, reach: float = 25.0) -> DataFrame:
+def clear_of_roads(found: DataFrame, buildings: DataFrame, roads: DataFrame) -> DataFrame:
     """Plants pushed out of the nearest road's clearance. Adds ``moved``.
 
-    The widest class (24 m) and crown (8 m) need 20.35 m, so roads beyond the reach cannot matter; pass a larger reach
-    for wider roads. ``buildings``: keys, ``area_id``, ``ring``; ``found`` as of ``plants``.
+    Only the nearest road counts. No plant farther from it than half the widest road of the data, the largest crown and
+    the clearance can be moved, so that is how far is searched. ``buildings``: keys, ``area_id``, ``ring``; ``found`` as of ``plants``.
     """
     mean = lambda axis: F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[axis]) / F.size("ring")
     centers = buildings.select(*KEY, "area_id", mean("lon").alias("mid_lon"), mean("lat").alias("mid_lat"))
     spots = found.join(centers, KEY)
-    near = nearest_map_road(spots, roads, [*KEY, "number"], reach)
+    widest = float(roads.agg(F.max("width")).first()[0] or 0.0)
+    near = nearest_map_road(spots, roads, [*KEY, "number"], widest / 2.0 + CROWN_LIMIT + ROAD_CLEARANCE)
     joined = spots.join(near, ["area_id", *KEY, "number"], "left")
     clearance = F.col("road_width") / 2.0 + F.col("crown_radius") + ROAD_CLEARANCE
     moved = F.coalesce(F.col("distance") < clearance, F.lit(False))
@@ -317,20 +321,55 @@ def driveways(candidates: DataFrame, pixels: DataFrame) -> DataFrame:
     )
 
 
-def crop(pixels: DataFrame, windows: DataFrame) -> DataFrame:
-    """Pixels of each window, renumbered from its corner. Windows: ``image_id, source_id, left, top, right, bottom``."""
-    met = pixels.join(windows, "image_id").where(
+def windows(buildings: DataFrame, images: DataFrame, padding: float = CROP_METRES) -> DataFrame:
+    """Each building's pixel window: its ring's bounds and a margin in metres. Buildings: keys, ``ring`` in degrees."""
+    lons, lats = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
+    middle = F.aggregate(lats, F.lit(0.0), lambda s, v: s + v) / F.size("ring")
+    tall = padding / METRES_PER_DEGREE
+    wide = padding / (METRES_PER_DEGREE * F.greatest(F.lit(0.2), F.cos(radians(middle))))
+    wanted = F.struct(
+        (F.array_min(lons) - wide).alias("west"), (F.array_min(lats) - tall).alias("south"),
+        (F.array_max(lons) + wide).alias("east"), (F.array_max(lats) + tall).alias("north"),
+    )
+    header = images.select("image_id", F.struct(*[c for c in images.columns if c != "image_id"]).alias("_i"))
+    sized = buildings.join(header, "image_id").withColumn("_w", pixel_window(F.col("_i"), wanted))
+    return sized.select(*KEY, "_w.*")
+
+
+def cropped(buildings: DataFrame, found: DataFrame, pixels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Buildings, images and pixels in which every building has an image of its own, cut from the shared one.
+
+    ``found``: rows of ``windows``. The new ``image_id`` is a struct of the old one and the building. Pixels and windows
+    meet by blocks of the image, so a pixel is compared only with the windows over its block.
+    """
+    own = F.struct("image_id", "source_id").alias("image_id")
+    span = lambda low, high: F.sequence(
+        F.floor(F.col(low) / CROP_BLOCK), F.floor((F.col(high) - 1) / CROP_BLOCK))
+    blocks = found.withColumn("bx", F.explode(span("left", "right"))).withColumn("by", F.explode(span("top", "bottom")))
+    tiled = pixels.withColumns({"bx": F.floor(F.col("x") / CROP_BLOCK), "by": F.floor(F.col("y") / CROP_BLOCK)})
+    cut = tiled.join(blocks, ["image_id", "bx", "by"]).where(
         (F.col("x") >= F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom"))
+    ).select(own, (F.col("x") - F.col("left")).cast("int").alias("x"), (F.col("y") - F.col("top")).cast("int").alias("y"), "r", "g", "b")
+    frames = found.select(
+        own, "west", "south", "east", "north", (F.col("right") - F.col("left")).cast("int").alias("width"),
+        (F.col("bottom") - F.col("top")).cast("int").alias("height"),
     )
-    return met.select(*KEY, (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "r", "g", "b")
+    kept = [c for c in buildings.columns if c not in ("image_id", "image", "pixel_ring")]
+    return with_pixel_ring(buildings.select(own, *kept), frames), frames, cut
+
 
+def tile_report(inside: DataFrame, pending: DataFrame, analysed: DataFrame, tile: list[str]) -> DataFrame:
+    """Analysed, failed and skipped buildings of each tile, and the failed ones, at most as many as a tile may have pending.
 
-def tile_report(pending: DataFrame, analysed: DataFrame, tile: list[str]) -> DataFrame:
-    """Analysed and failed buildings of each tile; ``pending`` counts as failed where the analysis is absent."""
-    done = analysed.select(*tile, "source_id").distinct().withColumn("_ok", F.lit(True))
-    return pending.join(done, [*tile, "source_id"], "left").groupBy(*tile).agg(
-        F.count_if(F.col("_ok")).alias("analysed"), F.count_if(F.col("_ok").isNull()).alias("failed"),
-        F.array_sort(F.collect_set(F.when(F.col("_ok").isNull(), F.col("source_id")))).alias("failed_ids"),
+    ``inside``: all buildings of the tiles; those not pending are skipped; pending ones without an analysis have failed.
+    """
+    row = [*tile, "source_id"]
+    asked = pending.select(*row).distinct().withColumn("_asked", F.lit(True))
+    done = analysed.select(*row).distinct().withColumn("_ok", F.lit(True))
+    failed = F.col("_asked") & F.col("_ok").isNull()
+    return inside.select(*row).distinct().join(asked, row, "left").join(done, row, "left").groupBy(*tile).agg(
+        F.count_if(F.col("_ok")).alias("analysed"), F.count_if(failed).alias("failed"), F.count_if(F.col("_asked").isNull()).alias("skipped"),
+        F.array_sort(F.collect_set(F.when(failed, F.col("source_id")))).alias("failed_ids"),
     )
 
 

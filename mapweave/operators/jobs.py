@@ -11,7 +11,7 @@ TERMINAL = ("complete", "failed", "cancelled")
 ATTEMPTS = 3
 
 
-def status_changes(events: DataFrame, order: str, payload: list[str], block: int | None = None) -> DataFrame:
+def status_changes(events: DataFrame, order: str, payload: list[str], block: DataFrame | None = None) -> DataFrame:
     """Events whose payload differs from the previous one, up to the first terminal event of a job."""
     end = events.where(F.col("status").isin(*TERMINAL)).groupBy("job_id").agg(F.min(order).alias("_end"))
     live = events.join(end, "job_id", "left").where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")

@@ -56,7 +56,7 @@ def junction_roads(points: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def anchors(points: DataFrame, found: DataFrame, block: int | None = None) -> DataFrame:
+def anchors(points: DataFrame, found: DataFrame, block: DataFrame | None = None) -> DataFrame:
     """Road points at junctions, with their distance along the road and the junction's reach."""
     measured = cumulative_distance(points, name="along", total=None, block=block)
     return keyed(measured).join(found.select(*KEY, "junction", (F.col("radius") + MARGIN).alias("reach")), KEY).select(
@@ -64,7 +64,7 @@ def anchors(points: DataFrame, found: DataFrame, block: int | None = None) -> Da
     )
 
 
-def cluster_edges(anchored: DataFrame, block: int | None = None) -> DataFrame:
+def cluster_edges(anchored: DataFrame, block: DataFrame | None = None) -> DataFrame:
     """Junctions next to each other on a road that are no farther apart than their reaches together."""
     near = neighbors(anchored, ["area_id", "way_id"], "idx", ["along", "reach", "junction"], before="_prev", block=block)
     touching = F.col("along") - F.col("_prev.along") <= F.col("reach") + F.col("_prev.reach")
@@ -80,7 +80,7 @@ def cluster_heights(found: DataFrame, edges: DataFrame) -> DataFrame:
     return labelled.join(means, ["area_id", "root"]).select("area_id", "junction", "root", "level")
 
 
-def ease_heights(points: DataFrame, anchored: DataFrame, levels: DataFrame, block: int | None = None) -> DataFrame:
+def ease_heights(points: DataFrame, anchored: DataFrame, levels: DataFrame, block: DataFrame | None = None) -> DataFrame:
     """Flatten roads inside junction footprints and ease them over the next sixteen metres.
 
     The first anchor whose footprint holds the point wins; elsewhere the anchors within reach are averaged by a
@@ -121,7 +121,7 @@ def sign_names(roads_at: DataFrame) -> DataFrame:
     return kept.where((F.size("names") > 0) & ~alone).select("area_id", "junction", "names")
 
 
-def approach_angles(points: DataFrame, found: DataFrame, bridge: DataFrame, block: int | None = None) -> DataFrame:
+def approach_angles(points: DataFrame, found: DataFrame, bridge: DataFrame, block: DataFrame | None = None) -> DataFrame:
     """Distinct directions in which roads leave each junction, from the points within 0.1 m of its centre."""
     shifts = F.sequence(F.lit(-1), F.lit(1))
     around = found.select(*KEY, "junction", F.col("x").alias("cx"), F.col("z").alias("cz")).withColumn(

@@ -17,7 +17,7 @@ def gap(ax, az, bx, bz) -> Column:
 
 
 def segments(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", carry: tuple[str, ...] = (),
-             height: bool = False, block: int | None = None) -> DataFrame:
+             height: bool = False, block: DataFrame | None = None) -> DataFrame:
     """Consecutive points as segments ``ax, az, bx, bz`` (and ``ay, by``); ``idx`` is the start point's."""
     axes = ["x", "z", "y"] if height else ["x", "z"]
     paired = neighbors(points, keys, order, axes, after="_next", block=block).where(F.col("_next").isNotNull())
@@ -28,7 +28,7 @@ def segments(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", carr
 
 
 def cumulative_distance(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", name: str = "distance",
-                        total: str | None = "total", block: int | None = None) -> DataFrame:
+                        total: str | None = "total", block: DataFrame | None = None) -> DataFrame:
     """Distance along the line at each point and the line's length."""
     stepped = neighbors(points, keys, order, ["x", "z"], before="_prev", block=block)
     step = F.coalesce(gap(F.col("_prev.x"), F.col("_prev.z"), F.col("x"), F.col("z")), F.lit(0.0))
@@ -36,7 +36,7 @@ def cumulative_distance(points: DataFrame, keys: list[str] = KEYS, order: str =
 
 
 def drop_repeats(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", limit: float = 0.02,
-                 block: int | None = None) -> DataFrame:
+                 block: DataFrame | None = None) -> DataFrame:
     """Remove points within ``limit`` of the last kept point of their line.
 
     A point farther than twice the limit from its predecessor is kept whatever came before, so a line falls apart into
@@ -64,7 +64,7 @@ def drop_repeats(points: DataFrame, keys: list[str] = KEYS, order: str = "idx",
 
 
 def densify(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", limit: float = STEP_METRES,
-            carry: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+            carry: tuple[str, ...] = (), block: DataFrame | None = None) -> DataFrame:
     """Points no more than ``limit`` apart along each line, with dense positions ``idx`` from 0.
 
     Assumes repeats are gone. One explode per segment: no sort and no array of a whole line.
@@ -87,7 +87,7 @@ def densify(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", limit
 
 
 def smooth(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", passes: int = 2,
-           block: int | None = None) -> DataFrame:
+           block: DataFrame | None = None) -> DataFrame:
     """Weighted mean of each height with its two neighbours; the end points stay."""
     result = points
     for _ in range(passes):
@@ -97,7 +97,7 @@ def smooth(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", passes
     return result
 
 
-def lift(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", block: int | None = None) -> DataFrame:
+def lift(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", block: DataFrame | None = None) -> DataFrame:
     """Add the vertical offset of bridges, tunnels and layers; needs ``layer, bridge, tunnel`` and ``y``."""
     measured = cumulative_distance(points, keys, order, "_along", "_total", block)
     progress = F.col("_along") / F.greatest(F.lit(1.0), F.col("_total"))
@@ -114,7 +114,7 @@ def maximum_grade(parts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def sample_at(lines: DataFrame, wanted: DataFrame, keys: list[str], order: str = "idx", span: float = 128.0,
-              block: int | None = None) -> DataFrame:
+              block: DataFrame | None = None) -> DataFrame:
     """Point of a line at a distance. ``lines``: points with ``distance, total``; ``wanted``: ``keys, distance``.
 
     Each segment enters the distance bands it covers, so the range join is an equi-join on the band.
@@ -143,7 +143,7 @@ def sample_at(lines: DataFrame, wanted: DataFrame, keys: list[str], order: str =
 
 
 def strip_edges(points: DataFrame, width: str = "width", keys: list[str] = KEYS, order: str = "idx",
-                block: int | None = None) -> DataFrame:
+                block: DataFrame | None = None) -> DataFrame:
     """Left and right edge points of a mitred strip; the mitre is limited at sharp bends."""
     near = neighbors(points, keys, order, ["x", "z"], before="_prev", after="_next", block=block)
 
@@ -189,7 +189,7 @@ def strip_edges(points: DataFrame, width: str = "width", keys: list[str] = KEYS,
 
 
 def strip_triangles(points: DataFrame, width: str = "width", keys: list[str] = KEYS, order: str = "idx",
-                    carry: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+                    carry: tuple[str, ...] = (), block: DataFrame | None = None) -> DataFrame:
     """Two triangles for each segment of a mitred strip."""
     sides = neighbors(
         strip_edges(points, width, keys, order, block), keys, order, ["left", "right"], after="_next", block=block
@@ -204,6 +204,6 @@ def strip_triangles(points: DataFrame, width: str = "width", keys: list[str] = K
     )
 
 
-def numbered(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", block: int | None = None) -> DataFrame:
+def numbered(points: DataFrame, keys: list[str] = KEYS, order: str = "idx", block: DataFrame | None = None) -> DataFrame:
     """Dense ``idx`` from 0 and the number of points ``count``."""
     return position(points, keys, order, "_pos", "count", block).drop(order).withColumnRenamed("_pos", order)

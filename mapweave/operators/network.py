@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def metre_key(x: Column, z: Column) -> Column:
     return F.concat_ws(":", half_up(x).cast("string"), half_up(z).cast("string"))
 
 
-def road_graph(points: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+def road_graph(points: DataFrame, block: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices and directed edges. Points: ``area_id, way_id, idx, layer, x, z`` (and ``y``).
 
     Parallel edges keep the first road's length; a vertex keeps its last point.
@@ -146,35 +147,66 @@ def paths(distances: DataFrame, ends: DataFrame) -> DataFrame:
     return reached.join(tree.select(*key, "node", "dist"), [*key, "node"])
 
 
-def snapped_graph(points: DataFrame, radius: float = 1.5, block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Graph in which points closer than the radius are one node; tunnels are left out.
+def first_come(table: pa.Table) -> pa.Table:
+    """Which places of one chain of close ones become nodes: in order, those with no earlier node within the radius."""
+    radius = table["radius"][0].as_py()
+    taken: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    rows = []
+    for area, node, x, z in sorted(zip(*(table[c].to_pylist() for c in ("area_id", "node", "x", "z")), strict=True), key=lambda r: r[1]):
+        cx, cz = int(x // radius), int(z // radius)
+        near = (p for dx in (-1, 0, 1) for dz in (-1, 0, 1) for p in taken.get((cx + dx, cz + dz), ()))
+        if not any((px - x) ** 2 + (pz - z) ** 2 < radius * radius for px, pz in near):
+            taken.setdefault((cx, cz), []).append((x, z))
+            rows.append((area, node))
+    return pa.table({"area_id": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.string())})
 
-    The node of a point is the first point, by road and index, of its chain of close points. Order-dependent first-come
-    snapping differs only where such chains are longer than the radius.
+
+def snapped_graph(points: DataFrame, radius: float = 1.5, block: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Graph in which points closer than the radius to an earlier node are that node; tunnels are left out.
+
+    Points come in order of road and index. A place becomes a node where no earlier node lies within the radius; every
+    point goes to such a node, of several to that in the first cell of twice the radius, then to the earliest. Nodes are
+    chosen inside chains of close places: of a city's network, a chain is the few points about one crossing.
     """
-    open_roads = points.where(~F.col("tunnel"))
+    open_roads = points.where(~F.col("tunnel")).withColumn("area_id", F.col("area_id").cast("long"))
+    axes = [c for c in ("x", "z", "y") if c in points.columns]
     ordinal = F.concat_ws("/", F.lpad(F.col("way_id").cast("string"), 12, "0"), F.lpad(F.col("idx").cast("string"), 8, "0"))
+    numbered = open_roads.withColumn("_at", ordinal)
     # Copies of a place are compared once.
-    places = open_roads.groupBy("area_id", "x", "z").agg(F.min(ordinal).alias("node"))
-    half = cut_lineage(places)
-    probes = half.select("area_id", F.col("node").alias("a"), F.col("x").alias("px"), F.col("z").alias("pz"))
-    spots = half.select(
-        "area_id", F.col("node").alias("b"), F.col("x").alias("ax"), F.col("z").alias("az"), F.col("x").alias("bx"), F.col("z").alias("bz")
+    places = cut_lineage(numbered.groupBy("area_id", "x", "z").agg(F.min("_at").alias("node"), F.min_by(F.struct(*axes), "_at").alias("_p")))
+    probes = places.select("area_id", F.col("node").alias("a"), F.col("x").alias("px"), F.col("z").alias("pz"))
+
+    def spots(df: DataFrame) -> DataFrame:
+        return df.select(
+            "area_id", F.col("node").alias("b"), F.col("x").alias("ax"), F.col("z").alias("az"), F.col("x").alias("bx"), F.col("z").alias("bz")
+        )
+
+    def close(to: DataFrame) -> DataFrame:
+        return within_distance(probes, spots(to), radius, size=2 * radius).where(F.col("distance") < radius)
+
+    links = close(places).where(F.col("a") > F.col("b")).select("area_id", "a", "b")
+    chained = label_nodes(places, links).select(
+        "area_id", "root", "node", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"), F.lit(float(radius)).alias("radius")
+    )
+    chosen = cut_lineage(chained.groupBy("area_id", "root").applyInArrow(first_come, "area_id long, node string"))
+    nodes = cut_lineage(places.join(chosen, ["area_id", "node"], "left_semi").select("area_id", "node", "x", "z", "_p"))
+    offers = close(nodes).select(
+        "area_id", "px", "pz", F.struct(F.floor(F.col("ax") / (2 * radius)).alias("gx"), F.floor(F.col("az") / (2 * radius)).alias("gz"), "b").alias("o")
+    )
+    met = numbered.select("area_id", "way_id", "idx", "_at", F.col("x").alias("px"), F.col("z").alias("pz")).join(offers, ["area_id", "px", "pz"])
+    homes = met.where(F.col("o.b") <= F.col("_at")).groupBy("area_id", "way_id", "idx").agg(F.min("o").alias("o")).select(
+        "area_id", "way_id", "idx", F.col("o.b").alias("node")
     )
-    close = within_distance(probes, spots, radius, size=2 * radius).where((F.col("distance") < radius) & (F.col("a") > F.col("b")))
-    merged = label_nodes(half, close.select("area_id", "a", "b"))
-    home = merged.select("area_id", F.col("node").alias("root"), F.col("x").alias("rx"), F.col("z").alias("rz"))
-    rooted = merged.join(home, ["area_id", "root"]).select("area_id", "x", "z", "root", "rx", "rz")
-    walked = neighbors(open_roads.join(rooted, ["area_id", "x", "z"]), ["area_id", "way_id"], "idx", ["root", "rx", "rz"], after="_next", block=block)
-    moved = walked.where(F.col("_next").isNotNull() & (F.col("root") != F.col("_next.root")))
-    cost = gap(F.col("rx"), F.col("rz"), F.col("_next.rx"), F.col("_next.rz"))
+    rooted = homes.join(nodes.select("area_id", "node", "_p"), ["area_id", "node"])
+    walked = neighbors(rooted, ["area_id", "way_id"], "idx", ["node", "_p"], after="_next", block=block)
+    moved = walked.where(F.col("_next").isNotNull() & (F.col("node") != F.col("_next.node")))
+    cost = F.sqrt(sum((F.col(f"_p.{c}") - F.col(f"_next._p.{c}")) * (F.col(f"_p.{c}") - F.col(f"_next._p.{c}")) for c in axes))
     both = moved.select("area_id", cost.alias("length"), F.explode(F.array(
-        F.struct(F.col("root").alias("src"), F.col("_next.root").alias("dst")),
-        F.struct(F.col("_next.root").alias("src"), F.col("root").alias("dst")),
+        F.struct(F.col("node").alias("src"), F.col("_next.node").alias("dst")),
+        F.struct(F.col("_next.node").alias("src"), F.col("node").alias("dst")),
     )).alias("_e")).select("area_id", "length", "_e.*")
     edges = both.groupBy("area_id", "src", "dst").agg(F.min("length").alias("length"))
-    vertices = rooted.select("area_id", F.col("root").alias("node"), F.col("rx").alias("x"), F.col("rz").alias("z")).distinct()
-    return vertices, edges
+    return nodes.select("area_id", "node", "_p.*"), edges
 
 
 def nearest_node(vertices: DataFrame, edges: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,12 +9,12 @@ from mapweave.operators.grid import cell_join, point_box
 from mapweave.operators.ordered import neighbors, place, running_min
 
 
-def positions(progress: DataFrame, keys: list[str], block: int | None = None) -> DataFrame:
+def positions(progress: DataFrame, keys: list[str], block: DataFrame | None = None) -> DataFrame:
     """One more than the number of rivals with greater progress; equals share a position."""
     return place(progress, keys, "progress", None, "position", block)
 
 
-def standings(entries: DataFrame, keys: list[str], entrant: str, block: int | None = None) -> DataFrame:
+def standings(entries: DataFrame, keys: list[str], entrant: str, block: DataFrame | None = None) -> DataFrame:
     """Finishers by time, then the others by progress."""
     finished = F.col("time").isNotNull()
     done = entries.groupBy(*keys).agg(F.count("time").alias("_done"))
@@ -25,13 +25,13 @@ def standings(entries: DataFrame, keys: list[str], entrant: str, block: int | No
     ).drop("_score", "_done")
 
 
-def position_changes(log: DataFrame, keys: list[str], order: str, block: int | None = None) -> DataFrame:
+def position_changes(log: DataFrame, keys: list[str], order: str, block: DataFrame | None = None) -> DataFrame:
     """Rows where an entrant's position differs from its previous one."""
     near = neighbors(log, keys, order, ["position"], before="_prev", block=block)
     return near.where(F.col("_prev.position") != F.col("position")).withColumn("previous", F.col("_prev.position")).drop("_prev")
 
 
-def fastest_splits(splits: DataFrame, keys: list[str], order: str, block: int | None = None) -> DataFrame:
+def fastest_splits(splits: DataFrame, keys: list[str], order: str, block: DataFrame | None = None) -> DataFrame:
     """Least difference between successive split times, the first counted from zero."""
     near = neighbors(splits, keys, order, ["time"], before="_prev", block=block)
     return near.groupBy(*keys).agg(F.min(F.col("time") - F.coalesce(F.col("_prev.time"), F.lit(0.0))).alias("fastest"))
@@ -43,7 +43,7 @@ def split_deltas(splits: DataFrame, rivals: DataFrame, keys: list[str]) -> DataF
     return splits.join(best, keys, "left").withColumn("delta", F.col("time") - F.col("_best")).drop("_best")
 
 
-def personal_bests(finishes: DataFrame, keys: list[str], order: str, block: int | None = None) -> DataFrame:
+def personal_bests(finishes: DataFrame, keys: list[str], order: str, block: DataFrame | None = None) -> DataFrame:
     """Best earlier time of the course and whether this finish beats it; a first finish does."""
     seen = running_min(finishes, keys, order, "time", "previous_best", block)
     better = F.col("previous_best").isNull() | (F.col("time") < F.col("previous_best"))

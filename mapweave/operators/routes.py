@@ -76,7 +76,8 @@ def checkpoints(lengths: DataFrame, spacing: float = CHECKPOINT_SPACING) -> Data
 
 
 def widths_along(course_points: DataFrame, parts: DataFrame) -> DataFrame:
-    """Width of the nearest road at each distinct route place; five metres where there is no road."""
+    """Width of the nearest road segment of a decimetre or more at each distinct route place; five metres where there is none."""
+    parts = parts.where(gap(F.col("ax"), F.col("az"), F.col("bx"), F.col("bz")) >= 0.1)
     spots = course_points.select("area_id", F.col("x").alias("px"), F.col("z").alias("pz")).distinct().withColumn(
         "spot", F.concat_ws("|", F.col("px").cast("string"), F.col("pz").cast("string"))
     )
@@ -282,14 +283,17 @@ def candidates(points: DataFrame, parts: DataFrame, starts: DataFrame, target: f
         joined = df.withColumnRenamed("area_id", "home").join(used, "home")
         return (joined.where(F.col("width") >= F.col("least")) if filtered else joined).drop("home", "set_no", "least")
 
-    laid = circuits(cut_lineage(per_set(points, True)), cut_lineage(per_set(parts, True), wide=True), per_set(starts, False), min(1000.0, target))
+    set_parts = cut_lineage(per_set(parts, True), wide=True)
+    laid = circuits(cut_lineage(per_set(points, True)), set_parts, per_set(starts, False), min(1000.0, target))
     every = cut_lineage(laid.join(used.drop("least"), "area_id").withColumn(
         "course_id", F.concat_ws("/", F.col("set_no").cast("string"), "course_id")
     ).drop("area_id").withColumnRenamed("home", "area_id"))
     full = cut_lineage(repeat_laps(distinct_courses(every, ["set_no", "turn"]), target))
-    scored = quality(full, parts, turns(full)).join(
-        full.select(*COURSE, "start_id", "kind", "laps", "lap_length", "set_no", "turn", "road_width").distinct(), COURSE
-    )
+    # Widths and crossings are those of the roads that the filter kept.
+    own = cut_lineage(full.withColumnRenamed("area_id", "home").join(used.drop("least"), ["home", "set_no"]))
+    scored = quality(own, set_parts, turns(own)).join(
+        own.select(*COURSE, "home", "start_id", "kind", "laps", "lap_length", "set_no", "turn", "road_width").distinct(), COURSE
+    ).drop("area_id").withColumnRenamed("home", "area_id")
     best = cut_lineage(top_per_group(
         scored, ["area_id", "start_id"], [F.col("kind"), F.col("score").desc(), F.col("set_no"), F.col("turn")], count
     ))

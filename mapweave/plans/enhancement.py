@@ -45,12 +45,17 @@ def enhance_tiles(tiles: DataFrame, centers: DataFrame, saved: DataFrame, buildi
                   pixels: DataFrame, roads: DataFrame, tile_size: float = 200.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pending buildings of each tile, their plants unique within the tile, and the tile report.
 
-    Tiles: ``area_id, tile_x, tile_z``; centers: ``area_id, source_id, px, pz``; saved: ``source_id``.
+    Tiles: ``area_id, tile_x, tile_z``; centers: ``area_id, source_id, px, pz``; saved: ``area_id, source_id``. One image
+    may show many buildings: each is analysed on its own crop, its ring with a margin.
     """
     key = ["area_id", "tile_x", "tile_z"]
-    inside = buildings_in_tiles(centers, tiles, tile_size).join(saved.select("source_id").distinct(), "source_id", "left_anti")
-    pending = cut_lineage(top_per_group(inside, key, [F.col("source_id")], TILE_BUILDINGS).select(*key, "source_id"))
-    wanted = buildings.join(pending.select("area_id", "source_id"), ["area_id", "source_id"], "left_semi")
-    grown = landscape(wanted, images, pixels, roads).join(pending, ["area_id", "source_id"])
-    analysed = I.roof_observations(wanted, pixels).join(pending, "source_id").select(*key, "source_id")
-    return pending, I.unique_in_tile(grown, key), I.tile_report(pending, analysed, key)
+    building = ["area_id", "source_id"]
+    inside = cut_lineage(buildings_in_tiles(centers, tiles, tile_size).select(*key, "source_id"))
+    open_ = inside.join(saved.select(*building).distinct(), building, "left_anti")
+    pending = cut_lineage(top_per_group(open_, key, [F.col("source_id")], TILE_BUILDINGS).select(*key, "source_id"))
+    wanted = cut_lineage(buildings.join(pending.select(*building), building, "left_semi"))
+    own, frames, cut = (cut_lineage(df) for df in I.cropped(wanted, I.windows(wanted, images), pixels))
+    grown = landscape(own, frames, cut, roads).join(pending, building)
+    seen = I.roof_observations(own, cut).select("image_id", "source_id").join(own.select("image_id", *building), ["image_id", "source_id"])
+    analysed = seen.join(pending, building).select(*key, "source_id")
+    return pending, I.unique_in_tile(grown, key), I.tile_report(inside, pending, analysed, key)

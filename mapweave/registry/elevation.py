@@ -9,7 +9,7 @@ from mapweave.functions import measure as M
 from mapweave.functions.text import places
 from mapweave.operators import elevation as E
 from mapweave.operators import lines as L
-from mapweave.operators.ordered import split_size
+from mapweave.operators.ordered import hot_keys
 from mapweave.registry.catalog import Topic
 from mapweave.registry.features import BRIDGE_SQL, LAYER_SQL, TUNNEL_SQL
 from mapweave.registry.lines import DENSE_SQL, dense_points
@@ -134,7 +134,7 @@ def draped(spark, sf_dir):
     nodes = view(spark, sf_dir, "v_way_nodes")
     grid = filled_dem(spark, sf_dir)
     return drape_roads(
-        nodes, road_structure(spark, sf_dir), grid, dem_header(grid), split_size(nodes, L.KEYS)
+        nodes, road_structure(spark, sf_dir), grid, dem_header(grid), hot_keys(nodes, L.KEYS)
     )
 
 

@@ -216,7 +216,7 @@ def diagnostics(spark, sf_dir):
     )
     missing = M.present(F.col("height")).isNull() & M.present(F.col("levels")).isNull()
     warning = M.diagnostic("BUILDING_HEIGHT_ESTIMATED", "info",
-                           "The building height will be estimated from project defaults.", F.col("source_id"))
+                           "Neither height nor levels are tagged; a default height applies.", F.col("source_id"))
     buildings = view(spark, sf_dir, "v_buildings").withColumn(
         "warnings", F.when(missing, F.array(warning))
     )

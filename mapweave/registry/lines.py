@@ -8,7 +8,7 @@ from mapweave.derived import duck, view
 from mapweave.functions import geo as G
 from mapweave.functions import measure as M
 from mapweave.operators import lines as L
-from mapweave.operators.ordered import split_size
+from mapweave.operators.ordered import hot_keys
 from mapweave.registry.catalog import Topic
 from mapweave.registry.features import BRIDGE_SQL, LAYER_SQL, TUNNEL_SQL, WIDTH_CTES, road_widths
 
@@ -144,7 +144,7 @@ SEGMENT_SQL = "seg AS (SELECT * FROM (SELECT area_id, way_id, idx, x AS ax, z AS
 @topic.query(duck(f"WITH {SEGMENT_SQL} SELECT * FROM seg", "v_way_nodes"))
 def way_segments(spark, sf_dir):
     nodes = view(spark, sf_dir, "v_way_nodes")
-    return L.segments(nodes, block=split_size(nodes, L.KEYS))
+    return L.segments(nodes, block=hot_keys(nodes, L.KEYS))
 
 
 @topic.query(duck("""
@@ -154,7 +154,7 @@ SELECT area_id, way_id, idx, round(sum(step) OVER (PARTITION BY area_id, way_id
  round(sum(step) OVER (PARTITION BY area_id, way_id), 6) AS total FROM s""", "v_way_nodes"))
 def way_lengths(spark, sf_dir):
     nodes = view(spark, sf_dir, "v_way_nodes")
-    return L.cumulative_distance(nodes, block=split_size(nodes, L.KEYS)).select(
+    return L.cumulative_distance(nodes, block=hot_keys(nodes, L.KEYS)).select(
         "area_id", "way_id", "idx", F.round("distance", 6).alias("distance"), F.round("total", 6).alias("total")
     )
 
@@ -172,7 +172,7 @@ dense AS (SELECT area_id, way_id, row_number() OVER (PARTITION BY area_id, way_i
 
 def dense_points(spark, sf_dir, name: str = "v_way_nodes"):
     nodes = view(spark, sf_dir, name)
-    block = split_size(nodes, L.KEYS)
+    block = hot_keys(nodes, L.KEYS)
     return L.densify(L.drop_repeats(nodes, block=block), block=block)
 
 
@@ -203,7 +203,7 @@ WITH h AS (SELECT *, {_HEIGHT} AS y FROM v_way_nodes), {_pass('one', 'h')}, {_pa
 SELECT area_id, way_id, idx, round(y, 6) AS y FROM two""", "v_way_nodes"))
 def smoothed_heights(spark, sf_dir):
     nodes = synthetic_heights(spark, sf_dir)
-    return L.smooth(nodes, block=split_size(nodes, L.KEYS)).select("area_id", "way_id", "idx", F.round("y", 6).alias("y"))
+    return L.smooth(nodes, block=hot_keys(nodes, L.KEYS)).select("area_id", "way_id", "idx", F.round("y", 6).alias("y"))
 
 
 @topic.query(duck(f"""
@@ -214,7 +214,7 @@ SELECT area_id, way_id, round(coalesce(max(CASE WHEN run > 0 THEN abs(dy) / run
  coalesce(max(CASE WHEN run > 0 THEN abs(dy) / run END), 0) * 100 > 20 AS suspicious FROM s WHERE dy IS NOT NULL GROUP BY 1, 2""", "v_way_nodes"))
 def max_grade(spark, sf_dir):
     nodes = synthetic_heights(spark, sf_dir)
-    grades = L.maximum_grade(L.segments(nodes, height=True, block=split_size(nodes, L.KEYS)))
+    grades = L.maximum_grade(L.segments(nodes, height=True, block=hot_keys(nodes, L.KEYS)))
     return grades.select(
         "area_id", "way_id", F.round("max_grade", 6).alias("max_grade"), (F.col("max_grade") > 20).alias("suspicious")
     )
@@ -233,7 +233,7 @@ def vertical_profiles(spark, sf_dir):
     )
     nodes = view(spark, sf_dir, "v_way_nodes")
     points = nodes.join(levels, ["area_id", "way_id"]).withColumn("y", F.lit(0.1))
-    return L.lift(points, block=split_size(nodes, L.KEYS)).select("area_id", "way_id", "idx", (F.round("y", 6) + 0.0).alias("y"))
+    return L.lift(points, block=hot_keys(nodes, L.KEYS)).select("area_id", "way_id", "idx", (F.round("y", 6) + 0.0).alias("y"))
 
 
 @topic.query(duck(f"""
@@ -251,7 +251,7 @@ SELECT area_id, way_id, idx, round(x + mx * reach, 6) + 0.0 AS left_x, round(z +
 def road_strips(spark, sf_dir):
     widths = road_widths(spark, sf_dir).select("area_id", "way_id", F.col("road_width").alias("width"))
     nodes = view(spark, sf_dir, "v_way_nodes")
-    block = split_size(nodes, L.KEYS)
+    block = hot_keys(nodes, L.KEYS)
     strip = L.strip_edges(L.drop_repeats(nodes, block=block).join(widths, ["area_id", "way_id"]), block=block)
     out = [(F.round(f"{side}.{axis}", 6) + 0.0).alias(f"{side}_{axis}") for side in ("left", "right") for axis in ("x", "z")]
     return strip.select("area_id", "way_id", "idx", *out)
@@ -267,7 +267,7 @@ FROM (SELECT area_id, way_id, total, cast(share AS double) AS share FROM f) f JO
  ON s.area_id = f.area_id AND s.way_id = f.way_id AND f.total * f.share > s.d0 AND f.total * f.share <= s.distance""", "v_way_nodes"))
 def points_at_distance(spark, sf_dir):
     nodes = view(spark, sf_dir, "v_way_nodes")
-    block = split_size(nodes, L.KEYS)
+    block = hot_keys(nodes, L.KEYS)
     measured = L.cumulative_distance(nodes, block=block)
     ends = measured.where(F.col("total") > 0).select("area_id", "way_id", "total").distinct()
     share = F.explode(F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)]))

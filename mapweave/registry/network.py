@@ -9,7 +9,7 @@ from mapweave.functions.text import places
 from mapweave.operators import lines as L
 from mapweave.operators import network as N
 from mapweave.operators import routes as R
-from mapweave.operators.ordered import split_size
+from mapweave.operators.ordered import hot_keys
 from mapweave.registry.catalog import Topic
 from mapweave.registry.plan import POINT_SQL, VIEWS, grid_points
 from mapweave.session import cut_lineage
@@ -44,7 +44,7 @@ u AS (SELECT area_id, a AS node, b AS other FROM s UNION SELECT area_id, b, a FR
 SELECT area_id, node, count(DISTINCT other) AS degree FROM u GROUP BY 1, 2""", "v_grid_nodes"))
 def node_degrees(spark, sf_dir):
     nodes = view(spark, sf_dir, "v_grid_nodes")
-    return N.degrees(L.segments(nodes, block=split_size(nodes, L.KEYS)))
+    return N.degrees(L.segments(nodes, block=hot_keys(nodes, L.KEYS)))
 
 
 def search(spark, sf_dir):

@@ -12,7 +12,7 @@ from mapweave.operators import junctions as J
 from mapweave.operators import lines as L
 from mapweave.operators import overrides as O
 from mapweave.operators.components import components
-from mapweave.operators.ordered import split_size
+from mapweave.operators.ordered import hot_keys
 from mapweave.registry.catalog import Topic
 from mapweave.registry.features import CLASS_SQL, LAYER_SQL, WIDTH_CTES, measure_sql, road_widths
 from mapweave.session import cut_lineage
@@ -36,7 +36,7 @@ def grid_points(spark, sf_dir):
     )
     nodes = view(spark, sf_dir, "v_grid_nodes")
     y = ((F.col("x") * 31 + F.col("z") * 17 + 100000) % 97).cast("double") / 4
-    return L.numbered(nodes, block=split_size(nodes, L.KEYS)).join(roads, ["area_id", "way_id"]).withColumn("y", y)
+    return L.numbered(nodes, block=hot_keys(nodes, L.KEYS)).join(roads, ["area_id", "way_id"]).withColumn("y", y)
 
 
 VIEWS = ("v_road_tags", "v_overrides", "v_grid_nodes")

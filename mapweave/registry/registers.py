@@ -13,7 +13,7 @@ from mapweave.operators import jobs as J
 from mapweave.operators import races
 from mapweave.operators import ranking as K
 from mapweave.operators import snapshots as S
-from mapweave.operators.ordered import split_size
+from mapweave.operators.ordered import hot_keys
 from mapweave.operators.spatial import covering_area
 from mapweave.registry.catalog import Topic
 from mapweave.registry.elevation import building_corners
@@ -141,7 +141,7 @@ l AS (SELECT *, lag(status) OVER w AS ps, lag(progress) OVER w AS pp, row_number
 SELECT job_id, event_id, status, progress FROM l WHERE rn = 1 OR status IS DISTINCT FROM ps OR progress IS DISTINCT FROM pp""", "v_job_events"))
 def job_changes(spark, sf_dir):
     log = view(spark, sf_dir, "v_job_events")
-    return J.status_changes(log, "event_id", ["status", "progress"], split_size(log, ["job_id"])).select(
+    return J.status_changes(log, "event_id", ["status", "progress"], hot_keys(log, ["job_id"])).select(
         "job_id", "event_id", "status", "progress"
     )
 
@@ -186,14 +186,14 @@ def entries(spark, sf_dir):
 @topic.query(duck(f"WITH {ENTRY_SQL.strip()} SELECT race_id, entrant, rank() OVER (PARTITION BY race_id ORDER BY progress DESC) AS position FROM en"))
 def race_positions(spark, sf_dir):
     rows = entries(spark, sf_dir)
-    return races.positions(rows, ["race_id"], split_size(rows, ["race_id"])).select("race_id", "entrant", "position")
+    return races.positions(rows, ["race_id"], hot_keys(rows, ["race_id"])).select("race_id", "entrant", "position")
 
 
 @topic.query(duck(f"""
 WITH {ENTRY_SQL.strip()} SELECT race_id, entrant, time IS NOT NULL AS finished, row_number() OVER (PARTITION BY race_id ORDER BY time ASC NULLS LAST, progress DESC, entrant) AS position FROM en"""))
 def race_standings(spark, sf_dir):
     rows = entries(spark, sf_dir)
-    return races.standings(rows, ["race_id"], "entrant", split_size(rows, ["race_id"])).select(
+    return races.standings(rows, ["race_id"], "entrant", hot_keys(rows, ["race_id"])).select(
         "race_id", "entrant", "finished", "position"
     )
 
@@ -206,7 +206,7 @@ def position_changes(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("entrant"), F.col("event_id").alias("tick"), (F.floor("value") % 6 + 1).alias("position")
     )
-    return races.position_changes(log, ["entrant"], "tick", split_size(log, ["entrant"])).select(
+    return races.position_changes(log, ["entrant"], "tick", hot_keys(log, ["entrant"])).select(
         "entrant", "tick", "previous", "position"
     )
 
@@ -219,7 +219,7 @@ def fastest_splits(spark, sf_dir):
     splits = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("entrant"), F.col("event_id").alias("checkpoint"), (F.col("event_id") * F.lit(2.5) + F.col("value")).alias("time")
     )
-    best = races.fastest_splits(splits, ["entrant"], "checkpoint", split_size(splits, ["entrant"]))
+    best = races.fastest_splits(splits, ["entrant"], "checkpoint", hot_keys(splits, ["entrant"]))
     return best.withColumn("fastest", places(F.col("fastest"), 6))
 
 
@@ -245,7 +245,7 @@ def personal_bests(spark, sf_dir):
     finishes = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 30).alias("course"), F.col("event_id").alias("finish"), F.col("value").alias("time")
     )
-    return races.personal_bests(finishes, ["course"], "finish", split_size(finishes, ["course"]))
+    return races.personal_bests(finishes, ["course"], "finish", hot_keys(finishes, ["course"]))
 
 
 FOLLOW_SQL = """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.functions.measure import tag
-from mapweave.operators.spatial import features_in_area
+from mapweave.operators.spatial import line_hits
 from mapweave.schemas import DOCUMENTS
 
 # Element types and tag keys that an import asks for.
@@ -34,20 +34,31 @@ def wanted_element() -> Column:
     return rule
 
 
-def element_ring(members: bool = False) -> Column:
-    """Positions of an element: its own geometry, or all member geometries of a relation."""
-    own = F.transform(F.coalesce("geometry", F.array()), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    parts = F.flatten(F.transform(
-        F.coalesce("members", F.array()), lambda m: F.coalesce(m["geometry"], F.array())
-    ))
-    all_parts = F.transform(parts, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    return F.when(F.col("type") == "relation", all_parts).otherwise(own)
+def element_lines() -> Column:
+    """Lines of an element, each with whether it bounds a hole: its own geometry, or one line per member of a relation."""
+    def line(points: Column, hole: Column) -> Column:
+        flat = F.transform(F.coalesce(points, F.array()), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+        return F.struct(flat.alias("ring"), hole.alias("hole"))
+
+    own = F.array(line(F.col("geometry"), F.lit(False)))
+    members = F.transform(F.coalesce("members", F.array()), lambda m: line(m["geometry"], F.coalesce(m["role"] == "inner", F.lit(False))))
+    return F.when(F.col("type") == "relation", members).otherwise(own)
 
 
 def extract(elements: DataFrame, areas: DataFrame) -> DataFrame:
-    """Elements with a wanted tag that intersect their area's ring. Areas: ``area_id, area_ring``."""
-    picked = elements.where(wanted_element()).withColumn("ring", element_ring())
-    return features_in_area(picked.where(F.size("ring") > 0), areas).drop("ring", "area_ring")
+    """Elements with a wanted tag that intersect their area's ring. Areas: ``area_id, area_ring``.
+
+    Each line is tested by itself, so members that lie apart are not joined by an edge that is not there. An area wholly
+    inside a closed line counts unless a hole of the element holds it too.
+    """
+    key = ["area_id", "position"]
+    picked = elements.where(wanted_element())
+    lines = picked.select(*key, F.explode(element_lines()).alias("_l")).select(*key, "_l.*").where(F.size("ring") > 0)
+    met = line_hits(lines, areas).groupBy(*key).agg(
+        F.bool_or("touches").alias("touches"), F.bool_or(F.col("holds") & ~F.col("hole")).alias("holds"),
+        F.bool_or(F.col("holds") & F.col("hole")).alias("in_hole"),
+    )
+    return picked.join(met.where(F.col("touches") | (F.col("holds") & ~F.col("in_hole"))), key, "left_semi")
 
 
 def archive(documents: DataFrame, path: str) -> None:

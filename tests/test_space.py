@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -8,6 +9,7 @@ from mapweave.functions import geo as G
 from mapweave.operators import elevation as E
 from mapweave.operators import grid as R
 from mapweave.operators import lines as L
+from mapweave.operators import network as N
 from mapweave.operators import ordered as O
 from mapweave.operators import terrain as T
 from mapweave.operators.components import components
@@ -18,15 +20,17 @@ from mapweave.operators.routes import candidates, summaries
 
 def test_pieces_equal_plain_windows(spark):
     rows = [(1, i * 3, float((i * 7) % 5), None if i % 4 else float(i)) for i in range(60)] + [(2, 5, 1.0, None)]
+    rows += [(3, i, float(i % 4), None) for i in range(4)]
     df = spark.createDataFrame(rows, "k int, o long, v double, g double")
+    hot = spark.createDataFrame([(1, 7), (3, 2)], "k int, _pieces int")  # key 2 stays on the plain way
     for step in (
         lambda b: O.neighbors(df, ["k"], "o", ["v"], "before", "after", b), lambda b: O.running_sum(df, ["k"], "o", F.col("v"), "s", "t", b),
         lambda b: O.position(df, ["k"], "o", "p", "n", b), lambda b: O.last_known(df, ["k"], "o", "g", "f", b),
         lambda b: O.running_min(df, ["k"], "o", "v", "m", b), lambda b: O.place(df, ["k"], "v", "o", "r", b), lambda b: O.place(df, ["k"], "v", None, "r", b),
     ):
-        plain, cut = step(None), step(7)
+        plain, cut = step(None), step(hot)
         assert sorted(map(str, plain.select(*sorted(plain.columns)).collect())) == sorted(map(str, cut.select(*sorted(cut.columns)).collect()))
-    assert O.split_size(df, ["k"]) is None and O.split_size(df, ["k"], limit=10) == 12
+    assert O.hot_keys(df, ["k"]) is None and [tuple(r) for r in O.hot_keys(df, ["k"], limit=10).collect()] == [(1, 12)]
 
 
 def test_repeats_and_densify(spark):
@@ -161,3 +165,59 @@ def test_circuits(spark, tail, kind):
     lengths = {r.course_id: 0.0 for r in rows.collect()}
     measured = L.cumulative_distance(rows, ["area_id", "course_id"], "idx").groupBy("course_id").agg(F.max("total").alias("t")).collect()
     assert lengths.keys() == {r.course_id for r in measured} and all(r.t >= 1000 for r in measured)
+
+
+def test_snapping_is_first_come(spark):
+    rng = random.Random(9)
+    rows = [(1, 1, i, float(i), 0.0) for i in range(101)]
+    rows += [(1, w, i, rng.uniform(0, 12), rng.uniform(0, 12)) for w in range(2, 8) for i in range(30)] + [(1, 9, i, x, 0.0) for i, x in enumerate([100.0, 3.0, 0.4])]
+    points = spark.createDataFrame([(*r, False) for r in rows], "area_id long, way_id long, idx long, x double, z double, tunnel boolean")
+    nodes, grid, edges, before = [], {}, set(), (None, None)
+    for _, way, _, x, z in rows:
+        gx, gz = math.floor(x / 3), math.floor(z / 3)
+        near = [n for dx in (-1, 0, 1) for dz in (-1, 0, 1) for n in grid.get((gx + dx, gz + dz), []) if (nodes[n][0] - x) ** 2 + (nodes[n][1] - z) ** 2 < 2.25]
+        if not near:
+            near = [len(nodes)]
+            nodes.append((x, z))
+            grid.setdefault((gx, gz), []).append(near[0])
+        if before[0] == way and before[1] != near[0]:
+            edges |= {(before[1], near[0]), (near[0], before[1])}
+        before = (way, near[0])
+    vertices, found = N.snapped_graph(points)
+    got = {r.node: (r.x, r.z) for r in vertices.collect()}
+    assert sorted(got.values()) == sorted(nodes) and len([p for p in nodes if p[1] == 0.0]) >= 51
+    assert {(got[r.src], got[r.dst]) for r in found.collect()} == {(nodes[a], nodes[b]) for a, b in edges}
+
+
+def test_nearest_beyond_any_fixed_grid(spark):
+    far = 32.0 * 2**21
+    best = R.nearest_segment(
+        spark.createDataFrame([(1, 1, -far, far), (1, 2, 0.0, 0.0)], "area_id int, id int, px double, pz double"),
+        spark.createDataFrame([(1, 5, 0, far, far, far + 1, far), (1, 6, 0, far, -far, far, -far + 1)], "area_id int, way_id int, idx int, ax double, az double, bx double, bz double"),
+        ["id"], ["way_id", "idx"], [],
+    ).collect()
+    assert {r.id: r.way_id for r in best} == {1: 5, 2: 6}
+
+
+def test_relation_members_are_lines_of_their_own(spark):
+    from mapweave.schemas import ELEMENT
+    from mapweave.sources.elements import explode_elements, extract
+
+    def box(x, z, half):
+        return [{"lon": x + a * half, "lat": z + b * half} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+
+    def relation(number, members):
+        return {"type": "relation", "id": number, "tags": {"landuse": "grass"}, "members": [{"type": "way", "ref": n, "role": r, "geometry": g} for n, (r, g) in enumerate(members)]}
+
+    elements = [
+        relation(1, [("outer", box(0, 0, 0.1)), ("outer", box(1, 1, 0.1))]),  # apart on both sides of the area
+        relation(2, [("outer", box(0.5, 0.5, 0.3))]),  # holds the area
+        relation(3, [("outer", box(0.5, 0.5, 0.4)), ("inner", box(0.5, 0.5, 0.2))]),  # holds it in a hole
+        relation(4, [("outer", box(0.5, 0.5, 0.4)), ("inner", box(0.45, 0.5, 0.1))]),  # the hole ends inside it
+    ]
+    documents = spark.createDataFrame([(1, json.dumps(elements))], "area_id long, body string").select(
+        "area_id", F.from_json("body", f"array<{ELEMENT}>").alias("elements")
+    )
+    ring = F.array(*[F.struct(F.lit(p["lon"]).alias("lon"), F.lit(p["lat"]).alias("lat")) for p in box(0.5, 0.5, 0.08)])
+    areas = spark.range(1).select(F.lit(1).cast("long").alias("area_id"), ring.alias("area_ring"))
+    assert {r.id for r in extract(explode_elements(documents), areas).collect()} == {2, 4}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mapweave.streaming.monitors import edit_log, job_feed, vehicle_events
 from mapweave.streaming.poses import tile_visits
 from mapweave.functions import geo as G
-from mapweave.streaming.route import advance, follow_routes, nearest_progress
+from mapweave.streaming.route import advance, follow_routes, nearest_progress, standings_writer
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -53,17 +53,33 @@ def test_vehicle_events(spark, tmp_path):
 def test_route_rules():
     course = {"xs": np.array([0.0, 400.0]), "zs": np.array([0.0, 0.0]), "ds": np.array([0.0, 400.0]), "checkpoints": np.array([120.0, 400.0]), "road_width": 7.0}
     assert nearest_progress(course, 50.0, 3.0, 0.0) == 50.0 and nearest_progress(course, 10.0, 0.0, 200.0) == 200.0
-    run = {"progress": 0.0, "checkpoint": 0, "wrong": 0.0, "off": 0.0, "last": None, "started": 0.0, "px": None, "pz": None}
+    run = {"progress": 0.0, "checkpoint": 0, "wrong": 0.0, "off": 0.0, "last": None, "started": 0.0, "px": None, "pz": None, "finish": None}
     splits = [advance(course, run, {"time": float(t), "x": 10.0 * t, "z": 0.0, "fx": 1.0, "fz": 0.0})["split"] for t in range(41)]
-    assert [t for t, s in enumerate(splits) if s is not None] == [12, 40] and run["checkpoint"] == 2
+    assert [t for t, s in enumerate(splits) if s is not None] == [12, 40] and run["checkpoint"] == 2 and run["finish"] == 40
+    before = dict(run)
+    assert advance(course, run, {"time": 41.0, "x": 0.0, "z": 90.0, "fx": -1.0, "fz": 0.0}) is None and run == before
 
 
 def test_follow_routes(spark, tmp_path):
-    rows = [(1, at(t), 10.0 * t, 0.0, 90.0) for t in range(41)]
-    courses = spark.createDataFrame([(1, [0.0, 400.0], [0.0, 0.0], [0.0, 400.0], [120.0, 400.0], 7.0)], "trace_id long, xs array<double>, zs array<double>, ds array<double>, checkpoints array<double>, road_width double")
-    poses = stream(spark, tmp_path, rows, "trace_id long, ts timestamp, x double, z double, heading double", "poses")
-    got = drain(follow_routes(poses, courses), tmp_path, "route_rows").where("split IS NOT NULL").orderBy("ts").collect()
-    assert [round(r.split) for r in got] == [12, 40]
+    # The trace goes on after the finish, off the course: nothing more is told of it.
+    rows = [(7, 1, at(t), 10.0 * t, 0.0, 90.0) for t in range(41)] + [(7, 1, at(41 + t), 400.0, 30.0 + 5 * t, 270.0) for t in range(20)]
+    courses = spark.createDataFrame([(7, 1, [0.0, 400.0], [0.0, 0.0], [0.0, 400.0], [120.0, 400.0], 7.0)], "area_id long, trace_id long, xs array<double>, zs array<double>, ds array<double>, checkpoints array<double>, road_width double")
+    poses = stream(spark, tmp_path, rows, "area_id long, trace_id long, ts timestamp, x double, z double, heading double", "poses")
+    told = drain(follow_routes(poses, courses), tmp_path, "route_rows")
+    got = told.where("split IS NOT NULL").orderBy("ts").collect()
+    assert [round(r.split) for r in got] == [12, 40] and got[-1].finish == 40
+    assert told.count() == 41 and not told.where("wrong_way OR off_course OR returned").count()
+
+
+def test_standings_keep_silent_and_finished_traces(spark, tmp_path):
+    race = spark.createDataFrame([(7, t, 1) for t in (1, 2, 3)], "area_id long, trace_id long, race_id long")
+    write = standings_writer(str(tmp_path), race)
+    schema = "area_id long, trace_id long, ts timestamp, progress double, finish double, late boolean"
+    write(spark.createDataFrame([(7, 1, at(1), 400.0, 40.0, False), (7, 2, at(1), 90.0, None, False)], schema), 0)
+    for _ in range(2):  # an epoch may be repeated
+        write(spark.createDataFrame([(7, 3, at(2), 120.0, None, False)], schema), 1)
+    rows = spark.read.parquet(f"{tmp_path}/standings/epoch=1").collect()
+    assert {r.trace_id: r.position for r in rows} == {1: 1, 3: 2, 2: 3}
 
 
 def test_tile_stream_equals_batch(spark, tmp_path):
