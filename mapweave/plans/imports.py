@@ -50,7 +50,9 @@ def import_snapshot(areas: DataFrame, elements: DataFrame, elevation_header: Dat
 
 
 def derive_snapshots(requests: DataFrame, snapshots: DataFrame, features: DataFrame, cell: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Sub-area snapshots and their features, for requests that one of the five latest originals covers.
+    """The snapshot of each request and the new snapshots' features, where one of the five latest originals covers it.
+
+    Equal requests share one snapshot; each of them is answered.
 
     Requests: ``request_id, provider, query_version, ring, bounds_json, selection_json``; snapshots: ``snapshot_id,
     provider, query_version, original_ring, retrieved_at, content_hash, is_derived``; features: ``snapshot_id, source_id,
@@ -60,8 +62,10 @@ def derive_snapshots(requests: DataFrame, snapshots: DataFrame, features: DataFr
     parents = snapshots.select(F.col("snapshot_id").alias("parent_id"), F.col("content_hash").alias("parent_hash"))
     derived = served.join(parents, "parent_id").withColumn(
         "snapshot_id", derived_hash(F.col("parent_hash"), F.col("bounds_json"), F.col("selection_json"))
-    ).dropDuplicates(["provider", "snapshot_id"])
+    )
+    # The snapshot's name holds its bounds, so the rows that share it have one ring.
     areas = derived.select(F.col("parent_id").alias("area_id"), F.col("snapshot_id").alias("new_snapshot"), F.col("ring").alias("area_ring"))
+    areas = areas.dropDuplicates(["area_id", "new_snapshot"])
     inside = features_in_area(features.withColumnRenamed("snapshot_id", "area_id"), areas, cell)
     return derived, inside.drop("area_ring", "area_id").withColumnRenamed("new_snapshot", "snapshot_id")
 

@@ -177,9 +177,17 @@ def circuit_candidates(spark, sf_dir):
     return R.summaries(best)
 
 
-@topic.query()
+@topic.query(duck(f"""
+WITH {POINT_SQL},
+pl AS (SELECT area_id, x, z, min(concat(lpad(cast(way_id AS varchar(20)), 12, '0'), '/', lpad(cast(idx AS varchar(20)), 8, '0'))) AS node,
+  arg_min(y, way_id * 1000 + idx) AS ny FROM pt GROUP BY 1, 2, 3),
+st AS (SELECT area_id, way_id, idx, node AS src, x, z, ny, lead(node) OVER w AS dst, lead(x) OVER w AS nx, lead(z) OVER w AS nz, lead(ny) OVER w AS nny
+  FROM pt JOIN pl USING (area_id, x, z) WINDOW w AS (PARTITION BY area_id, way_id ORDER BY idx)),
+ed AS (SELECT area_id, src, dst, sqrt(cast((nx - x) * (nx - x) + (nz - z) * (nz - z) AS double) + (nny - ny) * (nny - ny)) AS len FROM st WHERE dst IS NOT NULL AND dst <> src),
+bo AS (SELECT area_id, src, dst, len FROM ed UNION ALL SELECT area_id, dst, src, len FROM ed)
+SELECT area_id, src, dst, {places_sql('min(len)', 4)} AS length FROM bo GROUP BY 1, 2, 3""", *VIEWS))
 def snapped_edges(spark, sf_dir):
     """Graph of the lattice roads with nearby points joined."""
     points = grid_points(spark, sf_dir).withColumn("tunnel", F.lit(False))
     _, edges = N.snapped_graph(points)
-    return edges
+    return edges.withColumn("length", places(F.col("length"), 4))
