@@ -9,8 +9,10 @@ in turn, so each pair within the distance meets in a bucket for certain.
 A bucket never emits all its pairs. First every member meets only the bucket's smallest one; confirmed links make components.
 While that merges much, it is repeated for buckets with several components, with another centre. What then remains are pairs
 across components of one bucket: their signatures are compared in blocks inside tasks, and only pairs within the distance go
-on to confirmation. Members of one component need no further comparison, so no link between different texts is lost that
-would change a component. Large buckets are split into pairs of blocks, so no task holds a whole one.
+on to confirmation, and of these only pairs that can reach the threshold: shingles that no other member of any open bucket
+has cannot be common, which bounds the Jaccard of a pair from above. Members of one component need no further comparison,
+so no link between different texts is lost that would change a component. Large buckets are split into pairs of blocks, so
+no task holds a whole one.
 
 Null and empty texts, and texts of white space, have no set and link with nothing. Texts with fewer words than a shingle have
 one. Rows that share a doc_id count as one document. A row without doc_id is never a representative while its class has
@@ -36,6 +38,7 @@ CHUNKS = 12
 DISTANCE = 23
 PERCENT = 85
 BLOCK = 1_024
+MAX_IDS = 500_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_501).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -140,10 +143,35 @@ def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return per_task(both, "a long, b long", start)
 
 
+def texts_of(ids: DataFrame, bodies: DataFrame, most: int = MAX_IDS) -> DataFrame:
+    """The rows of ``bodies`` with these doc_ids. Up to ``most`` ids are broadcast, so other texts are not shuffled."""
+    ids = cut_lineage(ids.distinct())
+    return bodies.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
+
+
+def common_at_most(members: DataFrame, bodies: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """rep, common: how many shingles of each member occur in any other member, over all buckets of ``members``."""
+    needed = texts_of(members.select(F.col("rep").alias("doc_id")), bodies)
+
+    def start():
+        words = word_hashes()
+
+        def work(ids, texts):
+            found = [shingle_set(body, words, size) for body in texts]
+            hashes = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            return [np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in found]), hashes]
+
+        return work
+
+    each = per_task(needed.select("doc_id", "body"), "rep long, hash long", start)
+    alone = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = members.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
+    return sizes.join(alone, "rep", "left").select("rep", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Those (a, b) that reach the threshold on their full sets. ``pairs`` is read twice and should be written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = bodies.join(ids, "doc_id", "left_semi")
+    needed = texts_of(pairs.select("a").union(pairs.select("b")).toDF("doc_id"), bodies)
     both = (
         pairs.join(needed.toDF("b", "body_b"), "b").join(needed.toDF("a", "body_a"), "a").select("a", "b", "body_a", "body_b")
     )
@@ -202,24 +230,28 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) within the distance and of different components, in each bucket; compared block against block inside tasks."""
+def cross_pairs(members: DataFrame, classes: DataFrame, common: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """(a, b) within the distance, of different components and able to link, in each bucket.
+
+    ``common`` as of ``common_at_most``. Compared block against block inside tasks.
+    """
+    members = members.join(common, "rep").where(100 * F.col("common") >= percent * F.col("n_shingles"))  # else no partner could do
     rows = members.join(classes.select("rep", "signature"), "rep")
     parts = members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
     rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     # A member of part p takes part in the pairs of blocks (p, q) for all q, once each.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "rep", "comp", "n_shingles", "part", "signature")
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "rep", "comp", "n_shingles", "common", "part", "signature")
 
     def compare(table: pa.Table) -> pa.Table:
-        rep, comp, size, part = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "part"))
+        rep, comp, size, shared, part = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "common", "part"))
         signs = unpacked(table["signature"].to_pylist())
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         found = []
         for at in np.flatnonzero(part == low):
             others = np.flatnonzero((part == high) & (comp != comp[at]) & ((rep > rep[at]) if low == high else True))
-            ends = np.minimum(size[others], size[at]), np.maximum(size[others], size[at])
-            others = others[100 * ends[0] >= PERCENT * ends[1]]
+            most = np.minimum(shared[others], shared[at])
+            others = others[100 * most >= percent * (size[others] + size[at] - most)]
             near = others[(signs[others] != signs[at]).sum(axis=1) <= DISTANCE]
             found += [(min(rep[at], r), max(rep[at], r)) for r in rep[near]]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
@@ -258,7 +290,7 @@ def near_duplicates(
         if left * 2 > before or not left:
             break
     if left:
-        near = cut_lineage(cross_pairs(open_rows, classes))
+        near = cut_lineage(cross_pairs(open_rows, classes, cut_lineage(common_at_most(open_rows, bodies, size)), percent=percent))
         comps = components(links.union(confirmed(near, bodies, percent, size)))
     reps = classes.select("set_id", "rep").join(comps.toDF("rep", "comp"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -150,15 +150,20 @@ def test_cross_pairs_in_small_blocks(spark):
     signs = {i: near_dup.signature(s) for i, s in sets.items()}
     classes = spark.createDataFrame([(i, len(sets[i]), bytearray(signs[i].tobytes())) for i, _ in items], "rep long, n_shingles long, signature binary")
     members = spark.createDataFrame([(1, i, len(sets[i]), i) for i, _ in items], "key long, rep long, n_shingles long, comp long")
-    want = {
-        (a, b) for a, _ in items for b, _ in items
-        if a < b and (signs[a] != signs[b]).sum() <= near_dup.DISTANCE and 100 * min(len(sets[a]), len(sets[b])) >= 85 * max(len(sets[a]), len(sets[b]))
-    }
+    close = {(a, b) for a, _ in items for b, _ in items if a < b and (signs[a] != signs[b]).sum() <= near_dup.DISTANCE}
+    everywhere = Counter(h for s in sets.values() for h in s.tolist())
+    shared = {i: sum(everywhere[h] > 1 for h in s.tolist()) for i, s in sets.items()}
+    bodies = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in items], "doc_id long, body binary")
+    common = near_dup.common_at_most(members, bodies).cache()
+    assert {r.rep: r.common for r in common.collect()} == shared
+    want = {(a, b) for a, b in close if 100 * (m := min(shared[a], shared[b])) >= 85 * (len(sets[a]) + len(sets[b]) - m)}
+    links = {(a, b) for a, b in close if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - c)}
+    assert links and links <= want
     for block in (10, 1_000):
-        assert {tuple(r) for r in near_dup.cross_pairs(members, classes, block).collect()} == want
+        assert {tuple(r) for r in near_dup.cross_pairs(members, classes, common, block).collect()} == want
     # Pigeonhole: whatever lies within the distance shares a bucket.
     keys = {i: set(near_dup.chunk_keys(s[None, :])[0].tolist()) for i, s in signs.items()}
-    assert all(keys[a] & keys[b] for a, b in want)
+    assert all(keys[a] & keys[b] for a, b in close)
 
 
 def pieces_of(library, text):
