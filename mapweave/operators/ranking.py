@@ -49,43 +49,3 @@ def closest_to_center(items: DataFrame, centers: DataFrame, key: str) -> DataFra
     return items.join(centers, "area_id").groupBy("area_id").agg(
         F.min(F.struct((off_x * off_x + off_z * off_z).alias("d2"), F.col(key), "x", "z")).alias("_best")
     ).select("area_id", f"_best.{key}", "_best.x", "_best.z")
-
-
-# Angular separations tried in turn, and the number of entry points.
-SEPARATIONS = (1.2, 0.7, 0.35, 0.0)
-ENTRY_COUNT = 6
-
-
-def entry_points(candidates: DataFrame, edge_band: float = 70.0) -> DataFrame:
-    """Up to six far nodes per area, spread by angle; the required separation relaxes in turn.
-
-    Candidates: ``area_id, node_key, far, edge, angle`` of reachable nodes inside the area. A node on the edge is used
-    when at least two are. Each greedy pick is one join and one aggregate, so no task holds an area's nodes.
-    """
-    near = candidates.where(F.col("edge") < edge_band).groupBy("area_id").count().where("count >= 2").select(
-        "area_id", F.lit(True).alias("_edges")
-    )
-    pool = candidates.join(near, "area_id", "left").where(
-        F.col("_edges").isNull() | (F.col("edge") < edge_band)
-    ).select("area_id", "node_key", "far", "angle")
-    none = F.array().cast("array<struct<node_key:string,angle:double>>")
-    chosen = pool.groupBy("area_id").agg(F.lit(0).alias("_z")).select("area_id", none.alias("picked"))
-    for separation in SEPARATIONS:
-        for _ in range(ENTRY_COUNT):
-            gap = lambda a, b: F.abs(F.atan2(F.sin(a - b), F.cos(a - b)))
-            open_ = pool.join(chosen, "area_id").where(F.size("picked") < ENTRY_COUNT).where(F.forall(
-                "picked", lambda p: (p["node_key"] != F.col("node_key")) & (gap(F.col("angle"), p["angle"]) >= separation)
-            ))
-            best = open_.groupBy("area_id").agg(
-                F.max(F.struct("far", F.struct("node_key", "angle").alias("item"))).alias("_top")
-            ).select("area_id", F.col("_top.item").alias("_item"))
-            chosen = chosen.join(best, "area_id", "left").select(
-                "area_id",
-                F.when(F.col("_item").isNotNull(), F.concat("picked", F.array("_item"))).otherwise(F.col("picked")).alias("picked"),
-            )
-        from mapweave.session import cut_lineage
-
-        chosen = cut_lineage(chosen)
-    return chosen.select("area_id", F.posexplode("picked").alias("ordinal", "_p")).select(
-        "area_id", "ordinal", "_p.node_key", "_p.angle"
-    )

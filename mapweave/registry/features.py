@@ -261,8 +261,8 @@ WHERE o.p IS DISTINCT FROM n.p""", "v_overrides"))
 def override_diff(spark, sf_dir):
     log = view(spark, sf_dir, "v_overrides")
     # The earlier version of the log ends at the middle ordinal.
-    middle = log.agg(F.expr("(min(ordinal) + max(ordinal)) div 2").alias("cut"))
-    before = log.join(F.broadcast(middle), F.col("ordinal") < F.col("cut")).drop("cut")
+    middle = log.agg(F.expr("(min(ordinal) + max(ordinal)) div 2").alias("cut")).first()["cut"]
+    before = log.where(F.col("ordinal") < middle)
     return O.changed_targets(before, log, ["payload_value", "payload_visible"])
 
 
@@ -275,8 +275,7 @@ SELECT s.* FROM saved s WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.area_id =
 UNION ALL SELECT i.area_id, i.target_id, i.operation, coalesce(t, 0) + i.ordinal, i.payload_value FROM inc i LEFT JOIN top USING (area_id)""", "v_overrides"))
 def override_upsert(spark, sf_dir):
     log = view(spark, sf_dir, "v_overrides")
-    middle = log.agg(F.expr("(min(ordinal) + max(ordinal)) div 2").alias("cut"))
-    marked = log.join(F.broadcast(middle))
-    saved = O.last_override(marked.where("ordinal < cut"), "payload_value")
-    incoming = O.last_override(marked.where("ordinal >= cut"), "payload_value")
+    middle = log.agg(F.expr("(min(ordinal) + max(ordinal)) div 2").alias("cut")).first()["cut"]
+    saved = O.last_override(log.where(F.col("ordinal") < middle), "payload_value")
+    incoming = O.last_override(log.where(F.col("ordinal") >= middle), "payload_value")
     return O.upsert(saved, incoming)

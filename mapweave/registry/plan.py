@@ -159,9 +159,8 @@ WITH {AFFECTED_SQL.strip()} SELECT DISTINCT area_id, chunk_x, chunk_z FROM ce WH
 def affected_chunks(spark, sf_dir):
     """Chunks to rebuild when the second half of the override log is applied."""
     log = view(spark, sf_dir, "v_overrides")
-    # One row: the middle of the log.
-    middle = log.agg(F.expr("(min(ordinal) + max(ordinal)) div 2").alias("cut"))
-    before = log.join(F.broadcast(middle), F.col("ordinal") < F.col("cut")).drop("cut")
+    middle = log.agg(F.expr("(min(ordinal) + max(ordinal)) div 2").alias("cut")).first()["cut"]
+    before = log.where(F.col("ordinal") < middle)
     centers = C.line_centers(view(spark, sf_dir, "v_grid_nodes"))
     tags = view(spark, sf_dir, "v_road_tags").select("area_id", "way_id", "source_id")
     roads = cut_lineage(C.with_chunk(centers.join(tags, ["area_id", "way_id"])))

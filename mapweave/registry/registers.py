@@ -42,11 +42,12 @@ f AS (SELECT o_custkey AS snapshot_id, count(*) AS feature_count FROM orders GRO
 SELECT rq.*, n.snapshot_id, CASE WHEN n.snapshot_id IS NOT NULL THEN coalesce(feature_count, 0) END AS feature_count FROM rq LEFT JOIN n USING (provider, query_version, bounds_key) LEFT JOIN f USING (snapshot_id)""", "v_snapshots"))
 def exact_reuse(spark, sf_dir):
     snapshots = view(spark, sf_dir, "v_snapshots")
-    # Five market segments stand for providers, a fixed list of the source.
-    providers = snapshots.select("provider").distinct()
+    # Five market segments stand for providers, a fixed list of the source: a request asks each of them.
+    providers = sorted(row.provider for row in snapshots.select("provider").distinct().collect())
     requests = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("request_id"), F.lit(1).alias("query_version"), (F.col("s_suppkey") % 50).alias("bounds_key")
-    ).join(providers)
+        F.col("s_suppkey").alias("request_id"), F.lit(1).alias("query_version"), (F.col("s_suppkey") % 50).alias("bounds_key"),
+        F.explode(F.array(*[F.lit(p) for p in providers])).alias("provider"),
+    )
     features = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("snapshot_id"))
     return S.exact_reuse(
         requests, snapshots, features, ["provider", "query_version", "bounds_key"], "retrieved_ordinal"
