@@ -168,14 +168,25 @@ def nearest_segment(points: DataFrame, parts: DataFrame, keys: list[str], order:
     """Nearest segment of each point, whatever the distance; ties go to the lowest ``order``.
 
     Adds ``distance``, ``ratio``, the ``order`` columns and ``carry``. Exact: cell distances only rule out cells that
-    cannot hold the nearest segment.
+    cannot hold the nearest segment. Segments stand in the cells they cross, not in all cells of their box, so an occupied
+    cell bounds the distance of each point: cells farther than the least such bound never meet the point's segments.
     """
-    entries = cover(parts.withColumn("_b", segment_box()), "_b", size).drop("_b")
+    dx, dz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
+    middle = lambda c: (F.col(c) + 0.5) * size
+    off_line = F.abs(dx * (middle("cz") - F.col("az")) - dz * (middle("cx") - F.col("ax")))
+    crossed = off_line <= (F.abs(dx) + F.abs(dz)) * (size / 2) * (1 + 1e-9)
+    entries = cover(parts.withColumn("_b", segment_box()), "_b", size).drop("_b").where(crossed)
     asked = points.withColumns({"qx": F.floor(F.col("px") / size), "qz": F.floor(F.col("pz") / size)})
     cells = _cell_candidates(
         asked.select("area_id", "qx", "qz").distinct(), entries.select("area_id", "cx", "cz").distinct(), size
     )
-    met = asked.join(cells, ["area_id", "qx", "qz"]).join(entries, ["area_id", "cx", "cz"])
+    gaps = {axis: (F.col(f"c{axis}") * size - F.col(f"p{axis}"), F.col(f"p{axis}") - (F.col(f"c{axis}") + 1) * size) for axis in "xz"}
+    least = F.sqrt(sum(F.pow(F.greatest(low, high, F.lit(0.0)), 2) for low, high in gaps.values()))
+    most = F.sqrt(sum(F.pow(F.greatest(F.abs(low), F.abs(high)), 2) for low, high in gaps.values()))
+    around = computed(asked.join(cells, ["area_id", "qx", "qz"]), _near=least, _far=most)
+    bound = around.groupBy("area_id", *keys).agg(F.min("_far").alias("_bound"))
+    kept = around.join(bound, ["area_id", *keys]).where(F.col("_near") <= F.col("_bound")).drop("_near", "_far", "_bound", "qx", "qz")
+    met = kept.join(entries, ["area_id", "cx", "cz"])
     ratio, distance = segment_gap()
     best = met.withColumn("ratio", ratio).withColumn("distance", distance).groupBy("area_id", *keys).agg(
         F.min(F.struct("distance", *order, "ratio", "ax", "az", "bx", "bz", *carry)).alias("_best")

@@ -9,6 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 NAMES = (
     "feature_stats", "parse_measure", "width_provenance", "override_diff", "densified_points", "dem_sample", "crossings", "nearest_road",
     "junctions", "affected_chunks", "shortest_distances", "customization_writes", "vegetation", "tile_visits", "opening_errors",
+    "normalized_features", "import_diagnostics", "snapshot_rows", "preview_report", "snapped_edges", "override_upsert", "exact_reuse",
 )
 
 

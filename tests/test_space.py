@@ -43,9 +43,10 @@ def test_repeats_and_densify(spark):
 
 def test_nearest_is_exact(spark):
     rng = random.Random(5)
+    # Short and long diagonals: the boxes of the long ones cover many cells that they do not cross.
     segs = [(1, n, 0, *[rng.uniform(-400, 400) for _ in range(2)]) for n in range(60)]
-    segs = [(a, w, i, x, z, x + rng.uniform(-40, 40), z + rng.uniform(-40, 40)) for a, w, i, x, z in segs]
-    pts = [(1, n, rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)) for n in range(80)]
+    segs = [(a, w, i, x, z, x + rng.uniform(-1, 1) * far, z + rng.uniform(-1, 1) * far) for a, w, i, x, z in segs for far in (40 if w % 3 else 600,)]
+    pts = [(1, n, rng.uniform(-1, 1) * far, rng.uniform(-1, 1) * far) for n in range(160) for far in (500 if n % 2 else 3000,)]
     best = R.nearest_segment(
         spark.createDataFrame(pts, "area_id int, id int, px double, pz double"),
         spark.createDataFrame(segs, "area_id int, way_id int, idx int, ax double, az double, bx double, bz double"), ["id"], ["way_id", "idx"], [],
