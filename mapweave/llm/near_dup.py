@@ -233,7 +233,8 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
 def cross_pairs(members: DataFrame, classes: DataFrame, common: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
     """(a, b) within the distance, of different components and able to link, in each bucket.
 
-    ``common`` as of ``common_at_most``. Compared block against block inside tasks.
+    ``common`` as of ``common_at_most``. Compared block against block inside tasks; a pair that shares several buckets is
+    emitted in the one with the least key, in which both stand, as it is open too.
     """
     members = members.join(common, "rep").where(100 * F.col("common") >= percent * F.col("n_shingles"))  # else no partner could do
     rows = members.join(classes.select("rep", "signature"), "rep")
@@ -246,13 +247,15 @@ def cross_pairs(members: DataFrame, classes: DataFrame, common: DataFrame, block
     def compare(table: pa.Table) -> pa.Table:
         rep, comp, size, shared, part = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "common", "part"))
         signs = unpacked(table["signature"].to_pylist())
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        found = []
+        key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
+        keys, found = chunk_keys(signs), []
         for at in np.flatnonzero(part == low):
             others = np.flatnonzero((part == high) & (comp != comp[at]) & ((rep > rep[at]) if low == high else True))
             most = np.minimum(shared[others], shared[at])
             others = others[100 * most >= percent * (size[others] + size[at] - most)]
             near = others[(signs[others] != signs[at]).sum(axis=1) <= DISTANCE]
+            shared_keys = np.where(keys[near] == keys[at], keys[near], np.iinfo(np.int64).max)
+            near = near[shared_keys.min(axis=1, initial=np.iinfo(np.int64).max) == key]
             found += [(min(rep[at], r), max(rep[at], r)) for r in rep[near]]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 

@@ -149,7 +149,7 @@ def test_cross_pairs_in_small_blocks(spark):
     sets = {i: near_dup.shingle_set(t.encode(), words) for i, t in items}
     signs = {i: near_dup.signature(s) for i, s in sets.items()}
     classes = spark.createDataFrame([(i, len(sets[i]), bytearray(signs[i].tobytes())) for i, _ in items], "rep long, n_shingles long, signature binary")
-    members = spark.createDataFrame([(1, i, len(sets[i]), i) for i, _ in items], "key long, rep long, n_shingles long, comp long")
+    members = near_dup.bucket_rows(classes).withColumn("comp", F.col("rep")).cache()
     close = {(a, b) for a, _ in items for b, _ in items if a < b and (signs[a] != signs[b]).sum() <= near_dup.DISTANCE}
     everywhere = Counter(h for s in sets.values() for h in s.tolist())
     shared = {i: sum(everywhere[h] > 1 for h in s.tolist()) for i, s in sets.items()}
