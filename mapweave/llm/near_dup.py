@@ -222,8 +222,17 @@ def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each bucket's centre with every member of another component. The centre is the member of least rank this turn."""
-    rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+    """(a, b): each bucket's centre with every member of another component.
+
+    The first centre is the member that stands in most buckets: the text that copies were made from shares most of them.
+    Later ones follow a hash that changes with the turn.
+    """
+    rank = F.xxhash64("rep", F.lit(turn))
+    if not turn:
+        degrees = members.groupBy("rep").agg(F.count("*").alias("degree"))
+        members = members.join(degrees, "rep")
+        # One number, so that the aggregate stays a hash aggregate: fewer buckets first, then a hash.
+        rank = F.shiftleft((POSITIONS - F.col("degree")).cast("long"), 55) + F.shiftrightunsigned(F.xxhash64("rep"), 9)
     of_centre = [F.min_by(c, rank).alias(name) for c, name in (("rep", "centre"), ("n_shingles", "size"), ("comp", "of"))]
     centres = members.groupBy("key").agg(F.count("*").alias("n"), *of_centre).where("n > 1").drop("n")
     met = members.join(centres, "key").where((F.col("comp") != F.col("of")) & sizes_fit("n_shingles", "size"))
