@@ -9,8 +9,9 @@ in turn, so each pair within the distance meets in a bucket for certain.
 A bucket never emits all its pairs. First every member meets only the bucket's smallest one; confirmed links make components.
 While that merges much, it is repeated for buckets with several components, with another centre. What then remains are pairs
 across components of one bucket: their signatures are compared in blocks inside tasks, and only pairs within the distance go
-on to confirmation, and of these only pairs that can reach the threshold: shingles that no other member of any open bucket
-has cannot be common, which bounds the Jaccard of a pair from above. Members of one component need no further comparison,
+on to confirmation, and of these only pairs that can reach the threshold: a pair that shares no rare shingle, one that at most
+``RARE`` members of open buckets have, shares frequent ones only, which bounds its Jaccard from above. Pairs that do share a
+rare one are confirmed too; they are few, as each such shingle has few members. Members of one component need no further comparison,
 so no link between different texts is lost that would change a component. Large buckets are split into pairs of blocks, so
 no task holds a whole one.
 
@@ -39,6 +40,7 @@ DISTANCE = 23
 PERCENT = 85
 BLOCK = 1_024
 MAX_IDS = 500_000
+RARE = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_501).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -149,8 +151,8 @@ def texts_of(ids: DataFrame, bodies: DataFrame, most: int = MAX_IDS) -> DataFram
     return bodies.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
 
 
-def common_at_most(members: DataFrame, bodies: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """rep, common: how many shingles of each member occur in any other member, over all buckets of ``members``."""
+def shingle_counts(members: DataFrame, bodies: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """rep, hash, n: the shingles of all members of ``members``, each with the number of members that have it."""
     needed = texts_of(members.select(F.col("rep").alias("doc_id")), bodies)
 
     def start():
@@ -163,10 +165,22 @@ def common_at_most(members: DataFrame, bodies: DataFrame, size: int = SHINGLE) -
 
         return work
 
-    each = per_task(needed.select("doc_id", "body"), "rep long, hash long", start)
-    alone = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    sizes = members.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
-    return sizes.join(alone, "rep", "left").select("rep", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+    each = per_task(needed.select("doc_id", "body"), "rep long, hash long", start).distinct()
+    return each.join(each.groupBy("hash").agg(F.count("*").alias("n")), "hash")
+
+
+def common_at_most(members: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
+    """rep, common: how many shingles of each member more than ``rare`` members have."""
+    often = counts.where(F.col("n") > rare).groupBy("rep").agg(F.count("*").alias("often"))
+    return members.select("rep").distinct().join(often, "rep", "left").select("rep", F.coalesce("often", F.lit(0)).cast("long").alias("common"))
+
+
+def rare_pairs(members: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
+    """(a, b) of different components that have a shingle in common which at most ``rare`` members have."""
+    lists = counts.where(F.col("n").between(2, rare)).groupBy("hash").agg(F.collect_set("rep").alias("reps"))  # at most ``rare`` each
+    pairs = lists.select("reps", F.explode("reps").alias("a")).select("a", F.explode("reps").alias("b")).where("a < b").distinct()
+    comps = members.select("rep", "comp").distinct()
+    return pairs.join(comps.toDF("a", "of_a"), "a").join(comps.toDF("b", "of_b"), "b").where("of_a <> of_b").select("a", "b")
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -240,7 +254,7 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
 
 
 def cross_pairs(members: DataFrame, classes: DataFrame, common: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
-    """(a, b) within the distance, of different components and able to link, in each bucket.
+    """(a, b) within the distance, of different components and able to link by frequent shingles alone, in each bucket.
 
     ``common`` as of ``common_at_most``. Compared block against block inside tasks; a pair that shares several buckets is
     emitted in the one with the least key, in which both stand, as it is open too.
@@ -302,7 +316,9 @@ def near_duplicates(
         if left * 2 > before or not left:
             break
     if left:
-        near = cut_lineage(cross_pairs(open_rows, classes, cut_lineage(common_at_most(open_rows, bodies, size)), percent=percent))
+        counts = cut_lineage(shingle_counts(open_rows, bodies, size))
+        common = cut_lineage(common_at_most(open_rows, counts))
+        near = cut_lineage(cross_pairs(open_rows, classes, common, percent=percent).union(rare_pairs(open_rows, counts)).distinct())
         comps = components(links.union(confirmed(near, bodies, percent, size)))
     reps = classes.select("set_id", "rep").join(comps.toDF("rep", "comp"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -152,13 +152,17 @@ def test_cross_pairs_in_small_blocks(spark):
     members = near_dup.bucket_rows(classes).withColumn("comp", F.col("rep")).cache()
     close = {(a, b) for a, _ in items for b, _ in items if a < b and (signs[a] != signs[b]).sum() <= near_dup.DISTANCE}
     everywhere = Counter(h for s in sets.values() for h in s.tolist())
-    shared = {i: sum(everywhere[h] > 1 for h in s.tolist()) for i, s in sets.items()}
+    shared = {i: sum(everywhere[h] > near_dup.RARE for h in s.tolist()) for i, s in sets.items()}
     bodies = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in items], "doc_id long, body binary")
-    common = near_dup.common_at_most(members, bodies).cache()
+    counts = near_dup.shingle_counts(members, bodies).cache()
+    common = near_dup.common_at_most(members, counts).cache()
     assert {r.rep: r.common for r in common.collect()} == shared
+    rare = {h for h, n in everywhere.items() if 2 <= n <= near_dup.RARE}
+    by_rare = {(a, b) for a in sets for b in sets if a < b and rare & set(sets[a].tolist()) & set(sets[b].tolist())}
+    assert {tuple(r) for r in near_dup.rare_pairs(members, counts).collect()} == by_rare
     want = {(a, b) for a, b in close if 100 * (m := min(shared[a], shared[b])) >= 85 * (len(sets[a]) + len(sets[b]) - m)}
     links = {(a, b) for a, b in close if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - c)}
-    assert links and links <= want
+    assert links and links <= want | by_rare
     for block in (10, 1_000):
         assert {tuple(r) for r in near_dup.cross_pairs(members, classes, common, block).collect()} == want
     # Pigeonhole: whatever lies within the distance shares a bucket.
