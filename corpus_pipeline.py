@@ -12,6 +12,8 @@ from mapweave.llm import exact_dedup, near_dup, packing, secret_scan, toxicity
 from mapweave.llm.common import read
 from mapweave.session import cut_lineage
 
+NEAR_PERCENT = 80  # of the near-duplicate stage; op5_near_dup has a threshold of its own
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that a model, trained on the labelled ones, predicts to be toxic."""
@@ -24,8 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near-duplicates."""
-    return near_dup.first_of_groups(docs)
+    """The document with the smallest doc_id of each component of texts that share 80 % of their five-word shingles."""
+    return near_dup.first_of_groups(docs, NEAR_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

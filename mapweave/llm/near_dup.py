@@ -1,10 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join, links confirmed on full shingle sets.
 
 Each text becomes its set of word shingles and a signature of ``POSITIONS`` b-bit minima. Equal sets are one class with one
-representative. Two sets at the Jaccard threshold differ in about 15 % of the positions; ``DISTANCE`` lies so far above that
-fewer than one such pair in 100,000 exceeds it. The signature is cut into ``CHUNKS`` pieces. By the pigeonhole principle, a
-pair within the distance has a piece with at most DISTANCE // CHUNKS errors, here one; every position of a piece is left out
-in turn, so each pair within the distance meets in a bucket for certain.
+representative. Two sets at the Jaccard threshold, ``PERCENT`` or another, differ in about 100 less that percent of the
+positions; the distance of ``reach`` lies so far above that at most ``MISSED`` of such pairs exceed it (``DISTANCE`` at
+``PERCENT``). The signature is cut into so many pieces (``CHUNKS`` at ``PERCENT``) that, by the pigeonhole principle, a pair
+within the distance has a piece with at most one error; every position of a piece is left out in turn, so each pair within
+the distance meets in a bucket for certain.
 
 A bucket never emits all its pairs. First every member meets only the bucket's smallest one; confirmed links make components.
 While that merges much, it is repeated for buckets with several components, with another centre. What then remains are pairs
@@ -23,6 +24,8 @@ another and links with nothing else. An empty table gives an empty result; extra
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,9 +38,8 @@ from mapweave.session import cut_lineage
 SHINGLE = 5
 POSITIONS = 64
 BITS = 16
-CHUNKS = 12
-DISTANCE = 23
 PERCENT = 85
+MISSED = 1.5e-5
 BLOCK = 1_024
 MAX_IDS = 500_000
 RARE = 8
@@ -45,6 +47,19 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_501).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def reach(percent: int) -> tuple[int, int]:
+    """(distance, chunks): the least distance that at most ``MISSED`` of the pairs at the threshold exceed; one error a chunk."""
+    differ = 1 - percent / 100
+    within, distance = (1 - differ) ** POSITIONS, 0
+    while 1 - within > MISSED:
+        distance += 1
+        within += math.comb(POSITIONS, distance) * differ**distance * (1 - differ) ** (POSITIONS - distance)
+    return distance, distance // 2 + 1
+
+
+DISTANCE, CHUNKS = reach(PERCENT)
+
+
 def word_hashes() -> Lookup:
     return Lookup(xxhash.xxh64_intdigest)
 
@@ -108,14 +123,14 @@ def sets(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: str
     return per_task(id_and_bytes(docs, doc_id, text), "doc_id long, n_shingles long, set_id binary, signature binary", start)
 
 
-def bucket_rows(classes: DataFrame) -> DataFrame:
+def bucket_rows(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """key, rep, n_shingles: the rows of each class in its buckets."""
 
     def start():
         def work(reps, sizes, signatures):
             if not reps:
                 return [[], [], []]
-            keys = chunk_keys(unpacked(signatures))
+            keys = chunk_keys(unpacked(signatures), chunks)
             return [keys.ravel(), np.repeat(np.array(reps, dtype=np.int64), keys.shape[1]), np.repeat(np.array(sizes, dtype=np.int64), keys.shape[1])]
 
         return work
@@ -128,8 +143,8 @@ def sizes_fit(a: str, b: str, percent: int = PERCENT) -> F.Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those (a, b) whose signatures differ in at most ``DISTANCE`` positions."""
+def within_distance(pairs: DataFrame, classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Those (a, b) whose signatures differ in at most ``distance`` positions."""
     signed = classes.select("rep", "signature")
     both = pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
 
@@ -137,7 +152,7 @@ def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         def work(a, b, left, right):
             if not a:
                 return [[], []]
-            near = (unpacked(left) != unpacked(right)).sum(axis=1) <= DISTANCE
+            near = (unpacked(left) != unpacked(right)).sum(axis=1) <= distance
             return [np.array(a)[near], np.array(b)[near]]
 
         return work
@@ -235,7 +250,7 @@ def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+def star_pairs(members: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
     """(a, b): each bucket's centre with every member of another component.
 
     The first centre is the member that stands in most buckets: the text that copies were made from shares most of them.
@@ -249,7 +264,7 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
         rank = F.shiftleft((POSITIONS - F.col("degree")).cast("long"), 55) + F.shiftrightunsigned(F.xxhash64("rep"), 9)
     of_centre = [F.min_by(c, rank).alias(name) for c, name in (("rep", "centre"), ("n_shingles", "size"), ("comp", "of"))]
     centres = members.groupBy("key").agg(F.count("*").alias("n"), *of_centre).where("n > 1").drop("n")
-    met = members.join(centres, "key").where((F.col("comp") != F.col("of")) & sizes_fit("n_shingles", "size"))
+    met = members.join(centres, "key").where((F.col("comp") != F.col("of")) & sizes_fit("n_shingles", "size", percent))
     return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
@@ -259,6 +274,7 @@ def cross_pairs(members: DataFrame, classes: DataFrame, common: DataFrame, block
     ``common`` as of ``common_at_most``. Compared block against block inside tasks; a pair that shares several buckets is
     emitted in the one with the least key, in which both stand, as it is open too.
     """
+    distance, chunks = reach(percent)
     members = members.join(common, "rep").where(100 * F.col("common") >= percent * F.col("n_shingles"))  # else no partner could do
     rows = members.join(classes.select("rep", "signature"), "rep")
     parts = members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
@@ -271,12 +287,12 @@ def cross_pairs(members: DataFrame, classes: DataFrame, common: DataFrame, block
         rep, comp, size, shared, part = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "common", "part"))
         signs = unpacked(table["signature"].to_pylist())
         key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
-        keys, found = chunk_keys(signs), []
+        keys, found = chunk_keys(signs, chunks), []
         for at in np.flatnonzero(part == low):
             others = np.flatnonzero((part == high) & (comp != comp[at]) & ((rep > rep[at]) if low == high else True))
             most = np.minimum(shared[others], shared[at])
             others = others[100 * most >= percent * (size[others] + size[at] - most)]
-            near = others[(signs[others] != signs[at]).sum(axis=1) <= DISTANCE]
+            near = others[(signs[others] != signs[at]).sum(axis=1) <= distance]
             shared_keys = np.where(keys[near] == keys[at], keys[near], np.iinfo(np.int64).max)
             near = near[shared_keys.min(axis=1, initial=np.iinfo(np.int64).max) == key]
             found += [(min(rep[at], r), max(rep[at], r)) for r in rep[near]]
@@ -295,18 +311,19 @@ def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept of every row."""
+    distance, chunks = reach(percent)
     bodies = id_and_bytes(docs, doc_id, text)
     rows = cut_lineage(sets(docs, size, doc_id, text))
     classes = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     classes = cut_lineage(classes)
-    every = bucket_rows(classes)
+    every = bucket_rows(classes, chunks)
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     plain = cut_lineage(every.join(shared, "key", "left_semi"))
     links, comps, open_rows, turn = None, None, labelled(plain, None), 0
     while True:
-        near = cut_lineage(within_distance(star_pairs(open_rows, turn), classes))
+        near = cut_lineage(within_distance(star_pairs(open_rows, turn, percent), classes, distance))
         found = cut_lineage(confirmed(near, bodies, percent, size))
         links = found if links is None else links.union(found)
         comps = components(links)
@@ -327,9 +344,9 @@ def near_duplicates(
     )
 
 
-def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_groups(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those whose component has a smaller doc_id."""
-    later = near_duplicates(docs, doc_id=doc_id, text=text).where("NOT kept").select(F.col("doc_id").alias("_later_id")).distinct()
+    later = near_duplicates(docs, percent, doc_id=doc_id, text=text).where("NOT kept").select(F.col("doc_id").alias("_later_id")).distinct()
     return docs.join(later, docs[doc_id].cast("long").eqNullSafe(F.col("_later_id")), "left_anti")
 
 

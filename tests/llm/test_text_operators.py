@@ -394,3 +394,28 @@ def test_pipeline_stages_take_effect(spark, documents):
     assert not toxicity.scored(docs.where("text NOT LIKE '%[SECRET]%'"), model).where("predicted = 1").count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in kept}
+
+
+def test_near_duplicate_stage_links_at_80_percent(spark):
+    """The stage against brute force at 80; many of these copies lie between 80 and 85 %."""
+    assert near_dup.reach(85) == (23, 12) and near_dup.reach(80) == (27, 14)
+    draw, items = random.Random(21), []
+    for family in range(60):
+        words = [f"w{family}x{n}" for n in range(104)]
+        items.append((len(items), " ".join(words)))
+        for at in draw.sample(range(10, 90, 10), 2) if family % 2 else [30]:
+            words[at] = f"n{family}x{at}"
+        if family % 3 == 0:
+            words = words[: draw.randint(88, 104)]
+        items.append((len(items), " ".join(words)))
+    found = {i: shingles(t) for i, t in items}
+
+    def similar(a, b, percent):
+        common = len(found[a] & found[b])
+        return 100 * common >= percent * (len(found[a]) + len(found[b]) - common)
+
+    later = {b for a, b in zip(range(0, 120, 2), range(1, 120, 2)) if similar(a, b, 80)}
+    assert 5 <= sum(not similar(b - 1, b, 85) for b in later) and len(later) < 60
+    docs = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()}
+    assert kept == set(range(120)) - later
