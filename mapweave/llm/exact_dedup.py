@@ -7,7 +7,8 @@ survive, and the text itself is never shuffled. Groups are counts and minima tha
 carry narrow rows, which AQE splits where one group holds a large part of the table.
 
 Null and empty texts are one value, the empty text. Rows that share a doc_id are each reported. A null doc_id never is a
-keep_id while its group has another. An empty table gives an empty result; extra columns are ignored.
+keep_id while its group has another. ``one_of_each`` keeps one row even of rows that agree in both. An empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from mapweave.session import cut_lineage
 
 HEAD = 64
 SPACES = r"[\x20\x09-\x0D]+"
+SAME = "_row_id <=> _copied_id AND _row_full = _copied_full"
 
 
 def narrow_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,10 +55,31 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
 
+def _copies(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` without later copies, with the columns _row_id and _row_full; the pairs of these that several kept rows share.
+
+    A row is judged by its id and its text: a null or shared doc_id says nothing about its other texts.
+    """
+    judged = exact_duplicates(docs, doc_id, text).groupBy("doc_id", F.unhex("text_sha256").alias("full")).agg(
+        F.first("kept").alias("kept"), F.count("*").alias("n")
+    )
+    judged = cut_lineage(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_copied_id"), F.col("full").alias("_copied_full"), "kept"))
+    even = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
+    rows = docs.withColumn("_row_id", F.col(doc_id).cast("long")).withColumn("_row_full", F.unhex(F.sha2(even.cast("binary"), 256)))
+    return rows.join(judged.where("NOT kept"), F.expr(SAME), "left_anti"), judged.where("kept")
+
+
 def first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose equal text has a smaller doc_id."""
-    later = exact_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_later_id"))
-    return docs.join(later, docs[doc_id].cast("long").eqNullSafe(F.col("_later_id")), "left_anti")
+    """The rows of ``docs``, all columns, without those whose equal text has a smaller doc_id. Equal ids and texts all stay."""
+    return _copies(docs, doc_id, text)[0].drop("_row_id", "_row_full")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of ``docs``, all columns, of each group of equal texts: one with the smallest doc_id, null ids last."""
+    rows, tied = _copies(docs, doc_id, text)
+    if not tied.isEmpty():
+        rows = rows.join(tied, F.expr(SAME), "left_anti").union(rows.join(tied, F.expr(SAME), "left_semi").dropDuplicates(["_row_id", "_row_full"]))
+    return rows.drop("_row_id", "_row_full")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,3 +419,16 @@ def test_near_duplicate_stage_links_at_80_percent(spark):
     docs = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()}
     assert kept == set(range(120)) - later
+
+
+def test_exact_stage_judges_rows_not_ids(spark):
+    rows = [
+        (1, "copied", "a"), (None, "copied", "b"), (None, "alone", "c"), (None, "two of null", "d"), (None, "two  of null", "e"),
+        (2, "first", "f"), (3, "first", "g"), (3, "shares its id", "h"), (4, "whole row", "i"), (4, "whole row", "i"), (5, "whole row", "j"),
+        (6, None, "k"), (None, "", None), (7, "shares its id", "l"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r.doc_id, " ".join((r.text or "").split())) for r in corpus_pipeline.drop_copies(spark, docs, SMALL).collect()]
+    want = [(1, "copied"), (None, "alone"), (None, "two of null"), (2, "first"), (3, "shares its id"), (4, "whole row"), (6, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.drop_copies(spark, docs, SMALL).columns == docs.columns
