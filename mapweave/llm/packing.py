@@ -4,8 +4,8 @@ Documents become pieces of at most ``capacity`` tokens (only longer ones are cut
 pieces are sequences of their own. The others are dealt evenly into groups of about ``GROUP`` pieces, each packed in a task
 of its own: best-fit decreasing gives the incumbent; then, bin by bin, the largest piece left is completed by the undominated
 fillings of its gap, least waste first, and a branch is left when its waste exceeds what a solution with one sequence fewer
-may waste. A group ends at its lower bound or after ``NODES`` bins tried and keeps the best solution. A group loses less
-than one sequence against packing all pieces at once, that is one in several thousand.
+may waste. A group ends at its lower bound, when nothing is left to try, or after ``NODES`` bins or ``STEPS`` times as many
+steps inside fillings, and keeps the best solution.
 
 Null and empty texts are one piece, the separator alone. Rows that share a doc_id are packed each. An empty table gives an
 empty result; extra columns are ignored; a null doc_id stays null.
@@ -14,6 +14,9 @@ empty result; extra columns are ignored; a null doc_id stays null.
 from __future__ import annotations
 
 import zlib
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ CAPACITY = 2_048
 SEPARATOR = 0
 GROUP = 16_384
 NODES = 40_000
+STEPS = 200
 END_OF_TEXT = {"<|endoftext|>": 50_256}  # fixed value of the vocabulary
 
 
@@ -90,39 +94,101 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def completions(counts: np.ndarray, gap: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``gap`` from the histogram that waste at most ``most``, least waste first.
+def bits_of(sizes: np.ndarray) -> int:
+    """A set of small numbers as the bits of one."""
+    return int.from_bytes(np.packbits(sizes, bitorder="little").tobytes(), "little")
 
-    A filling is dominated by one that holds, size by size or in sums, at least as much in its place.
+
+def narrow(numbers: np.ndarray) -> array:
+    return array("i", numbers.astype(np.int32).tobytes())
+
+
+def first_reach(there: array, counts: array, gap: int) -> np.ndarray:
+    """For each sum up to ``gap``, how many of the sizes, smallest first, are needed to make it; more than there are if none can."""
+    needed = np.full(gap + 1, len(there) + 1, dtype=np.int32)
+    needed[0], sums, mask = 0, 1, (1 << (gap + 1)) - 1
+    for number, (size, count) in enumerate(zip(there, counts, strict=True), 1):
+        grown = sums
+        for _ in range(min(count, gap // size)):
+            more = (grown | grown << size) & mask
+            if more == grown:
+                break
+            grown = more
+        if new := grown ^ sums:
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(gap // 8 + 1, "little"), dtype=np.uint8), bitorder="little")
+            needed[np.flatnonzero(bits)] = number
+            sums = grown
+        if sums == mask:
+            break
+    return needed
+
+
+def smeared(sums: int, most: int) -> int:
+    """The sums, each with all numbers up to ``most`` above it."""
+    width = 0
+    while width < most:
+        step = min(width + 1, most - width)
+        sums |= sums << step
+        width += step
+    return sums
+
+
+def over(sums: int, most: int) -> int:
+    """All numbers from one to ``most`` above a sum."""
+    return smeared(sums << 1, most - 1)
+
+
+def completions(counts: np.ndarray, gap: int, most: int, steps: list[int] | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``gap`` from the histogram that waste at most ``most``, of any number of pieces, least waste first.
+
+    A filling is dominated where pieces of it, or none, can give way to one piece outside that is at least as large and still
+    fits: what was there fits where that piece was. One equal piece gains nothing in place of another. ``steps`` holds one
+    number, what may still be tried; below zero the enumeration stops.
     """
-    there = np.flatnonzero(counts[: gap + 1])
-    if not len(there):
-        return [()] if gap <= most else []
-    largest = int(there[-1])
-    found = {(largest,)}
-    second = np.searchsorted(there, np.minimum(gap - there, there), side="right") - 1
-    twice = (second >= 0) & (there[second] == there) & (counts[there] < 2)
-    second = second - twice
-    bound = 0
-    for first, other in zip(there[::-1].tolist(), second[::-1].tolist(), strict=True):
-        if other >= 0 and int(there[other]) > bound and first + int(there[other]) > largest:
-            bound = int(there[other])
-            found.add((first, bound))
-    # Three and more: the gap of each pair is filled on, largest first.
-    for pair in sorted(found, key=lambda f: -sum(f))[:8]:
-        rest, filling = gap - sum(pair), list(pair)
-        left = counts[: rest + 1].copy()
-        for size in filling:
-            if size <= rest:
-                left[size] -= 1
-        while rest > 0 and len(fit := np.flatnonzero(left[: rest + 1] > 0)):
-            filling.append(int(fit[-1]))
-            left[filling[-1]] -= 1
-            rest -= filling[-1]
-        if len(filling) > len(pair):
-            found.discard(pair)
-            found.add(tuple(filling))
-    return sorted((f for f in found if gap - sum(f) <= most), key=lambda f: (gap - sum(f), len(f), f))
+    steps = [1 << 60] if steps is None else steps
+    sizes = np.flatnonzero(counts[: gap + 1])
+    if not len(sizes):
+        if gap <= most:
+            yield ()
+        return
+    largest = int(sizes[-1])
+    there, many = narrow(sizes), narrow(counts[sizes])  # thousands of enumerations stand open at a time
+    free = bits_of(counts[: gap + 1] > 0)
+    steps[0] -= 1
+    # Sums up to the largest piece are dominated by that piece alone.
+    if gap > largest:
+        steps[0] -= len(there)
+        needed = narrow(first_reach(there, many, gap))
+
+        def exactly(rest: int, below: int, waste: int, free: int, one: int, two: int, filling: tuple) -> Iterator[tuple[int, ...]]:
+            """Fillings of exactly ``rest`` from the first ``below`` sizes. Bits: sizes with pieces left, sums of up to one and of more pieces."""
+            for at in range(bisect_right(there, rest, 0, below) - 1, -1, -1):
+                if needed[rest] > at + 1 or steps[0] < 0:
+                    return
+                size = there[at]
+                for copies in range(min(many[at], rest // size), 0, -1):
+                    if needed[rest - copies * size] > at:
+                        continue
+                    steps[0] -= 1
+                    left = free ^ (1 << size) if copies == many[at] else free
+                    ones, twos = one, two
+                    for _ in range(copies):
+                        twos |= (twos | ones & ~1) << size
+                        ones |= 1 << size
+                    # Larger sizes are decided: a sum of several pieces that one of them equals is dominated whatever follows.
+                    if twos & left:
+                        continue
+                    if rest > copies * size:
+                        yield from exactly(rest - copies * size, at, waste, left, ones, twos, (*filling, *[size] * copies))
+                    elif not ((over(ones, waste) if waste else 0) | smeared(twos, waste)) & left:
+                        yield (*filling, *[size] * copies)
+
+        for waste in range(min(most, gap - largest - 1) + 1):
+            if needed[gap - waste] <= len(there):
+                yield from exactly(gap - waste, len(there), waste, free, 1, 0, ())
+    alone = free ^ (1 << largest) if many[-1] == 1 else free
+    if gap - largest <= most and not alone & ((1 << (gap - largest + 1)) - 2):
+        yield (largest,)
 
 
 def undo(left: np.ndarray, path: list[tuple[int, ...]], capacity: int) -> int:
@@ -140,8 +206,8 @@ def pack_sizes(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[li
     total = int((counts * np.arange(capacity + 1)).sum())
     left, path, untried = counts.copy(), [], []
     allowed = (len(incumbent) - 1) * capacity - total  # waste of a better solution
-    waste, top, down = 0, capacity, True
-    while len(incumbent) > least and nodes > 0:
+    waste, top, down, steps = 0, capacity, True, [STEPS * nodes]
+    while len(incumbent) > least and nodes > 0 and steps[0] >= 0:
         if down:
             while top and not left[top]:
                 top -= 1
@@ -152,10 +218,11 @@ def pack_sizes(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[li
                 waste -= undo(left, path, capacity)
                 continue
             left[top] -= 1
-            untried.append((top, completions(left, capacity - top, allowed - waste)[::-1]))
+            # Reads the histogram when it is first asked, just below; the fillings put in later are taken out before it is asked again.
+            untried.append((top, completions(left, capacity - top, allowed - waste, steps)))
         largest, choices = untried[-1]
-        if choices and capacity - largest - sum(choices[-1]) <= allowed - waste:
-            filling = choices.pop()
+        filling = next(choices, None)
+        if filling is not None and capacity - largest - sum(filling) <= allowed - waste:
             for size in filling:
                 left[size] -= 1
             path.append((largest, *filling))

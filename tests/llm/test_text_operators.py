@@ -432,3 +432,32 @@ def test_exact_stage_judges_rows_not_ids(spark):
     want = [(1, "copied"), (None, "alone"), (None, "two of null"), (2, "first"), (3, "shares its id"), (4, "whole row"), (6, "")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert corpus_pipeline.drop_copies(spark, docs, SMALL).columns == docs.columns
+
+
+def test_fillings_of_three_and_more_pieces():
+    lengths = [1064, 1044, 430, 410, 328, 308, 266, 246]
+    for times in (1, 2, 7, 40):
+        bins = packing.pack_sizes(np.bincount(lengths * times, minlength=2049), 2048)
+        assert len(bins) == 2 * times and sorted(x for b in bins for x in b) == sorted(lengths * times)
+
+
+def test_completions_are_all_undominated_fillings():
+    draw = random.Random(8)
+    for _ in range(300):
+        gap, pieces = draw.randint(5, 40), sorted((draw.randint(1, 30) for _ in range(draw.randint(1, 9))), reverse=True)
+        most = draw.randint(0, gap)
+        subsets = {tuple(p for n, p in enumerate(pieces) if mask >> n & 1) for mask in range(1 << len(pieces))}
+
+        def dominated(filling):
+            rest, slack = list((Counter(pieces) - Counter(filling)).elements()), gap - sum(filling)
+            for mask in range(1 << len(filling)):
+                part = [p for n, p in enumerate(filling) if mask >> n & 1]
+                for x in rest:
+                    if sum(part) + (len(part) < 2) <= x <= sum(part) + slack:
+                        return True
+            return False
+
+        want = {f for f in subsets if gap - most <= sum(f) <= gap and not dominated(f)}
+        got = list(packing.completions(np.bincount(pieces, minlength=gap + 1), gap, most))
+        assert set(got) == want and len(got) == len(want)
+        assert [gap - sum(f) for f in got] == sorted(gap - sum(f) for f in got)
