@@ -50,12 +50,15 @@ LEFT_OUT_WORDS = frozenset(
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>"
     r"|</?[a-zA-Z][^>]*\Z",  # a tag that the page's end cuts off
     re.DOTALL | re.IGNORECASE,
 )
+SVG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL | re.IGNORECASE
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 NUMBER = re.compile(r"[0-9]+")
@@ -105,13 +108,29 @@ def boilerplate(attributes: str) -> tuple[bool, str]:
     return out, classes
 
 
+def drawings(source: str) -> dict[int, int]:
+    """Where the drawing that begins at a place ends. One that is closed in its own tag or nowhere is that tag alone."""
+    ends, begun = {}, []
+    for found in SVG.finditer(source):
+        if found.group(2) is None:
+            continue
+        if found.group(2):
+            if begun:
+                ends[begun.pop()] = found.end()
+        else:
+            ends[found.start()] = found.end()
+            if not found.group().endswith("/>"):
+                begun.append(found.start())
+    return ends
+
+
 def parse(source: str) -> Page:
     """Elements and blocks of a page; unclosed and stray tags are tolerated as browsers do."""
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]
     buffer: list[str] = []
     open_tags: Counter = Counter()
-    linked, at = 0, 0
+    linked, at, drawn = 0, 0, None
 
     def close(depth: int):
         open_tags.subtract(name for name, _ in stack[depth:])
@@ -125,7 +144,7 @@ def parse(source: str) -> Page:
         buffer.clear()
         linked = 0
 
-    for found in TAG.finditer(source):
+    while found := TAG.search(source, at):
         if found.start() > at and not page.out[stack[-1][1]]:
             buffer.append(source[at : found.start()])
             if open_tags["a"]:
@@ -135,6 +154,10 @@ def parse(source: str) -> Page:
         if tag is None:
             continue  # comments, scripts and the like
         tag, closing = tag.lower(), found.group(2)
+        if tag == "svg":
+            drawn = drawings(source) if drawn is None else drawn
+            at = max(at, 0 if closing else drawn.get(found.start(), 0))
+            continue
         if tag in ("br", "hr"):
             buffer.append(" ")
         if tag in VOID:

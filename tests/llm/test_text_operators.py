@@ -461,3 +461,16 @@ def test_completions_are_all_undominated_fillings():
         got = list(packing.completions(np.bincount(pieces, minlength=gap + 1), gap, most))
         assert set(got) == want and len(got) == len(want)
         assert [gap - sum(f) for f in got] == sorted(gap - sum(f) for f in got)
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ('<p>a</p><svg-icon name="x"></svg-icon><p>rest</p>', "a\n\nrest"),
+    ("<p>a</p><title-bar>t</title-bar><style-guide></style-guide><template-card/><p>rest</p>", "a\n\nt\n\nrest"),
+    ('<p>a <svg class="i"/>b</p><p>rest</p><svg><text>no</text></svg><p>end</p>', "a b\n\nrest\n\nend"),
+    ("<p>a</p><svg viewBox='0 > 0'><p>rest</p>", "a\n\nrest"),
+    ("<p>a</p><svg><p>b</p><SVG\n><title>no</title><svg/><text>no</text></svg ><p>rest</p>", "a\n\nb\n\nrest"),
+    ("<p>a</p><svg><svg><text>no</text></svg><text>no</text></svg><!-- <svg> --><p>rest</p></svg><p>end</p>", "a\n\nrest\n\nend"),
+    ("<p>a</p><style>no</style><script type=x>no</script><title>no</title><p>rest</p><style>no", "a\n\nrest"),
+])
+def test_html_raw_text_ends_with_its_name(source, text):
+    assert html_text.extract(source, None) == text
