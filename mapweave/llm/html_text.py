@@ -5,7 +5,7 @@ share of link text, and half of it to the container above. The best container vo
 classes, numbers made equal). Spark counts the votes by (host, path), a combining aggregate, and the path with most votes
 wins the host. A second pass extracts each page below the elements on the winning path; a page without such an element uses
 its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by element and by class.
+left out by element, role and class; a class alone leaves out neither the article, what holds it, nor most of a page's text.
 
 The winners are broadcast up to ``MAX_HOSTS`` hosts; beyond it, pages and winners are joined by a shuffle on the host.
 
@@ -47,6 +47,10 @@ LEFT_OUT_WORDS = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies "
     "respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+# A name like has-sidebar, site-with-nav, comments-open or sidebar-wrap tells of a state or of what is around.
+STATE_BEFORE = frozenset("has no with without".split())
+STATE_AFTER = frozenset("open closed wrap wrapper".split())
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -68,6 +72,8 @@ NUMBER = re.compile(r"[0-9]+")
 class Page:
     """Elements that matter (parent, tag, step with classes, hash of the path, left out, inside an article) and text blocks.
 
+    ``named`` holds elements that are left out by class or id alone, each with whether the words are those of comments.
+
     A block is (element, raw text, characters in links). Paths are kept as hashes, so deep pages stay linear.
     """
 
@@ -77,6 +83,7 @@ class Page:
     path: list[int] = field(default_factory=lambda: [0])
     out: list[bool] = field(default_factory=lambda: [False])
     main: list[bool] = field(default_factory=lambda: [False])
+    named: dict[int, bool] = field(default_factory=dict)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
     def path_of(self, element: int) -> str:
@@ -92,9 +99,20 @@ def down(path: int, step: str) -> int:
     return xxhash.xxh64_intdigest(step.encode(), seed=path)
 
 
-def boilerplate(attributes: str) -> tuple[bool, str]:
-    """Whether class, id or role say that an element is no article text; the generalised classes."""
-    out, classes = False, ""
+def boilerplate_words(value: str) -> set[str]:
+    """The words of a class or id that mean boilerplate."""
+    found = set()
+    for name in value.split():
+        words = [word.lower() for word in WORD.findall(name)]
+        for at, word in enumerate(words):
+            if word in LEFT_OUT_WORDS and not STATE_BEFORE.intersection(words[:at]) and not STATE_AFTER.intersection(words[at + 1 :]):
+                found.add(word)
+    return found
+
+
+def boilerplate(attributes: str) -> tuple[bool, set[str], str]:
+    """Whether role or hidden say that an element is no article text; the words of class and id that do; the generalised classes."""
+    out, words, classes = False, set(), ""
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden":
@@ -102,10 +120,39 @@ def boilerplate(attributes: str) -> tuple[bool, str]:
         elif name == "role":
             out = out or value.strip().lower() in LEFT_OUT_ROLES
         else:
-            out = out or any(word.lower() in LEFT_OUT_WORDS for word in WORD.findall(value))
+            words |= boilerplate_words(value)
             if name == "class":
                 classes = ".".join(sorted(NUMBER.sub("#", value.lower()).replace("/", "_").split()))
-    return out, classes
+    return out, words, classes
+
+
+def without_named(page: Page):
+    """Leave out what is named as boilerplate, unless it holds the article or most of the page's text.
+
+    The article is in the article and main elements with text that have the fewest named elements around them. A page with
+    none keeps named elements that hold most of the text outside links; of comments, only those that hold nearly all.
+    """
+    if not page.named:
+        return
+    weight, around = [0] * len(page.tag), [0] * len(page.tag)
+    for element, text, linked in page.blocks:
+        weight[element] += max(0, len(text.strip()) - linked)
+    for element in range(len(page.tag) - 1, 0, -1):
+        weight[page.parent[element]] += weight[element]
+    for element in range(1, len(page.tag)):
+        around[element] = around[page.parent[element]] + (element in page.named)
+    articles = [e for e in range(1, len(page.tag)) if weight[e] and page.tag[e] in ("article", "main")]
+    holders, fewest = set(), min((around[e] for e in articles), default=0)
+    for element in articles:
+        above = page.parent[element]
+        while around[element] == fewest and above > 0 and above not in holders:
+            holders.add(above)
+            above = page.parent[above]
+    if not articles:
+        holders = {e for e, comments in page.named.items() if 10 * weight[e] > (9 if comments else 5) * weight[0]}
+    for element in range(1, len(page.tag)):
+        page.out[element] = page.out[element] or element in page.named and element not in holders or page.out[page.parent[element]]
+    page.blocks = [block for block in page.blocks if not page.out[block[0]]]
 
 
 def drawings(source: str) -> dict[int, int]:
@@ -188,7 +235,8 @@ def parse(source: str) -> Page:
                     if stack[depth][0] in CLOSES_ITSELF[tag]:
                         break
         above = stack[-1][1]
-        out, classes = boilerplate(attributes) if attributes.strip() else (False, "")
+        out, words, classes = boilerplate(attributes) if attributes.strip() else (False, (), "")
+        out = out or inline and bool(words)
         if inline and not out:
             stack.append((tag, above))
         else:
@@ -201,11 +249,14 @@ def parse(source: str) -> Page:
             page.path.append(down(page.path[above], step))
             page.out.append(out)
             page.main.append(inside or tag in ("article", "main"))
+            if words and not page.out[-1] and tag not in ("html", "body", "article", "main"):
+                page.named[len(page.tag) - 1] = COMMENT_WORDS.issuperset(words)
             stack.append((tag, len(page.tag) - 1))
         open_tags[tag] += 1
     if at < len(source) and not page.out[stack[-1][1]]:
         buffer.append(source[at:])
     flush()
+    without_named(page)
     return page
 
 

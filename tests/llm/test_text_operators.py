@@ -474,3 +474,22 @@ def test_completions_are_all_undominated_fillings():
 ])
 def test_html_raw_text_ends_with_its_name(source, text):
     assert html_text.extract(source, None) == text
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="content-sidebar-wrap">{}</div>', '<div class="no-sidebar">{}</div>', '<main class="has-sidebar">{}</main>', '<section id="site-with-nav">{}</section>',
+    '<article class="post comments-open">{}</article>', '<article class="promo">{}</article>', '<div class="social"><div id="widget"><article>{}</article></div></div>',
+    '<div class="nav-page">{}</div>', '<body class="sidebar"><div class="toolbar"><main><div>{}</div></main></div>', '<div id="comments-enabled">{}</div>',
+])
+def test_html_wrappers_keep_the_article(wrapper):
+    article = "<h1>Title</h1>" + "<p>A sentence of the article, longer than what is around it.</p>" * 3
+    around = '<ul class="menu"><li><a href="/">A long list of links that lead to other pages of the place</a></ul>{}<div class="share">Share</div><div class="sidebar"><p>Side</div>'
+    want = "\n\n".join(["Title"] + ["A sentence of the article, longer than what is around it."] * 3)
+    assert html_text.extract(around.format(wrapper.format(article)), None) == want
+
+
+def test_html_comments_stay_out():
+    comments = '<div id="comments"><ol class="comment-list">' + '<li><article class="comment-body"><p>Longer than the article, by far, and more.</p></article>' * 20 + "</ol></div>"
+    for page in ('<article class="post"><p>Short text.</p>{}</article>', '<div class="social"><main><p>Short text.</p></main></div>{}'):
+        assert html_text.extract(page.format(comments), None) == "Short text."
+    assert html_text.extract("<div class=post><p>Short text, one.</p></div>" + "<div class=comments>" + "<p>Long, long.</p>" * 10 + "</div>", None) == "Short text, one."
