@@ -2,8 +2,9 @@
 
 Candidates are the longest runs of token characters of at least ``WINDOW`` characters. A window of that size slides over
 each; symbol counts and the entropy are updated by the character that leaves and the one that enters. Windows at or above
-the threshold of the candidate's character class are united to a span. The allow-list takes out what is long but harmless:
-runs of letters, of digits, counting sequences, path-like words and placeholders. A span that meets a base span is not
+the threshold of the candidate's character class are united to a span. Segments with a placeholder or a counting sequence
+are left out of a candidate, and the rest of it is scanned. The allow-list takes out what is long but harmless: short
+numbers, path-like words and names of capitalised words, judged on stretches and on united spans. A span that meets a base span is not
 reported twice.
 
 Null and empty texts have no spans (the digest of the empty string). Rows that share a doc_id are scanned each; a null
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -31,14 +33,22 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 WINDOW = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _TOKEN_BYTES = bytes(c if chr(c).isalnum() and c < 128 or c in b"+/_=-" else 32 for c in range(256))
-# Bits per character that a window of 20 must reach; random strings of a class lie above, words of a language below.
-CLASSES = ((re.compile(r"[0-9]+"), 4.0), (re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0), (re.compile(r"[A-Z0-9]+|[a-z0-9]+"), 3.5), (TOKEN, 3.7))
+# Bits per character that a window of 20 must reach, each below what 20 characters of its class can have (3.32 for digits,
+# 4 for hex, 4.32 for the others); random strings of a class lie above, words of a language below.
+CLASSES = (
+    (re.compile(r"[0-9]+"), 2.6), (re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0), (re.compile(r"[a-z]+|[A-Z]+"), 3.7),
+    (re.compile(r"[A-Z0-9]+|[a-z0-9]+"), 3.5), (TOKEN, 3.7),
+)
+# A segment with one of these is left out, and what stands beside it is scanned by itself.
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|dummy|your[-_]?(?:key|token|secret)|x{6}|0123456|abcdef", re.IGNORECASE | re.ASCII)
+SEGMENT = re.compile(r"[^/=_-]+")
+# Spans that are harmless as a whole.
 ALLOWED = (
-    re.compile(r"[A-Za-z+/_=-]*"),  # no digit
-    re.compile(r"[0-9+/_=-]*"),  # no letter
-    re.compile(r"(?:[A-Za-z]*[0-9]{0,4}[-_/=+])*[A-Za-z]*[0-9]{0,4}"),  # words and small numbers, as in paths and names
-    re.compile(r".*(?:example|placeholder|changeme|dummy|your[-_]?(?:key|token|secret)|x{6}|0123456|abcdef).*", re.IGNORECASE | re.ASCII),
+    re.compile(r"(?:[0-9]{0,19}[+/_=-])+[0-9]{0,19}"),  # short numbers, as in dates
+    re.compile(r"(?>(?>[A-Z]?[a-z]{20,}|[A-Za-z]{0,19})[0-9]{0,4}[-_/=+])+(?>[A-Z]?[a-z]{20,}|[A-Za-z]{0,19})[0-9]{0,4}"),  # words and small numbers, as in paths and names
+    re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{1,4}"),  # a word and a small number
 )
+LETTERS = re.compile(r"[A-Za-z]+[0-9]{0,4}")
 MARK = "[SECRET]"
 
 
@@ -61,14 +71,41 @@ def high_windows(text: str, least: float, window: int = WINDOW) -> list[tuple[in
     return spans
 
 
+def stretches(value: str) -> list[tuple[int, int]]:
+    """What is left of a run without the segments that hold a placeholder."""
+    if not (found := list(PLACEHOLDER.finditer(value))):
+        return [(0, len(value))]
+    parts, at, ends = [], 0, [f.end() for f in found]
+    for segment in SEGMENT.finditer(value):
+        after = bisect_right(ends, segment.start())
+        if after < len(found) and found[after].start() < segment.end():
+            parts.append((at, segment.start()))
+            at = segment.end()
+    return [*parts, (at, len(value))]
+
+
+def harmless(value: str) -> bool:
+    """Words, small numbers and names made of capitalised words: in these, one case has less than three letters of ten."""
+    if any(allowed.fullmatch(value) for allowed in ALLOWED):
+        return True
+    upper, lower = sum(c.isupper() for c in value), sum(c.islower() for c in value)
+    return bool(upper and lower and LETTERS.fullmatch(value)) and 10 * min(upper, lower) < 3 * (upper + lower)
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     found = []
     for run in TOKEN.finditer(text):
-        value = run.group()
-        if len(value) < WINDOW or any(allowed.fullmatch(value) for allowed in ALLOWED):
+        if run.end() - run.start() < WINDOW:
             continue
-        least = next(bits for shape, bits in CLASSES if shape.fullmatch(value))
-        found += [(run.start() + a, run.start() + b) for a, b in high_windows(value, least)]
+        for begin, end in stretches(run.group()):
+            value = run.group()[begin:end].lstrip("/=_-")
+            begin = end - len(value)
+            value = value.rstrip("/=_-") if end < len(run.group()) else value
+            if len(value) < WINDOW or harmless(value):
+                continue
+            least = next(bits for shape, bits in CLASSES if shape.fullmatch(value))
+            spans = ((run.start() + begin + a, run.start() + begin + b) for a, b in high_windows(value, least))
+            found += [(a, b) for a, b in spans if not harmless(text[a:b])]
     return found
 
 

@@ -493,3 +493,31 @@ def test_html_comments_stay_out():
     for page in ('<article class="post"><p>Short text.</p>{}</article>', '<div class="social"><main><p>Short text.</p></main></div>{}'):
         assert html_text.extract(page.format(comments), None) == "Short text."
     assert html_text.extract("<div class=post><p>Short text, one.</p></div>" + "<div class=comments>" + "<p>Long, long.</p>" * 10 + "</div>", None) == "Short text, one."
+
+
+def test_entropy_classes_can_all_be_reached():
+    draw = random.Random(17)
+    for alphabet, length, least in (
+        ("0123456789", 22, 0.9), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20, 0.85), ("bcdefghijklmnopqrstuvwxyz", 32, 0.7),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24, 0.9),
+    ):
+        keys = ["".join(draw.choice(alphabet) for _ in range(length)) for _ in range(200)]
+        assert sum(bool(secret_scan.entropy_spans(f"see {key} there")) for key in keys) >= least * len(keys), alphabet
+
+
+@pytest.mark.parametrize("before", ["example/", "key=dummy/", "abcdef-", "0123456_", "see/xxxxxx/"])
+def test_placeholders_do_not_hide_a_key_beside_them(before):
+    key = "Zx9fK2mQ7LrT4vB8nW1cY6pD3s"
+    for text in (f"{before}{key}", f"{before}{key}/example"):
+        at = text.index(key)
+        spans = secret_scan.entropy_spans(text)
+        assert spans == [(at, at + len(key))]
+        assert key not in secret_scan.without_secrets(text)
+
+
+@pytest.mark.parametrize("text", [
+    "Rechtsschutzversicherungsgesellschaften", "getElementsByClassNameFromDocument", "https://host/Articles/section-12/internationalization-of-words", "01234567890123456789",
+    "2024-12-01-10-20-30-40", "00000000000000000000", "example_key_example_key_example", "internationalization2024",
+])
+def test_harmless_long_runs(text):
+    assert secret_scan.entropy_spans(text) == []
