@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by bin completion.
 
 Documents become pieces of at most ``capacity`` tokens (only longer ones are cut; the first piece takes the remainder). Full
-pieces are sequences of their own. The others are dealt evenly into groups of about ``GROUP`` pieces, each packed in a task
+pieces are sequences of their own and enter no group. The others are dealt evenly into groups of about ``GROUP`` pieces, each packed in a task
 of its own: best-fit decreasing gives the incumbent; then, bin by bin, the largest piece left is completed by the undominated
 fillings of its gap, least waste first, and a branch is left when its waste exceeds what a solution with one sequence fewer
 may waste. A group ends at its lower bound, when nothing is left to try, or after ``NODES`` bins or ``STEPS`` times as many
@@ -239,14 +239,12 @@ def pack_sizes(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[li
 
 
 def place(table: pa.Table, capacity: int, nodes: int = NODES) -> pa.Table:
-    """Sequence and offset of each piece of one group."""
+    """Sequence and offset of each piece of one group; all are shorter than ``capacity``."""
     size = table["length"].to_numpy()
     order = np.argsort(size, kind="stable")
     counts = np.bincount(size, minlength=capacity + 1)
     next_of = np.cumsum(counts) - counts
-    full = int(counts[capacity])
-    counts[capacity] = 0
-    bins = [[capacity]] * full + pack_sizes(counts, capacity, nodes)
+    bins = pack_sizes(counts, capacity, nodes)
     sequence, offset = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
     for number, content in enumerate(bins):
         at = 0
@@ -266,10 +264,14 @@ def packed(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     cut = cut_lineage(pieces(docs, capacity, name, doc_id, text))
-    groups = -(-cut.where(F.col("length") < capacity).count() // group) or 1
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    full = cut.where(F.col("length") == capacity)
+    # One bit above all that groups use.
+    alone = full.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    short = cut.where(F.col("length") < capacity)
+    groups = -(-short.count() // group) or 1
+    dealt = short.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("bucket").applyInArrow(lambda table: place(table, capacity, nodes), schema)
+    return dealt.groupBy("bucket").applyInArrow(lambda table: place(table, capacity, nodes), schema).union(alone)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

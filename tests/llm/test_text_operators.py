@@ -521,3 +521,21 @@ def test_placeholders_do_not_hide_a_key_beside_them(before):
 ])
 def test_harmless_long_runs(text):
     assert secret_scan.entropy_spans(text) == []
+
+
+def test_full_pieces_enter_no_group(spark, monkeypatch):
+    place = packing.place
+
+    def short_only(table, capacity, nodes):
+        assert max(table["length"].to_pylist()) < capacity
+        return place(table, capacity, nodes)
+
+    monkeypatch.setattr(packing, "place", short_only)
+    docs = spark.createDataFrame([(i, "one two three " * 60 * (i + 1)) for i in range(20)], "doc_id long, text string").repartition(3)
+    got = packing.packed(docs, capacity=64).collect()
+    full = [r for r in got if r.length == 64]
+    assert len(full) > 100 and all(r.offset == 0 for r in full)
+    count = Counter(r.sequence_id for r in got)
+    assert all(count[r.sequence_id] == 1 for r in full)
+    only = packing.packed(docs.limit(0), capacity=64)
+    assert only.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and only.count() == 0
