@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import byte_bpe, exact_dedup, html_text, near_dup, packing, quality, secret_scan, token_counts, toxicity, url_filter
+from mapweave.llm import (
+    byte_bpe, exact_dedup, fill_middle, html_text, near_dup, packing, periodic, quality, quality_model, secret_scan, token_counts, toxicity, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -19,5 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_quality_model": quality_model.op12_quality_model,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
-SQL: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op10_exact_dedup": exact_dedup.SQL, "op13_fill_middle": fill_middle.SQL}

@@ -1,0 +1,257 @@
+"""Fill-in-middle, periodic runs and the quality model against brute force, round trips and held-out labels."""
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mapweave.llm import fill_middle, periodic, quality_model
+
+SMALL = "/root/testdata/sf0.001"
+ODD = [
+    None, "", " ", "\n", "\n\n\t", "word", "no end", "one\ntwo\nthree", "one\r\ntwo\x0bthree\n", "holds <P> a marker", "ends with <\nP>S>\nM><", "\U0001f600\n" * 7,
+    "x" * 30_000, "line $1 \\1 {2}\n" * 3_000, "go on " * 400, "a b c d e f g h " * 9, "café   　 Σ\n" * 20,
+]
+CLASHING = "n long, form string, output string, h long, words string, a long, p long, body string, kind int, slots string, quality int, best string, runs string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, *([None] * 13)) for i, t in enumerate(ODD)] + [(7, ODD[7], *([None] * 13)), (7, "another text", *([1, "x", "y"] + [None] * 10)), (None, "no id\nhere", *([None] * 13))]
+    return spark.createDataFrame(rows, f"doc_id long, text string, {CLASHING}").repartition(3)
+
+
+def parts_of(doc_id, text, seed=7, rate=100, spm=50):
+    """The contract of the transformation, read line by line."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return doc_id, len(units), "plain", None, None, text
+    if h[3] % 100 < spm:
+        return doc_id, len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return doc_id, len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+@pytest.mark.parametrize("rate, spm, seed", [(100, 50, 7), (50, 0, 1), (100, 100, 3)])
+def test_fill_in_middle_equals_brute_force_and_gives_texts_back(spark, odd, rate, spm, seed):
+    for docs in (odd, spark.read.parquet(f"{SMALL}/documents.parquet")):
+        made = fill_middle.fill_in_middle(docs, seed, rate, spm)
+        want = sorted((parts_of(r.doc_id, r.text, seed, rate, spm) for r in docs.select("doc_id", "text").collect()), key=repr)
+        assert sorted(map(tuple, made.collect()), key=repr) == want
+        back = made.select("doc_id", fill_middle.restored(F.col("output"), F.col("form")).alias("text")).collect()
+        assert sorted(map(tuple, back), key=repr) == sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=repr)
+
+
+def test_fill_in_middle_of_many_lines(spark):
+    """A hundred thousand lines neither overflow the stack nor lose one."""
+    docs = spark.createDataFrame([(i, "line\n" * 100_000 + "end") for i in range(3)], "doc_id long, text string")
+    rows = fill_middle.fill_in_middle(docs).select("n", F.length("output").alias("size"), "form").collect()
+    assert [(r.n, r.size) for r in rows] == [(100_001, 500_012)] * 3
+
+
+def test_fill_in_middle_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    cursor = con.execute(fill_middle.SQL)
+    names = [d[0] for d in cursor.description]
+    got = fill_middle.op13_fill_middle(spark, SMALL).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(cursor.fetchall())
+
+
+def brute_runs(words, least=24, times=3):
+    """Every distance compared along the whole text."""
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        equal = [words[i] == words[i + q] for i in range(len(words) - q)] + [False]
+        start = 0
+        for at, same in enumerate(equal):
+            if not same:
+                if at - start + q >= max(least, times * q):
+                    found.setdefault((start, at + q), q)
+                start = at + 1
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda run: (run[0], run[2]))
+
+
+def drawn_text(rng):
+    size, kinds = rng.choice([0, 1, 23, 24, 25, 47, 48, 100, 300]), rng.choice([1, 2, 2, 3, 50, 1000])
+    words = [rng.randrange(kinds) for _ in range(size)]
+    for _ in range(rng.randrange(4) if size > 3 else 0):
+        begin, period, length = rng.randrange(size), rng.randrange(1, max(2, size // 4)), rng.randrange(1, size)
+        for i in range(begin + period, min(size, begin + length)):
+            words[i] = words[i - period]
+    return words
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(5)
+    texts = [drawn_text(rng) for _ in range(250)]
+    texts += [[1] * 700, ([1] * 30 + [2]) * 20, list(range(170)) * 4, (list(range(97)) * 4 + [0, 1, 0] * 30) * 3]
+    a, b = [1], [1, 2]
+    while len(b) < 900:
+        a, b = b, b + a
+    got = periodic.runs_of([np.array(t, dtype=np.int64) for t in [*texts, b]])
+    assert got == [brute_runs(t) for t in [*texts, b]]
+    assert sum(map(len, got)) > 100
+
+
+def test_runs_with_other_bounds_equal_brute_force():
+    rng = random.Random(6)
+    texts = [drawn_text(rng) for _ in range(100)]
+    assert periodic.runs_of([np.array(t, dtype=np.int64) for t in texts], 40, 4) == [brute_runs(t, 40, 4) for t in texts]
+    with pytest.raises(ValueError):
+        periodic.runs_of([], 24, 2)
+
+
+def test_transform_is_exact_and_places_have_no_mismatch():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, periodic.PRIME, (16, 5)).astype(np.uint64)
+    assert (periodic.transform(periodic.transform(values), inverse=True) == values).all()
+    for length, first in ((8, 0), (16, 1), (64, 1)):
+        words = rng.integers(0, 2, 6 * length).astype(np.uint64)
+        words[2 * length : 4 * length] = np.resize(words[2 * length : 2 * length + length // 2 + 1], 2 * length)
+        equal = periodic.zero_places(words.reshape(6, length).T, first)
+        for block in range(4):
+            for lag in range(equal.shape[0]):
+                at = block * length + first * length + lag
+                assert equal[lag, block] == (words[at : at + length] == words[block * length : (block + 1) * length]).all()
+
+
+def test_sums_that_are_multiples_of_the_prime_are_told_apart():
+    """Large word numbers: seeds are confirmed on the words."""
+    rng = random.Random(8)
+    texts = [np.array([rng.choice([0, periodic.PRIME, 2 * periodic.PRIME]) for _ in range(60)], dtype=np.int64), np.array([5, periodic.PRIME + 5] * 30)]
+    assert periodic.runs_of(texts) == [brute_runs(t.tolist()) for t in texts]
+
+
+def test_periodic_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in periodic.op11_periodic_runs(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for row in docs:
+        words = (row.text or "").encode().split()
+        n, h = len(words), zlib.crc32(str(row.doc_id).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        if n > 1_500:
+            continue
+        runs = brute_runs(words)
+        kept = [True] * n
+        for start, length, period in runs:
+            kept[start + period : start + length] = [False] * (length - period)
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None,) * 3
+        lines = "".join(f"{s},{size},{q}\n" for s, size, q in runs)
+        text = b" ".join(word for word, stays in zip(words, kept, strict=True) if stays)
+        milli = best[1] * 1000 // best[2] if runs else None
+        assert got[row.doc_id] == (len(runs), *best, milli, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(text).hexdigest())
+
+
+def test_periodic_runs_of_odd_rows(odd, spark):
+    rows = periodic.periodic_runs(odd).collect()
+    assert len(rows) == len(ODD) + 3
+    for doc_id, text in enumerate(ODD):
+        mine = [r for r in rows if r.doc_id == doc_id]
+        words = (text or "").encode().split()
+        assert list(zip(mine[0].starts, mine[0].lengths, mine[0].periods, strict=True)) == brute_runs(words)
+    assert periodic.periodic_runs(odd.limit(0)).count() == 0
+    assert {r.collapsed for r in rows if r.doc_id == ODD.index("go on " * 400)} == {"go on"}
+    planted = periodic.repeated_ends(odd)
+    assert planted.count() == len(ODD) + 3 and planted.columns == ["doc_id", "text"]
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    return docs, labels, quality_model.fit(docs, labels)
+
+
+def test_quality_of_held_out_rows(judged):
+    docs, labels, model = judged
+    rows = quality_model.scored(docs, model).join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    better = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert better > 0.97
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
+    shares = labels.agg(F.avg("quality")).first()[0]
+    assert abs(model.prior - shares) < 0.12
+
+
+def test_quality_never_reads_held_out_or_negative_labels(judged):
+    docs, labels, model = judged
+    other = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    for changed in (other, labels.where("quality = 1"), labels.unionAll(labels).withColumn("toxic", F.lit("x"))):
+        again = quality_model.fit(docs, changed)
+        assert (again.at == model.at).all() and (again.value == model.value).all() and again.prior == model.prior
+
+
+def plain_risk(weights, bias, positive, unlabelled, prior):
+    """The non-negative risk, row by row."""
+
+    def loss(row, sign):
+        return np.log1p(np.exp(-sign * (sum(weights[s] * v for s, v in zip(*row, strict=True)) + bias)))
+
+    r_p = np.mean([loss(row, 1) for row in positive])
+    return prior * r_p, np.mean([loss(row, -1) for row in unlabelled]) - prior * np.mean([loss(row, -1) for row in positive])
+
+
+def test_learner_minimises_the_non_negative_risk():
+    rng = np.random.default_rng(4)
+    width = quality_model.WIDTH
+
+    def drawn(good):
+        slots = rng.choice(40, 8, replace=False) + (0 if good else 25)
+        return slots.astype(np.int32), np.full(8, 0.35, np.float32)
+
+    positive, unlabelled = [drawn(True) for _ in range(60)], [drawn(rng.random() < 0.7) for _ in range(200)]
+    p, u = quality_model.Rows.of(positive), quality_model.Rows.of(unlabelled)
+    weights, bias = rng.normal(size=width), 0.3
+    got = quality_model.risk_parts(p.margins(weights, bias), u.margins(weights, bias), 0.7)
+    assert np.allclose(got, plain_risk(weights, bias, positive, unlabelled, 0.7))
+    learnt = quality_model.learn(p, u, 0.7)
+    first, rest = plain_risk(*learnt, positive, unlabelled, 0.7)
+    start = plain_risk(np.zeros(width), 0.0, positive, unlabelled, 0.7)
+    assert first + max(0, rest) < 0.6 * (start[0] + max(0, start[1])) and rest > -0.05
+    # The direction is the gradient by finite differences, on either side of zero.
+    for prior in (0.3, 1.0):
+        at = np.append(2 * weights, bias)
+        for sign in (1, -1):
+            one, two = plain_risk(sign * at[:-1], bias, positive, unlabelled, prior)
+            step = quality_model.direction(p, u, np.append(sign * at[:-1], bias), prior)
+            for slot in np.unique(np.concatenate([s for s, _ in positive + unlabelled]))[::9]:
+                moved = sign * at[:-1]
+                moved[slot] += 1e-5
+                one_moved, two_moved = plain_risk(moved, bias, positive, unlabelled, prior)
+                want = (one_moved + two_moved - one - two) if two >= 0 else (two - two_moved)
+                assert abs(step[slot] - want / 1e-5) < 1e-4
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_of_drawn_scores(share):
+    rng = np.random.default_rng(11)
+    positive = rng.normal(2, 1, 4_000)
+    unlabelled = np.where(rng.random(8_000) < share, rng.normal(2, 1, 8_000), rng.normal(-2, 1, 8_000))
+    assert abs(quality_model.prior_bound(positive, unlabelled) - share) < 0.06
+
+
+def test_quality_of_odd_rows(spark, odd, judged):
+    rows = quality_model.scored(odd, judged[2]).collect()
+    assert len(rows) == len(ODD) + 3 and all(0 <= r.score <= 1 for r in rows)
+    labels = spark.createDataFrame([(1, 1, None), (1, 0, 1), (None, 1, 1), (999, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
+    for docs in (odd, odd.limit(0)):
+        model = quality_model.fit(docs, labels)
+        assert quality_model.scored(docs, model).count() == docs.count()
+    nothing = quality_model.fit(odd, labels.limit(0))
+    assert {r.score for r in quality_model.scored(odd, nothing).collect()} == {0.5}
