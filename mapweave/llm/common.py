@@ -23,6 +23,17 @@ def id_and_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have, made from these."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def per_task(df: DataFrame, schema: str, start: Callable[[], Callable[..., list]]) -> DataFrame:
     """``start()`` runs once per task and gives a function from the columns of a batch (lists) to the output columns (lists)."""
     fields = [part.split() for part in schema.split(", ")]

@@ -1,25 +1,23 @@
 """MinHash near-duplicates by a multi-index Hamming join, links confirmed on full shingle sets.
 
-Each text becomes its set of word shingles and a signature of ``POSITIONS`` b-bit minima. Equal sets are one class with one
-representative. Two sets at the Jaccard threshold, ``PERCENT`` or another, differ in about 100 less that percent of the
-positions; the distance of ``reach`` lies so far above that at most ``MISSED`` of such pairs exceed it (``DISTANCE`` at
-``PERCENT``). The signature is cut into so many pieces (``CHUNKS`` at ``PERCENT``) that, by the pigeonhole principle, a pair
-within the distance has a piece with at most one error; every position of a piece is left out in turn, so each pair within
-the distance meets in a bucket for certain.
-
-A bucket never emits all its pairs. First every member meets only the bucket's smallest one; confirmed links make components.
-While that merges much, it is repeated for buckets with several components, with another centre. What then remains are pairs
-across components of one bucket: their signatures are compared in blocks inside tasks, and only pairs within the distance go
-on to confirmation, and of these only pairs that can reach the threshold: a pair that shares no rare shingle, one that at most
-``RARE`` members of open buckets have, shares frequent ones only, which bounds its Jaccard from above. Pairs that do share a
-rare one are confirmed too; they are few, as each such shingle has few members. Members of one component need no further comparison,
-so no link between different texts is lost that would change a component. Large buckets are split into pairs of blocks, so
-no task holds a whole one.
+Each text becomes its set of word shingles and a signature of ``POSITIONS`` b-bit minima. Equal sets are one class. Two sets at
+the Jaccard threshold, ``PERCENT`` or another, differ in about 100 less that percent of the positions; the distance of
+``reach`` lies so far above that at most ``MISSED`` of such pairs exceed it (``DISTANCE`` at ``PERCENT``). The signature is cut
+into so many pieces (``CHUNKS`` at ``PERCENT``) that, by the pigeonhole principle, a pair within the distance has a piece with at
+most one error; every position of a piece is left out in turn, so each pair within the distance meets in a bucket for certain.
+
+Buckets emit no pairs. Classes that meet, directly or over others, form a group, mostly a family of copies; a group is compared
+once, where its buckets, which hold much the same members, would compare it dozens of times. (A long chain of small buckets is
+compared by bucket instead, whenever that is less work.) A group is dealt into blocks of bounded size, and each pair of blocks is
+one task's work: signatures are compared, and pairs within the distance and of fitting sizes are confirmed on their full sets,
+whose intersections all come from products of incidence matrices. A pair of blocks emits no links but which members they
+join: at most one row a member. Their components are the result, so no link between different texts is lost, however large a
+group is, and what leaves a task does not grow with the pairs in it.
 
 Null and empty texts, and texts of white space, have no set and link with nothing. Texts with fewer words than a shingle have
-one. Rows that share a doc_id count as one document. A row without doc_id is never a representative while its class has
-another and links with nothing else. An empty table gives an empty result; extra columns are ignored, or passed through by
-``first_of_groups``.
+one. Documents are rows: those that share a doc_id, or have none, are linked by their texts. A component without any doc_id
+has a null component_id, and its rows count as kept. An empty table gives an empty result; extra columns are ignored, or
+passed through by ``first_of_groups``, which keeps one row of each component whatever the ids are.
 """
 
 from __future__ import annotations
@@ -32,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import Lookup, id_and_bytes, per_task, read
+from mapweave.llm.common import Lookup, per_task, read, unused
 from mapweave.session import cut_lineage
 
 SHINGLE = 5
@@ -40,9 +38,10 @@ POSITIONS = 64
 BITS = 16
 PERCENT = 85
 MISSED = 1.5e-5
-BLOCK = 1_024
-MAX_IDS = 500_000
-RARE = 8
+BLOCK = 2_048  # members of a block
+BLOCK_SHINGLES = 1 << 20  # and shingles of all of them, about
+CELLS = 1 << 22  # of an incidence matrix at a time
+MAX_ROWS = 500_000  # narrow rows that are broadcast
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_501).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -107,129 +106,174 @@ def unpacked(signatures: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(-1, POSITIONS)
 
 
+def rows_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key, body): the id and hash that tell rows apart, and the UTF-8 bytes of every whole text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.cast("binary").alias("body"))
+
+
 def sets(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set; null without one), signature."""
+    """doc_id, text_key, n_shingles, set_id (128-bit hash of the set; null without one), signature."""
 
     def start():
         words = word_hashes()
 
-        def work(ids, bodies):
+        def work(ids, keys, bodies):
             found = [shingle_set(body, words, size) for body in bodies]
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            return [ids, list(map(len, found)), names, [signature(s).tobytes() if len(s) else None for s in found]]
-
-        return work
-
-    return per_task(id_and_bytes(docs, doc_id, text), "doc_id long, n_shingles long, set_id binary, signature binary", start)
-
-
-def bucket_rows(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """key, rep, n_shingles: the rows of each class in its buckets."""
-
-    def start():
-        def work(reps, sizes, signatures):
-            if not reps:
-                return [[], [], []]
-            keys = chunk_keys(unpacked(signatures), chunks)
-            return [keys.ravel(), np.repeat(np.array(reps, dtype=np.int64), keys.shape[1]), np.repeat(np.array(sizes, dtype=np.int64), keys.shape[1])]
+            return [ids, keys, list(map(len, found)), names, [signature(s).tobytes() if len(s) else None for s in found]]
 
         return work
 
-    return per_task(classes.select("rep", "n_shingles", "signature"), "key long, rep long, n_shingles long", start)
+    schema = "doc_id long, text_key long, n_shingles long, set_id binary, signature binary"
+    return per_task(rows_of(docs, doc_id, text), schema, start)
 
 
-def sizes_fit(a: str, b: str, percent: int = PERCENT) -> F.Column:
-    """Sets whose sizes alone allow the threshold."""
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def set_classes(rows: DataFrame) -> DataFrame:
+    """One row per set: node (its number), set_id, n_shingles, signature, and the id and text key of one of its rows."""
+    found = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key"),
+        F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+    )
+    return cut_lineage(found.withColumn("node", F.monotonically_increasing_id()))  # numbers are fixed once they are written
 
 
-def within_distance(pairs: DataFrame, classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Those (a, b) whose signatures differ in at most ``distance`` positions."""
-    signed = classes.select("rep", "signature")
-    both = pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+def bucket_rows(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+    """key, node: the rows of each class in its buckets."""
 
     def start():
-        def work(a, b, left, right):
-            if not a:
+        def work(nodes, signatures):
+            if not nodes:
                 return [[], []]
-            near = (unpacked(left) != unpacked(right)).sum(axis=1) <= distance
-            return [np.array(a)[near], np.array(b)[near]]
+            keys = chunk_keys(unpacked(signatures), chunks)
+            return [keys.ravel(), np.repeat(np.array(nodes, dtype=np.int64), keys.shape[1])]
 
         return work
 
-    return per_task(both, "a long, b long", start)
+    return per_task(classes.select("node", "signature"), "key long, node long", start)
 
 
-def texts_of(ids: DataFrame, bodies: DataFrame, most: int = MAX_IDS) -> DataFrame:
-    """The rows of ``bodies`` with these doc_ids. Up to ``most`` ids are broadcast, so other texts are not shuffled."""
-    ids = cut_lineage(ids.distinct())
-    return bodies.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
-
-
-def shingle_counts(members: DataFrame, bodies: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """rep, hash, n: the shingles of all members of ``members``, each with the number of members that have it."""
-    needed = texts_of(members.select(F.col("rep").alias("doc_id")), bodies)
+def meetings(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+    """key, node, low (least node of the bucket) of the buckets with several members."""
+    every = bucket_rows(classes, chunks)
+    shared = every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    return cut_lineage(every.join(shared, "key"))
+
+
+def units(met: DataFrame) -> DataFrame:
+    """by_bucket, unit, node: who is compared with whom. A group is a unit, or each of its buckets where those are less work."""
+    groups = cut_lineage(components(met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()))
+    buckets = met.groupBy("key", "low").agg(F.count("*").alias("m")).groupBy("low").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+    by_bucket = buckets.join(groups.toDF("low", "comp"), "low").groupBy("comp").agg(F.sum("work").alias("work"))
+    whole = groups.groupBy("comp").agg(F.count("*").alias("n"))
+    chosen = cut_lineage(whole.join(by_bucket, "comp").select("comp", (F.col("work") < F.col("n") * F.col("n")).alias("by_bucket")))
+    named = groups.join(chosen, "comp")
+    small = met.join(named.where("by_bucket").select("node"), "node").select(F.lit(True).alias("by_bucket"), F.col("key").alias("unit"), "node")
+    return named.where("NOT by_bucket").select("by_bucket", F.col("comp").alias("unit"), "node").union(small)
+
+
+def node_sets(bodies: DataFrame, wanted: DataFrame, size: int = SHINGLE, most: int = MAX_ROWS) -> DataFrame:
+    """node, hashes: the full set of each wanted class (node, doc_id, text_key). Texts that nobody wants are not shuffled while
+    there are at most ``most`` wanted ones."""
+    wanted = cut_lineage(wanted.select("node", F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text")))
+    found = bodies.join(
+        F.broadcast(wanted) if wanted.count() <= most else wanted, F.col("text_key").eqNullSafe(F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    )
 
     def start():
-        words = word_hashes()
+        words, seen = word_hashes(), set()
 
-        def work(ids, texts):
-            found = [shingle_set(body, words, size) for body in texts]
-            hashes = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            return [np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in found]), hashes]
+        def work(nodes, texts):
+            fresh = [(node, text) for node, text in dict(zip(nodes, texts, strict=True)).items() if node not in seen]  # repeated rows give one set
+            seen.update(node for node, _ in fresh)
+            return [[node for node, _ in fresh], [shingle_set(text, words, size).tobytes() for _, text in fresh]]
 
         return work
 
-    each = per_task(needed.select("doc_id", "body"), "rep long, hash long", start).distinct()
-    return each.join(each.groupBy("hash").agg(F.count("*").alias("n")), "hash")
-
-
-def common_at_most(members: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
-    """rep, common: how many shingles of each member more than ``rare`` members have."""
-    often = counts.where(F.col("n") > rare).groupBy("rep").agg(F.count("*").alias("often"))
-    return members.select("rep").distinct().join(often, "rep", "left").select("rep", F.coalesce("often", F.lit(0)).cast("long").alias("common"))
-
-
-def rare_pairs(members: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
-    """(a, b) of different components that have a shingle in common which at most ``rare`` members have."""
-    lists = counts.where(F.col("n").between(2, rare)).groupBy("hash").agg(F.collect_set("rep").alias("reps"))  # at most ``rare`` each
-    pairs = lists.select("reps", F.explode("reps").alias("a")).select("a", F.explode("reps").alias("b")).where("a < b").distinct()
-    comps = members.select("rep", "comp").distinct()
-    return pairs.join(comps.toDF("a", "of_a"), "a").join(comps.toDF("b", "of_b"), "b").where("of_a <> of_b").select("a", "b")
-
-
-def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """Those (a, b) that reach the threshold on their full sets. ``pairs`` is read twice and should be written."""
-    needed = texts_of(pairs.select("a").union(pairs.select("b")).toDF("doc_id"), bodies)
-    both = (
-        pairs.join(needed.toDF("b", "body_b"), "b").join(needed.toDF("a", "body_a"), "a").select("a", "b", "body_a", "body_b")
-    )
+    return per_task(found.select("node", "body"), "node long, hashes binary", start)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other, as products of 0-1 matrices over what both have."""
+    parts = [(np.concatenate(some), np.repeat(np.arange(len(some)), list(map(len, some)))) for some in (left, right)]
+    shared = np.intersect1d(*(np.unique(values) for values, _ in parts), assume_unique=True)
+    places = []
+    for values, row in parts:
+        at = np.searchsorted(shared, values)
+        inside = at < len(shared)
+        inside[inside] = shared[at[inside]] == values[inside]
+        order = np.argsort(at[inside], kind="stable")
+        places.append((at[inside][order], row[inside][order]))
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)  # exact below 2 ** 24 shingles a product
+    totals = np.zeros((len(left), len(right)), dtype=np.int64)
+    wide = min(1 << 23, max(64, cells // (len(left) + len(right))))
+    for begin in range(0, len(shared), wide):
+        sides = []
+        for (at, row), some in zip(places, (left, right), strict=True):
+            low, high = np.searchsorted(at, (begin, begin + wide))
+            side = np.zeros((len(some), min(wide, len(shared) - begin)), dtype=np.float32)
+            side[row[low:high], at[low:high] - begin] = 1
+            sides.append(side)
+        np.matmul(sides[0], sides[1].T, out=counts)
+        totals += counts.astype(np.int64)
+    return totals
+
+
+def joined(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each member that a link touches with the least member it is joined with. ``link``: left by right."""
+    rows, columns = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+    link, names = link[rows][:, columns], np.unique(np.concatenate([left[rows], right[columns]]))
+    one, two = np.searchsorted(names, left[rows]), np.searchsorted(names, right[columns])
+    label = np.arange(len(names))
+    while len(names):
+        before = label.copy()
+        np.minimum.at(label, two, np.where(link, label[one][:, None], len(names)).min(axis=0))
+        np.minimum.at(label, one, np.where(link, label[two][None, :], len(names)).min(axis=1))
+        if (label == before).all():
+            break
+    apart = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[apart]], names[apart]
 
-    def start():
-        words, last = word_hashes(), {}
-
-        def set_of(key, body):
-            if key not in last:
-                last.clear()
-                last[key] = shingle_set(body, words, size)
-            return last[key]
-
-        def work(a, b, left, right):
-            kept = []
-            for x, y, body_x, body_y in zip(a, b, left, right, strict=True):
-                one, two = set_of((x, len(body_x)), body_x), shingle_set(body_y, words, size)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                kept.append(100 * common >= percent * (len(one) + len(two) - common))
-            return [[x for x, k in zip(a, kept, strict=True) if k], [y for y, k in zip(b, kept, strict=True) if k]]
 
-        return work
+def links_of_blocks(members: DataFrame, percent: int = PERCENT, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b) that join the members linked in each unit: rows (by_bucket, unit, node, n_shingles, signature, hashes)."""
+    distance, _ = reach(percent)
+    key = ["by_bucket", "unit"]
+    parts = members.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / shingles)).alias("parts"))
+    rows = members.join(parts, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # A member of part p takes part in the pairs of blocks (p, q) for all q, once each.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    rows = rows.select(*key, low, high, "node", "n_shingles", "part", "signature", "hashes")
 
-    return per_task(both, "a long, b long", start)
+    def compare(table: pa.Table) -> pa.Table:
+        node, size, part = (table[c].to_numpy() for c in ("node", "n_shingles", "part"))
+        signs, low, high = unpacked(table["signature"].to_pylist()), table["low"][0].as_py(), table["high"][0].as_py()
+        one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        able = np.zeros((len(one), len(two)), dtype=bool)
+        for at, i in enumerate(one):
+            fits = 100 * np.minimum(size[two], size[i]) >= percent * np.maximum(size[two], size[i])
+            if low == high:
+                fits &= node[two] > node[i]
+            others = np.flatnonzero(fits)
+            able[at, others] = (signs[two[others]] != signs[i]).sum(axis=1) <= distance
+        rows, columns = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
+        if not len(rows):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        one, two, able = one[rows], two[columns], able[rows][:, columns]
+        found = [[np.frombuffer(table["hashes"][int(i)].as_buffer(), dtype=np.uint64) for i in some] for some in (one, two)]
+        common = common_counts(*found)
+        link = able & (100 * common >= percent * (size[one][:, None] + size[two][None, :] - common))
+        a, b = joined(link, node[one], node[two])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy(*key, "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) over undirected links (a, b), by minima of neighbours and jumps along labels."""
-    ways = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ways = cut_lineage(links.select(both.alias("way")).select("way.a", "way.b").distinct())
     labels = ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp"))
     labels = cut_lineage(labels)
     while True:
@@ -243,111 +287,52 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Bucket rows with their component, themselves where there is none."""
-    if comps is None:
-        return members.withColumn("comp", F.col("rep"))
-    return members.join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
-
-def star_pairs(members: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each bucket's centre with every member of another component.
-
-    The first centre is the member that stands in most buckets: the text that copies were made from shares most of them.
-    Later ones follow a hash that changes with the turn.
-    """
-    rank = F.xxhash64("rep", F.lit(turn))
-    if not turn:
-        degrees = members.groupBy("rep").agg(F.count("*").alias("degree"))
-        members = members.join(degrees, "rep")
-        # One number, so that the aggregate stays a hash aggregate: fewer buckets first, then a hash.
-        rank = F.shiftleft((POSITIONS - F.col("degree")).cast("long"), 55) + F.shiftrightunsigned(F.xxhash64("rep"), 9)
-    of_centre = [F.min_by(c, rank).alias(name) for c, name in (("rep", "centre"), ("n_shingles", "size"), ("comp", "of"))]
-    centres = members.groupBy("key").agg(F.count("*").alias("n"), *of_centre).where("n > 1").drop("n")
-    met = members.join(centres, "key").where((F.col("comp") != F.col("of")) & sizes_fit("n_shingles", "size", percent))
-    return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-
-
-def cross_pairs(members: DataFrame, classes: DataFrame, common: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
-    """(a, b) within the distance, of different components and able to link by frequent shingles alone, in each bucket.
-
-    ``common`` as of ``common_at_most``. Compared block against block inside tasks; a pair that shares several buckets is
-    emitted in the one with the least key, in which both stand, as it is open too.
-    """
-    distance, chunks = reach(percent)
-    members = members.join(common, "rep").where(100 * F.col("common") >= percent * F.col("n_shingles"))  # else no partner could do
-    rows = members.join(classes.select("rep", "signature"), "rep")
-    parts = members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
-    rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    # A member of part p takes part in the pairs of blocks (p, q) for all q, once each.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "rep", "comp", "n_shingles", "common", "part", "signature")
-
-    def compare(table: pa.Table) -> pa.Table:
-        rep, comp, size, shared, part = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "common", "part"))
-        signs = unpacked(table["signature"].to_pylist())
-        key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
-        keys, found = chunk_keys(signs, chunks), []
-        for at in np.flatnonzero(part == low):
-            others = np.flatnonzero((part == high) & (comp != comp[at]) & ((rep > rep[at]) if low == high else True))
-            most = np.minimum(shared[others], shared[at])
-            others = others[100 * most >= percent * (size[others] + size[at] - most)]
-            near = others[(signs[others] != signs[at]).sum(axis=1) <= distance]
-            shared_keys = np.where(keys[near] == keys[at], keys[near], np.iinfo(np.int64).max)
-            near = near[shared_keys.min(axis=1, initial=np.iinfo(np.int64).max) == key]
-            found += [(min(rep[at], r), max(rep[at], r)) for r in rep[near]]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
-
-
-def open_buckets(members: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components."""
-    keys = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    return members.join(keys, "key", "left_semi")
+def judged_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_key, n_shingles, comp (number of the component; null without a set), component_id of every row."""
+    rows = cut_lineage(sets(docs, size, doc_id, text))
+    classes = set_classes(rows)
+    compared = cut_lineage(units(meetings(classes, reach(percent)[1])))
+    wanted = classes.join(compared.select("node").distinct(), "node", "left_semi")
+    found = node_sets(rows_of(docs, doc_id, text), wanted, size)
+    members = cut_lineage(compared.join(wanted.select("node", "n_shingles", "signature"), "node").join(found, "node"))
+    comps = components(links_of_blocks(members, percent))
+    named = classes.join(comps, "node", "left").select("set_id", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("least_id"))
+    named = named.join(least, "comp").select("set_id", "comp", "least_id")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    return rows.select("doc_id", "text_key", "n_shingles", "set_id").join(named, "set_id", "left").select(
+        "doc_id", "text_key", "n_shingles", "comp", component.alias("component_id")
+    )
 
 
 def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept of every row."""
-    distance, chunks = reach(percent)
-    bodies = id_and_bytes(docs, doc_id, text)
-    rows = cut_lineage(sets(docs, size, doc_id, text))
-    classes = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
-    )
-    classes = cut_lineage(classes)
-    every = bucket_rows(classes, chunks)
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    plain = cut_lineage(every.join(shared, "key", "left_semi"))
-    links, comps, open_rows, turn = None, None, labelled(plain, None), 0
-    while True:
-        near = cut_lineage(within_distance(star_pairs(open_rows, turn, percent), classes, distance))
-        found = cut_lineage(confirmed(near, bodies, percent, size))
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        before, turn = open_rows.count(), turn + 1
-        open_rows = cut_lineage(open_buckets(labelled(open_rows.select("key", "rep", "n_shingles"), comps)))
-        left = open_rows.count()
-        if left * 2 > before or not left:
-            break
-    if left:
-        counts = cut_lineage(shingle_counts(open_rows, bodies, size))
-        common = cut_lineage(common_at_most(open_rows, counts))
-        near = cut_lineage(cross_pairs(open_rows, classes, common, percent=percent).union(rare_pairs(open_rows, counts)).distinct())
-        comps = components(links.union(confirmed(near, bodies, percent, size)))
-    reps = classes.select("set_id", "rep").join(comps.toDF("rep", "comp"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return rows.select("doc_id", "n_shingles", "set_id").join(reps, "set_id", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    rows = judged_rows(docs, percent, size, doc_id, text)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id."""
-    later = near_duplicates(docs, percent, doc_id=doc_id, text=text).where("NOT kept").select(F.col("doc_id").alias("_later_id")).distinct()
-    return docs.join(later, docs[doc_id].cast("long").eqNullSafe(F.col("_later_id")), "left_anti")
+    """``docs``, all columns, with one row of each component: one with its smallest doc_id; of several such, by the text's hash.
+
+    Rows without a set all stay.
+    """
+    rows = judged_rows(docs, percent, doc_id=doc_id, text=text).where("comp IS NOT NULL")
+    rows = cut_lineage(rows.groupBy("comp", "component_id", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = rows.where(first).groupBy("comp").agg(F.min("text_key").alias("stays"))
+    gone = ~first | (F.col("text_key") != F.col("stays"))
+    verdicts = cut_lineage(rows.join(stays, "comp").where(gone | (F.col("n") > 1)).select("doc_id", "text_key", gone.alias("gone")))
+    of_id, of_text, key, number, verdict = unused(docs, "of_id", "of_text", "key", "number", "gone")
+    keyed = docs.withColumn(key, F.col(doc_id).cast("long")).withColumn(number, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col(key).eqNullSafe(F.col(of_id)) & (F.col(number) == F.col(of_text))
+    named = verdicts.toDF(of_id, of_text, verdict)
+    kept = keyed.join(named.where(F.col(verdict)), same, "left_anti")
+    repeated = named.where(~F.col(verdict))
+    if not repeated.isEmpty():  # rows that agree in id and text
+        kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([key, number]))
+    return kept.drop(key, number)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

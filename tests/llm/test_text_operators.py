@@ -142,32 +142,102 @@ def test_near_duplicates(spark, documents, odd):
         assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
-def test_cross_pairs_in_small_blocks(spark):
-    """The exact way for what stars leave: every pair within the distance and across components, whatever the block size."""
+def test_groups_and_blocks_lose_no_link(spark):
+    """Whatever the size of blocks and matrices: members are joined just as all links within the distance join them."""
     items = families()
     words = near_dup.word_hashes()
     sets = {i: near_dup.shingle_set(t.encode(), words) for i, t in items}
     signs = {i: near_dup.signature(s) for i, s in sets.items()}
-    classes = spark.createDataFrame([(i, len(sets[i]), bytearray(signs[i].tobytes())) for i, _ in items], "rep long, n_shingles long, signature binary")
-    members = near_dup.bucket_rows(classes).withColumn("comp", F.col("rep")).cache()
     close = {(a, b) for a, _ in items for b, _ in items if a < b and (signs[a] != signs[b]).sum() <= near_dup.DISTANCE}
-    everywhere = Counter(h for s in sets.values() for h in s.tolist())
-    shared = {i: sum(everywhere[h] > near_dup.RARE for h in s.tolist()) for i, s in sets.items()}
-    bodies = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in items], "doc_id long, body binary")
-    counts = near_dup.shingle_counts(members, bodies).cache()
-    common = near_dup.common_at_most(members, counts).cache()
-    assert {r.rep: r.common for r in common.collect()} == shared
-    rare = {h for h, n in everywhere.items() if 2 <= n <= near_dup.RARE}
-    by_rare = {(a, b) for a in sets for b in sets if a < b and rare & set(sets[a].tolist()) & set(sets[b].tolist())}
-    assert {tuple(r) for r in near_dup.rare_pairs(members, counts).collect()} == by_rare
-    want = {(a, b) for a, b in close if 100 * (m := min(shared[a], shared[b])) >= 85 * (len(sets[a]) + len(sets[b]) - m)}
     links = {(a, b) for a, b in close if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - c)}
-    assert links and links <= want | by_rare
-    for block in (10, 1_000):
-        assert {tuple(r) for r in near_dup.cross_pairs(members, classes, common, block).collect()} == want
-    # Pigeonhole: whatever lies within the distance shares a bucket.
+    classes = spark.createDataFrame([(i, len(sets[i]), bytearray(signs[i].tobytes())) for i, _ in items], "node long, n_shingles long, signature binary")
+    # Pigeonhole: whatever lies within the distance shares a bucket, and so a unit.
     keys = {i: set(near_dup.chunk_keys(s[None, :])[0].tolist()) for i, s in signs.items()}
-    assert all(keys[a] & keys[b] for a, b in close)
+    assert links and all(keys[a] & keys[b] for a, b in close)
+    met = near_dup.meetings(classes).cache()
+    compared = near_dup.units(met).cache()
+    together = defaultdict(set)
+    for r in compared.collect():
+        together[r.by_bucket, r.unit].add(r.node)
+    assert all(any({a, b} <= nodes for nodes in together.values()) for a, b in close)
+    full = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, hashes binary")
+    want = components_of(links)
+    by_bucket = met.select(F.lit(True).alias("by_bucket"), F.col("key").alias("unit"), "node")
+    for some in (compared, by_bucket):
+        members = some.join(classes, "node").join(full, "node")
+        for block, shingles in ((2_048, 1 << 20), (5, 1 << 20), (2_048, 1_000)):
+            found = {(r.a, r.b) for r in near_dup.links_of_blocks(members, 85, block, shingles).collect()}
+            assert components_of(found) == want
+
+
+def components_of(links):
+    above = {}
+
+    def root(i):
+        while above.setdefault(i, i) != i:
+            i = above[i]
+        return i
+
+    for a, b in links:
+        above[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in list(above)}
+
+
+def test_chains_of_small_buckets_are_compared_by_bucket(spark):
+    """A ring of 200 members, two to a bucket: 200 pairs, not 20,000."""
+    met = spark.createDataFrame([(k, node, min(k, (k + 1) % 200)) for k in range(200) for node in (k, (k + 1) % 200)], "key long, node long, low long")
+    rows = near_dup.units(met).collect()
+    assert {r.by_bucket for r in rows} == {True} and len(rows) == 400
+
+
+def test_common_counts_in_narrow_matrices():
+    draw = np.random.default_rng(3)
+    some = [np.unique(draw.integers(0, 300, draw.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) for b in some[15:]] for a in some[:20]]
+    for cells in (1, 10_000, 1 << 22):
+        assert near_dup.common_counts(some[:20], some[15:], cells).tolist() == want
+
+
+def test_near_duplicate_stage_judges_rows_not_ids(spark):
+    """Shared and null ids: every component keeps exactly one row, and unique texts stay."""
+    draw = random.Random(4)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+
+    def copy(word):
+        changed = list(words)
+        changed[60] = word
+        return " ".join(changed)
+
+    other = " ".join(f"o{draw.randrange(10**6)}" for _ in range(120))
+    only = " ".join(f"p{draw.randrange(10**6)}" for _ in range(120))
+    rows = [
+        (1, copy("a"), "x"), (5, copy("b"), "x"), (5, other, "x"), (None, copy("c"), "x"), (None, only, "x"), (None, "alone", "x"), (7, None, "x"), (7, "", "y"),
+        (8, other + " tail", "x"), (5, other, "z"), (None, only + " end", "q"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, OF_ID string").repartition(2)
+    kept = near_dup.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    texts_kept = [r.text for r in got]
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 5, 7, 7]
+    assert texts_kept.count(other) == 1 and copy("a") in texts_kept and "alone" in texts_kept and sum(t in (only, only + " end") for t in texts_kept) == 1
+    judged = {(r.doc_id, r.n_shingles): r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    assert judged[8, 117] == 5 and judged[1, 116] == 1
+
+
+def test_a_large_family_leaves_few_rows(spark):
+    """What leaves the tasks does not grow with the pairs of a family."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(160)]
+    items = []
+    for i in range(700):
+        changed = list(words)
+        for _ in range(draw.choice((1, 2, 3, 4))):
+            changed[draw.randrange(160)] = f"n{draw.randrange(60)}"
+        items.append((i, " ".join(changed)))
+    docs = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    want = linked(items)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == want
 
 
 def pieces_of(library, text):
