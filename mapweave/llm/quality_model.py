@@ -7,7 +7,7 @@ does, the step goes uphill on that term alone (Kiryo et al., 2017). The prior is
 unlabelled rows, and on rows that it has not seen the smallest ratio of the shares above a threshold bounds the part of
 positives (best bin estimation, Garg et al., 2021).
 
-Features of a whole text describe its form: the frequencies of word shapes (letters by case, digits, symbols) and of their
+Features of a whole text describe its form: the frequencies of word shapes (letters by ASCII case, digits, symbols) and of their
 ends, hashed, and bins of ratios (distinct words, repeated lines, symbols, capitals, word length). Labels, language, source and
 ids are never features.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -41,52 +42,42 @@ MAX_UNLABELLED = 16_384
 FOLDS, HELD_OUT = 4, 2
 LEAST = 0.7
 STEPS = 300
-RUN = re.compile(r"A+|a+|0+")
-# Capitals, other letters and digits are made equal; all else stands for itself.
-SHAPES = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{str(d): "0" for d in range(10)}})
+# ASCII capitals, digits and all other letters are made equal; all else stands for itself.
+SHAPES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c > 127 else 48 if 48 <= c <= 57 else c for c in range(256))
+RUN = re.compile(rb"([Aa0])\1+")
+CAPITALS = bytes(range(65, 91))
+SYMBOLS = b"#*$%&|<>!~^=+_@\\{}[]"
 BIN_EDGES = {
     "distinct": (0.05, 0.15, 0.3, 0.45, 0.6, 0.75, 0.9), "lines": (0.01, 0.1, 0.3, 0.6), "symbols": (0.005, 0.02, 0.05, 0.1, 0.2, 0.4),
     "capitals": (0.01, 0.03, 0.08, 0.2, 0.5, 0.8), "length": (2.5, 3.5, 4.5, 5.5, 6.5, 8.0, 12.0), "words": (1, 5, 20, 50, 200, 1000, 5000),
 }
 
 
-def shape(word: str) -> str:
-    """A word with runs of capitals, letters and digits written as one character; letters beyond ASCII count by their case."""
-    plain = word.translate(SHAPES)
-    if not plain.isascii():
-        plain = "".join(c if c.isascii() else ("A" if c.isupper() else "a" if c.isalpha() else c) for c in plain)
-    return RUN.sub(lambda run: run.group()[0], plain)
+def shape_slots(shape: bytes) -> tuple[int, int]:
+    """Feature numbers of a word's shape and of its last two characters."""
+    return tuple(xxhash.xxh32_intdigest(part) >> (32 - BITS) for part in (b"w" + shape[:12], b"e" + shape[-2:]))
 
 
-def word_slots(word: bytes) -> tuple[int, int, int]:
-    """Feature numbers of a word's shape and of the shape's last two characters; its capitals."""
-    text = word.decode(errors="replace")
-    form = shape(text)
-    slot = [xxhash.xxh32_intdigest(part.encode()) >> (32 - BITS) for part in ("w" + form[:12], "e" + form[-2:])]
-    return slot[0], slot[1], sum(map(str.isupper, text))
-
-
-def features(body: bytes, words: Lookup) -> tuple[np.ndarray, np.ndarray]:
+def features(body: bytes, shapes: Lookup) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values) of a whole text: root frequencies of its shapes, and one bin of each ratio."""
-    counts = Counter(body.split())
-    total = sum(counts.values())
-    seen, capitals = Counter(), 0
-    for word, n in counts.items():
-        whole, end, upper = words[word]
-        seen[whole] += n
-        seen[end] += n
-        capitals += n * upper
+    words = body.split()
+    total, distinct = len(words), len(set(words))
+    seen: Counter = Counter()
+    # Shapes are made for the whole text at once; a text has few different ones.
+    for shape, n in Counter(RUN.sub(rb"\1", body.translate(SHAPES)).split()).items():
+        for slot in shapes[shape]:
+            seen[slot] += n
     letters = max(1, len(body))
+    capitals, symbols = (len(body) - len(body.translate(None, some)) for some in (CAPITALS, SYMBOLS))
     lines = [line for line in body.split(b"\n") if line.strip()]
-    symbols = letters - len(body.translate(None, b"#*$%&|<>!~^=+_@\\{}[]"))
     ratios = {
-        "distinct": len(counts) / max(1, total), "lines": 1 - len(set(lines)) / max(1, len(lines)), "symbols": symbols / letters,
+        "distinct": distinct / max(1, total), "lines": 1 - len(set(lines)) / max(1, len(lines)), "symbols": symbols / letters,
         "capitals": capitals / letters, "length": letters / max(1, total), "words": total,
     }
     slots = list(seen)
     values = [math.sqrt(n / (2 * total)) for n in seen.values()]
     for at, (name, edges) in enumerate(BIN_EDGES.items()):
-        slots.append((1 << BITS) + 16 * at + int(np.searchsorted(edges, ratios[name], side="right")))
+        slots.append((1 << BITS) + 16 * at + bisect_right(edges, ratios[name]))
         values.append(0.5)
     return np.array(slots, dtype=np.int32), np.array(values, dtype=np.float32)
 
@@ -213,10 +204,10 @@ def fit(
     rows = id_and_bytes(docs, doc_id, text).join(F.broadcast(chosen), F.col("doc_id") == F.col("key"))
 
     def featurise():
-        words = Lookup(word_slots)
+        shapes = Lookup(shape_slots)
 
         def work(ids, bodies, kinds):
-            found = [features(body, words) for body in bodies]
+            found = [features(body, shapes) for body in bodies]
             return [ids, kinds, [s.tobytes() for s, _ in found], [v.tobytes() for _, v in found]]
 
         return work
@@ -250,10 +241,10 @@ def scored(docs: DataFrame, model: Model, least: float = LEAST, doc_id: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        weights, words, bias = shared.value.dense(), Lookup(word_slots), shared.value.bias
+        weights, shapes, bias = shared.value.dense(), Lookup(shape_slots), shared.value.bias
 
         def score(body):
-            slots, values = features(body, words)
+            slots, values = features(body, shapes)
             return 1 / (1 + math.exp(-max(-35.0, min(35.0, bias + float(weights[slots] @ values)))))
 
         return lambda ids, bodies: [ids, [score(body) for body in bodies]]
