@@ -16,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import read
+from mapweave.llm.common import read, unused
 from mapweave.session import cut_lineage
 
 HEAD = 64
 SPACES = r"[\x20\x09-\x0D]+"
-SAME = "_row_id <=> _copied_id AND _row_full = _copied_full"
 
 
 def narrow_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,31 +54,41 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
 
-def _copies(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` without later copies, with the columns _row_id and _row_full; the pairs of these that several kept rows share.
+class Copies:
+    """``docs`` without later copies, and which rows several kept ones agree with.
 
-    A row is judged by its id and its text: a null or shared doc_id says nothing about its other texts.
+    A row is judged by its id and its text: a null or shared doc_id says nothing about its other texts. The columns that carry
+    both have names that ``docs`` does not use.
     """
-    judged = exact_duplicates(docs, doc_id, text).groupBy("doc_id", F.unhex("text_sha256").alias("full")).agg(
-        F.first("kept").alias("kept"), F.count("*").alias("n")
-    )
-    judged = cut_lineage(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_copied_id"), F.col("full").alias("_copied_full"), "kept"))
-    even = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
-    rows = docs.withColumn("_row_id", F.col(doc_id).cast("long")).withColumn("_row_full", F.unhex(F.sha2(even.cast("binary"), 256)))
-    return rows.join(judged.where("NOT kept"), F.expr(SAME), "left_anti"), judged.where("kept")
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str):
+        judged = exact_duplicates(docs, doc_id, text).groupBy("doc_id", F.unhex("text_sha256").alias("full")).agg(
+            F.first("kept").alias("kept"), F.count("*").alias("n")
+        )
+        self.key = unused(docs, "row_id", "row_full")
+        of_id, of_full, kept = unused(docs, "copied_id", "copied_full", "copied_kept")
+        judged = cut_lineage(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias(of_id), F.col("full").alias(of_full), F.col("kept").alias(kept)))
+        even = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
+        row_id, row_full = self.key
+        rows = docs.withColumn(row_id, F.col(doc_id).cast("long")).withColumn(row_full, F.unhex(F.sha2(even.cast("binary"), 256)))
+        self.same = F.col(row_id).eqNullSafe(F.col(of_id)) & (F.col(row_full) == F.col(of_full))
+        self.rows, self.tied = rows.join(judged.where(~F.col(kept)), self.same, "left_anti"), judged.where(kept)
 
 
 def first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those whose equal text has a smaller doc_id. Equal ids and texts all stay."""
-    return _copies(docs, doc_id, text)[0].drop("_row_id", "_row_full")
+    found = Copies(docs, doc_id, text)
+    return found.rows.drop(*found.key)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Exactly one row of ``docs``, all columns, of each group of equal texts: one with the smallest doc_id, null ids last."""
-    rows, tied = _copies(docs, doc_id, text)
-    if not tied.isEmpty():
-        rows = rows.join(tied, F.expr(SAME), "left_anti").union(rows.join(tied, F.expr(SAME), "left_semi").dropDuplicates(["_row_id", "_row_full"]))
-    return rows.drop("_row_id", "_row_full")
+    found = Copies(docs, doc_id, text)
+    rows = found.rows
+    if not found.tied.isEmpty():
+        one = rows.join(found.tied, found.same, "left_semi").dropDuplicates(found.key)
+        rows = rows.join(found.tied, found.same, "left_anti").union(one)
+    return rows.drop(*found.key)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

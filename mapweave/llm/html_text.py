@@ -7,7 +7,7 @@ wins the host. A second pass extracts each page below the elements on the winnin
 its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by element, role and class; a class alone leaves out neither the article, what holds it, nor most of a page's text.
 
-The winners are broadcast up to ``MAX_HOSTS`` hosts; beyond it, pages and winners are joined by a shuffle on the host.
+The winners are broadcast up to ``MAX_HOSTS`` hosts and ``MAX_BYTES`` of hosts and paths; beyond it, pages and winners are joined by a shuffle.
 
 A null or empty html gives an empty text; a null url counts as the empty host; rows that share a page_id are extracted each;
 an empty table gives an empty result; extra columns are ignored.
@@ -31,15 +31,18 @@ from mapweave.llm.url_filter import host_and_path
 from mapweave.session import cut_lineage
 
 MAX_HOSTS = 100_000
+MAX_BYTES = 16 << 20  # of hosts and winning paths that are broadcast
 # Fixed values of HTML and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong "
-    "sub sup time tt u var wbr".split()
+    "sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
 LEFT_OUT = frozenset(
-    "nav footer aside form button select option textarea head title dialog menu iframe object svg math canvas audio video map noscript template".split()
+    "nav footer aside form button select option textarea head title dialog menu iframe object svg canvas audio video map noscript template".split()
 )
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 LEFT_OUT_WORDS = frozenset(
@@ -54,7 +57,7 @@ STATE_AFTER = frozenset("open closed wrap wrapper".split())
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|iframe|annotation-xml|annotation)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>"
     r"|</?[a-zA-Z][^>]*\Z",  # a tag that the page's end cuts off
@@ -205,8 +208,10 @@ def parse(source: str) -> Page:
             drawn = drawings(source) if drawn is None else drawn
             at = max(at, 0 if closing else drawn.get(found.start(), 0))
             continue
-        if tag in ("br", "hr"):
+        if tag == "br":
             buffer.append(" ")
+        if tag == "hr":
+            flush()
         if tag in VOID:
             continue
         attributes = "" if closing else found.group(4)
@@ -310,13 +315,14 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def main_text(
-    pages: DataFrame, max_hosts: int = MAX_HOSTS, page_id: str = "page_id", url: str = "url", source: str = "html"
+    pages: DataFrame, max_hosts: int = MAX_HOSTS, max_bytes: int = MAX_BYTES, page_id: str = "page_id", url: str = "url", source: str = "html"
 ) -> DataFrame:
     """page_id, url, text, n_chars, path (the host's consensus) of every row."""
     plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"))
     plain = plain.withColumn("host", host_and_path(F.col("url"))[0])
     winners = cut_lineage(host_paths(plain))
-    if winners.count() <= max_hosts:
+    hosts, held = winners.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()
+    if hosts <= max_hosts and held <= max_bytes:
         winners = F.broadcast(winners)
     joined = plain.join(winners, "host", "left").select("page_id", "url", "html", "path")
 

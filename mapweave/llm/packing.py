@@ -7,6 +7,9 @@ fillings of its gap, least waste first, and a branch is left when its waste exce
 may waste. A group ends at its lower bound, when nothing is left to try, or after ``NODES`` bins or ``STEPS`` times as many
 steps inside fillings, and keeps the best solution.
 
+Ids come from the rank file of the vocabulary, through the other public library that reads it: tests hold them against those
+of ``tokenizers`` and the .json file, special strings included.
+
 Null and empty texts are one piece, the separator alone. Rows that share a doc_id are packed each. An empty table gives an
 empty result; extra columns are ignored; a null doc_id stays null.
 """

@@ -1,9 +1,11 @@
 """Quality rules whose failures are pooled by host.
 
 Each document is measured once; rule failures are summed by host (``source``), a combining aggregate. Per rule, the host
-rates give an empirical beta prior by moments, and each host's rate is shrunk towards it: (failures + a) / (documents + a + b),
-so that a host of a few documents needs more than their failures to stand out. A host is rejected when a shrunk rate
-exceeds ``HOST_LIMIT``; its documents are not kept. Documents of other hosts are kept unless a base rule fails.
+rates give an empirical beta prior by moments: its mean, and what is left of the spread of the rates when the chance of drawing so
+few documents is taken out. Each host's rate is shrunk towards it, (failures + a) / (documents + a + b), so that a host of a
+few documents needs more than their failures to stand out. A host is rejected when a shrunk rate, less ``DOUBT`` deviations of its
+posterior, lies more than ``SPREADS`` spreads of the prior above its mean: it is surely worse than hosts of this corpus are. Where
+hosts differ by chance only, none is rejected. Documents of other hosts are kept unless a base rule fails.
 
 Null and empty texts have no words and fail. Rows without a host form one group. Rows that share a doc_id are each judged
 and counted. An empty table gives an empty result; extra columns are ignored.
@@ -20,7 +22,9 @@ from mapweave.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
-HOST_LIMIT = 0.5
+SPREADS = 2.5
+DOUBT = 2.0
+SURE = 1e9  # weight of the prior where hosts do not differ
 
 
 def rules() -> dict[str, Column]:
@@ -79,34 +83,48 @@ def host_rates(rows: DataFrame) -> DataFrame:
 
 
 def beta_priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
-    """(a, b) of each rule by the moments of the host rates. Equal rates, or a single host, give a prior of one document."""
-    parts = []
+    """(mean, weight) of each rule's prior, a beta distribution with a = mean * weight and b = (1 - mean) * weight.
+
+    Hosts of one document tell the mean but nothing of the spread. The expected square of a rate's distance from the mean is
+    V (1 - 1 / n) + mean (1 - mean) / n for a host of n documents, which gives the spread V of the hosts themselves.
+    """
+    several = F.col("documents") > 1
+    parts = [F.sum("documents").alias("documents"), F.avg(F.when(several, 1 / F.col("documents"))).alias("chance")]
     for name in rules():
-        rate = F.col(name) / F.col("documents")
-        parts += [F.avg(rate).alias(f"{name}_mean"), F.var_samp(rate).alias(f"{name}_spread")]
+        rate = F.when(several, F.col(name) / F.col("documents"))
+        parts += [F.sum(name).alias(name), F.avg(rate).alias(f"{name}_mean"), F.var_samp(rate).alias(f"{name}_spread")]
     row = hosts.agg(*parts).first()
     priors = {}
     for name in rules():
-        mean, spread = row[f"{name}_mean"] or 0.0, row[f"{name}_spread"] or 0.0
-        weight = max(1.0, mean * (1 - mean) / spread - 1) if spread > 0 else 1.0
-        priors[name] = (mean * weight, (1 - mean) * weight)
+        if row[f"{name}_spread"] is None:  # less than two hosts tell
+            priors[name] = ((row[name] or 0) / max(1, row["documents"] or 0), SURE)
+            continue
+        mean, chance = row[f"{name}_mean"], row["chance"]
+        most = mean * (1 - mean)
+        spread = max(0.0, row[f"{name}_spread"] - most * chance) / (1 - chance)
+        priors[name] = (mean, min(SURE, max(1e-3, most / spread - 1)) if spread > 0 else SURE)
     return priors
 
 
-def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(rows: DataFrame, spreads: float = SPREADS, doubt: float = DOUBT) -> DataFrame:
     """host, documents, shrunk rate of each rule, rejected."""
     hosts = host_rates(rows)
-    priors = beta_priors(hosts)
-    shrunk = [((F.col(name) + a) / (F.col("documents") + a + b)).alias(name) for name, (a, b) in priors.items()]
-    return hosts.select("host", "documents", *shrunk).withColumn("rejected", F.greatest(*rules()) > limit)
+    shrunk, worse = [], F.lit(False)
+    for name, (mean, weight) in beta_priors(hosts).items():
+        rate = (F.col(name) + mean * weight) / (F.col("documents") + weight)
+        shrunk.append(rate.alias(name))
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("documents") + weight + 1))
+        limit = mean + spreads * (mean * (1 - mean) / (weight + 1)) ** 0.5
+        worse = worse | (rate - doubt * deviation > limit)
+    return hosts.select("host", "documents", *shrunk, worse.alias("rejected"))
 
 
 def quality_verdicts(
-    docs: DataFrame, limit: float = HOST_LIMIT, doc_id: str = "doc_id", text: str = "text", host: str = "source"
+    docs: DataFrame, spreads: float = SPREADS, doubt: float = DOUBT, doc_id: str = "doc_id", text: str = "text", host: str = "source"
 ) -> DataFrame:
     """doc_id, the measures, base_failed, host_rejected and kept of every row."""
     rows = cut_lineage(measured(docs, doc_id, text, host))
-    bad = host_verdicts(rows, limit).where("rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad"))
+    bad = host_verdicts(rows, spreads, doubt).where("rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad"))
     failed = list(rules().values())
     base = failed[0] | failed[1]
     return (

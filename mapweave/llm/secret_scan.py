@@ -4,8 +4,8 @@ Candidates are the longest runs of token characters of at least ``WINDOW`` chara
 each; symbol counts and the entropy are updated by the character that leaves and the one that enters. Windows at or above
 the threshold of the candidate's character class are united to a span. Segments with a placeholder or a counting sequence
 are left out of a candidate, and the rest of it is scanned. The allow-list takes out what is long but harmless: short
-numbers, path-like words and names of capitalised words, judged on stretches and on united spans. A span that meets a base span is not
-reported twice.
+numbers, path-like words and names of capitalised words, judged on stretches and on united spans. Of a span that meets base spans, only
+what they leave is reported, as spans of its own.
 
 Null and empty texts have no spans (the digest of the empty string). Rows that share a doc_id are scanned each; a null
 doc_id stays null; an empty table gives an empty result; extra columns are ignored, or passed through by ``redacted``.
@@ -116,6 +116,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), m.end(), 2) for m in HEX.finditer(text)], key=lambda s: (s[0], s[2]))
 
 
+def remainders(spans: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What ``taken``, in order of start, leaves of ``spans``, which are in order and apart."""
+    filled: list[tuple[int, int]] = []
+    for start, stop, _ in taken:
+        if filled and start <= filled[-1][1]:
+            filled[-1] = (filled[-1][0], max(stop, filled[-1][1]))
+        else:
+            filled.append((start, stop))
+    left, number = [], 0
+    for at, end in spans:
+        while number < len(filled) and filled[number][1] <= at:
+            number += 1
+        for start, stop in filled[number:]:
+            if start >= end:
+                break
+            if start > at:
+                left.append((at, start))
+            at = max(at, stop)
+        if at < end:
+            left.append((at, end))
+    return left
+
+
+def beside(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Entropy spans without what is in base spans; what stands between these is also judged by itself, as their own words
+    (a placeholder in a key's name, say) tell nothing of it."""
+    found = remainders(entropy_spans(text), base)
+    if base:
+        apart = list(text)
+        for start, stop, _ in base:
+            apart[start:stop] = " " * (stop - start)
+        more = sorted([*found, *entropy_spans("".join(apart))])
+        found = []
+        for start, stop in more:
+            if found and start <= found[-1][1]:
+                found[-1] = (found[-1][0], max(stop, found[-1][1]))
+            else:
+                found.append((start, stop))
+    return found
+
+
 def spans_of(body: bytes) -> tuple[list, list]:
     """Base spans and all spans. Most texts have no keyword and no long run, and end at the first test."""
     low = body.lower()
@@ -123,7 +164,7 @@ def spans_of(body: bytes) -> tuple[list, list]:
         return [], []
     text = body.decode()
     base = base_spans(text)
-    more = [(a, b, 3) for a, b in entropy_spans(text) if not any(a < end and start < b for start, end, _ in base)]
+    more = [(a, b, 3) for a, b in beside(text, base)]
     return base, sorted(base + more, key=lambda s: (s[0], s[2]))
 
 

@@ -3,7 +3,8 @@
 A text's count is the sum over its pre-tokens, here the runs between ASCII white space: the vocabulary drops white space, so
 no token, normalisation or special string reaches across it, and each run can be encoded alone by the library itself.
 Tier one is a broadcast table of the corpus's frequent runs and their lengths, at most ``TABLE`` entries. Tier two is a
-bounded cache in each worker, filled by encoding the misses of a batch together. No run is shuffled but the heavy hitters
+bounded cache in each worker, filled by encoding the misses of a batch together. Runs of more than ``LONGEST`` bytes are in
+neither: they are encoded where they stand. No run is shuffled but the heavy hitters
 of each partition, ``PER_TASK`` at most, from which the table is made; the table changes the speed, never a count.
 
 Nulls and empty texts have 0 bytes and 0 tokens; a null doc_id stays null; repeated rows are each reported; an empty table
@@ -24,6 +25,7 @@ from mapweave.llm.common import id_and_bytes, per_task, read
 TABLE = 65_536
 PER_TASK = 8_192
 CACHE = 500_000
+LONGEST = 64  # bytes of a run that a table or cache may hold, so both are bounded in bytes
 _MODELS: dict[str, Tokenizer] = {}
 
 
@@ -49,7 +51,7 @@ def heavy_runs(bodies: DataFrame, table: int = TABLE, per_task_runs: int = PER_T
         def work(bodies_of_batch):
             seen = Counter()
             for body in bodies_of_batch:
-                seen.update(body.split())
+                seen.update(run for run in body.split() if len(run) <= LONGEST)
                 if len(seen) > 16 * per_task_runs:
                     seen = Counter(dict(seen.most_common(8 * per_task_runs)))
             best = [(run, n) for run, n in seen.most_common(per_task_runs) if n > 1]
@@ -80,13 +82,14 @@ def token_counts(
                 for run in list(cache)[CACHE // 2 :]:
                     del cache[run]
                 missed = {run for runs in split for run in runs if run not in first and run not in cache}
-            missed = list(missed)
+            missed, long = list(missed), {}
             for at in range(0, len(missed), 4096):
                 part = missed[at : at + 4096]
-                cache.update(zip(part, lengths(model, part), strict=True))
+                for run, n in zip(part, lengths(model, part), strict=True):
+                    (cache if len(run) <= LONGEST else long)[run] = n
             counts = []
             for runs in split:
-                known = [first.get(run) or cache.get(run, 0) for run in runs]
+                known = [first.get(run) or cache.get(run) or long.get(run, 0) for run in runs]
                 counts.append(sum(known))
             return [ids, [len(body) for body in texts], counts]
 

@@ -125,21 +125,22 @@ def host_and_path(url):
     return host, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_keys(host: str, path: str, reach: list[int]) -> list[str]:
-    """Keys under which a rule for this address may stand, longest first: host suffixes with path prefixes of known lengths."""
+def rule_keys(host: str, path: str, reach: list[int], depths: list[int]) -> list[str]:
+    """Keys under which a rule for this address may stand, longest first: host suffixes of as many labels as rules have, with
+    path prefixes of known lengths. They are few, however long the host is."""
     labels = host.split(".")
-    suffixes = [".".join(labels[at:]) for at in range(len(labels))]
+    suffixes = [".".join(labels[len(labels) - depth :]) for depth in depths if depth <= len(labels)]
     return sorted((s + path[:n] for s in suffixes for n in reach if len(path) >= n), key=len, reverse=True)
 
 
 def longest_rules(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """``pages`` (page_id, host, path) with the longest rule that fits, found by a cascade over all candidate keys."""
-    reach = sorted({len(path) for _, path, _ in rules})
+    reach, depths = sorted({len(path) for _, path, _ in rules}), sorted({host.count(".") + 1 for host, _, _ in rules})
     listed = {host + path for host, path, _ in rules}
 
     def candidates():
         def work(hosts, paths):
-            keys = sorted({key for h, p in zip(hosts, paths, strict=True) for key in rule_keys(h, p, reach)})
+            keys = sorted({key for h, p in zip(hosts, paths, strict=True) for key in rule_keys(h, p, reach, depths)})
             return [keys, [key in listed for key in keys]]
 
         return work
@@ -149,7 +150,7 @@ def longest_rules(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
 
     def start():
         def work(ids, hosts, paths):
-            keys = [rule_keys(h, p, reach) for h, p in zip(hosts, paths, strict=True)]
+            keys = [rule_keys(h, p, reach, depths) for h, p in zip(hosts, paths, strict=True)]
             inside = iter(cascade.contains([key for some in keys for key in some]).tolist())
             rules_found = []
             for some in keys:
