@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.text import half_up
-from mapweave.operators.components import label_nodes
+from mapweave.operators.chains import contract
 from mapweave.operators.grid import within_distance
 from mapweave.operators.lines import gap
 from mapweave.operators.ordered import neighbors
+from mapweave.operators.snapping import first_come_nodes
 from mapweave.session import cut_lineage
 
 SHORTEST_EDGE = 0.05
-STEPS_PER_CUT = 12
-PAGE = 1024
+HOPS = 4
+SAME = 1e-9  # metres; sums of one path differ by rounding with their order
+PARTS_PER_CUT = 8
 
 
 def node_key(x: Column, z: Column, layer: Column) -> Column:
@@ -61,59 +64,68 @@ def degrees(parts: DataFrame) -> DataFrame:
     return both.groupBy("area_id", "node").agg(F.count("*").alias("degree"))
 
 
-def _adjacency(edges: DataFrame) -> DataFrame:
-    """Outgoing edges of each node in pages of bounded length, so a hub does not become one huge row."""
-    sized = edges.groupBy("area_id", "src").agg(F.ceil(F.count("*") / PAGE).alias("_pages"))
-    paged = edges.join(sized, ["area_id", "src"]).withColumn("page", F.pmod(F.xxhash64("dst"), F.col("_pages")))
-    return paged.groupBy("area_id", F.col("src").alias("node"), "page").agg(
-        F.collect_list(F.struct("dst", "length")).alias("out")
-    )
-
-
 def shortest_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Distance and predecessor of every node reachable from each source: ``area_id, source, node, dist, prev``.
 
-    Sources: ``area_id, source, node`` and optionally ``ex_a, ex_b``, an edge the search must not use. All sources relax
-    together, one shuffle per step: a row passes itself on and, while it is fresh, offers its neighbours a distance.
+    Sources: ``area_id, source, node`` and optionally ``ex_a, ex_b``, an edge the search must not use. Roads between junctions
+    are contracted first. All sources then search together, and each round only what improved in the last one is passed on,
+    ``HOPS`` junctions far; what has settled is looked up, not passed on. Nodes inside roads take the better end at last.
+    Paths that are equal but for rounding go to the lower predecessor.
     """
-    none = F.lit(None).cast("string")
     ban = [c for c in ("ex_a", "ex_b") if c in sources.columns]
-    graph = cut_lineage(_adjacency(edges).repartition("area_id", "node"))
-    # ``b`` holds distance and predecessor, ``old`` the distance before the last step.
-    state = sources.select(
-        "area_id", "source", "node", *ban, F.struct(F.lit(0.0).alias("dist"), none.alias("prev")).alias("b"),
-        F.lit(None).cast("double").alias("old"),
-    )
-    fresh = F.col("old").isNull() | (F.col("b.dist") < F.col("old"))
-
-    def offer(edge: Column) -> Column:
-        return F.struct(
-            edge["dst"].alias("node"),
-            F.struct((F.col("b.dist") + edge["length"]).alias("dist"), F.col("node").alias("prev")).alias("b"),
-            F.lit(None).cast("double").alias("old"),
+    key = ["area_id", "source", "node"]
+    sources = cut_lineage(sources.select(*key, *ban))
+    stops = [sources.select("area_id", F.col(c).alias("node")) for c in ("node", *ban)]
+    short, inner = contract(edges, reduce(DataFrame.unionByName, stops).where("node IS NOT NULL"))
+    short, inner = cut_lineage(short), cut_lineage(inner)
+    allowed = F.lit(True)
+    if ban:
+        pairs = [F.col(x).eqNullSafe(F.col("node")) & F.col(y).eqNullSafe(F.col("dst")) for x, y in (ban, ban[::-1])]
+        allowed = ~(F.col("direct") & (pairs[0] | pairs[1]))
+        # Columns of their own: one search table meets another that came from the same rows.
+        banned = sources.select(*[F.col(c).alias(c) for c in ("area_id", "source", *ban)]).distinct()
+    graph = short.select("area_id", F.col("src").alias("node"), "dst", "length", "direct")
+
+    def passed_on(rows: DataFrame) -> DataFrame:
+        met = rows.join(graph, ["area_id", "node"])
+        met = (met.join(banned, ["area_id", "source"]) if ban else met).where(allowed)
+        return met.select("area_id", "source", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"))
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(F.min("dist").alias("dist"))
+
+    front = cut_lineage(sources.select(*key, F.lit(0.0).alias("dist")))
+    settled, parts = front, 1
+    while not front.isEmpty():
+        reached = front
+        for _ in range(HOPS):
+            reached = least(reached.unionByName(passed_on(reached)))
+        offers = cut_lineage(reached)
+        known = least(settled.join(offers.select(*key), key, "left_semi")).withColumnRenamed("dist", "known")
+        front = cut_lineage(offers.join(known, key, "left").where("known IS NULL OR dist < known").drop("known"))
+        settled, parts = settled.unionByName(front), parts + 1
+        if parts > PARTS_PER_CUT:
+            settled, parts = cut_lineage(least(settled)), 1
+    settled = cut_lineage(least(settled))
+
+    def by_ends(ways: DataFrame) -> DataFrame:
+        """Nodes with the ways to the ends that they can be reached from; the first node of such a way is the last before them."""
+        met = ways.join(settled.withColumnRenamed("node", "end"), ["area_id", "end"])
+        offered = met.select(*key, (F.col("dist") + F.col("length")).alias("dist"), F.col("toward").alias("prev"))
+        best = offered.groupBy(*key).agg(F.min("dist").alias("least"))
+        return offered.join(best, key).where(F.col("dist") <= F.col("least") + SAME).groupBy(*key, F.col("least").alias("dist")).agg(
+            F.min("prev").alias("prev")
         )
 
-    def allowed(edge: Column) -> Column:
-        pair = F.struct(F.col("node").alias("x"), edge["dst"].alias("y"))
-        return ~F.coalesce(
-            (pair == F.struct(F.col("ex_a").alias("x"), F.col("ex_b").alias("y")))
-            | (pair == F.struct(F.col("ex_b").alias("x"), F.col("ex_a").alias("y"))), F.lit(False))
-
-    own = F.array(F.struct("node", "b", F.col("b.dist").alias("old")))
-    nothing = F.slice(own, 1, 0)
-    usable = F.filter("out", allowed) if ban else F.col("out")
-    sent = F.inline(F.concat(
-        F.when(F.coalesce("page", F.lit(0)) == 0, own).otherwise(nothing),
-        F.when(fresh & F.col("out").isNotNull(), F.transform(usable, offer)).otherwise(nothing),
-    ))
-    best = [F.min("b").alias("b"), F.min("old").alias("old"), *[F.first(c).alias(c) for c in ban]]
-    while True:
-        for _ in range(STEPS_PER_CUT):
-            met = state.join(graph, ["area_id", "node"], "left").select("area_id", "source", *ban, sent)
-            state = met.repartition("area_id", "node").groupBy("area_id", "source", "node").agg(*best)
-        state = cut_lineage(state)
-        if state.where(fresh).isEmpty():
-            return state.select("area_id", "source", "node", "b.dist", "b.prev")
+    back = short.select("area_id", F.col("src").alias("node"), "dst", "length", "direct", "toward")
+    before = back.withColumnRenamed("dst", "end").join(settled.withColumnRenamed("node", "end").withColumnRenamed("dist", "far"), ["area_id", "end"])
+    if ban:
+        before = before.withColumnRenamed("end", "dst").join(banned, ["area_id", "source"]).where(allowed).withColumnRenamed("dst", "end")
+    offered = before.join(settled, key).where(F.col("far") < F.col("dist")).withColumn("sum", F.col("far") + F.col("length"))
+    best = offered.groupBy(*key).agg(F.min("sum").alias("least"))
+    prev = offered.join(best, key).where(F.col("sum") <= F.col("least") + SAME).groupBy(*key).agg(F.min("toward").alias("prev"))
+    kept = settled.join(prev, key, "left").select(*key, "dist", "prev")
+    return cut_lineage(kept.unionByName(by_ends(inner)))  # callers read it several times
 
 
 def routes_to_goal(edges: DataFrame, goals: DataFrame) -> DataFrame:
@@ -147,26 +159,11 @@ def paths(distances: DataFrame, ends: DataFrame) -> DataFrame:
     return reached.join(tree.select(*key, "node", "dist"), [*key, "node"])
 
 
-def first_come(table: pa.Table) -> pa.Table:
-    """Which places of one chain of close ones become nodes: in order, those with no earlier node within the radius."""
-    radius = table["radius"][0].as_py()
-    taken: dict[tuple[int, int], list[tuple[float, float]]] = {}
-    rows = []
-    for area, node, x, z in sorted(zip(*(table[c].to_pylist() for c in ("area_id", "node", "x", "z")), strict=True), key=lambda r: r[1]):
-        cx, cz = int(x // radius), int(z // radius)
-        near = (p for dx in (-1, 0, 1) for dz in (-1, 0, 1) for p in taken.get((cx + dx, cz + dz), ()))
-        if not any((px - x) ** 2 + (pz - z) ** 2 < radius * radius for px, pz in near):
-            taken.setdefault((cx, cz), []).append((x, z))
-            rows.append((area, node))
-    return pa.table({"area_id": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.string())})
-
-
 def snapped_graph(points: DataFrame, radius: float = 1.5, block: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Graph in which points closer than the radius to an earlier node are that node; tunnels are left out.
 
     Points come in order of road and index. A place becomes a node where no earlier node lies within the radius; every
-    point goes to such a node, of several to that in the first cell of twice the radius, then to the earliest. Nodes are
-    chosen inside chains of close places: of a city's network, a chain is the few points about one crossing.
+    point goes to such a node, of several to that in the first cell of twice the radius, then to the earliest.
     """
     open_roads = points.where(~F.col("tunnel")).withColumn("area_id", F.col("area_id").cast("long"))
     axes = [c for c in ("x", "z", "y") if c in points.columns]
@@ -181,16 +178,10 @@ def snapped_graph(points: DataFrame, radius: float = 1.5, block: DataFrame | Non
             "area_id", F.col("node").alias("b"), F.col("x").alias("ax"), F.col("z").alias("az"), F.col("x").alias("bx"), F.col("z").alias("bz")
         )
 
-    def close(to: DataFrame) -> DataFrame:
-        return within_distance(probes, spots(to), radius, size=2 * radius).where(F.col("distance") < radius)
-
-    links = close(places).where(F.col("a") > F.col("b")).select("area_id", "a", "b")
-    chained = label_nodes(places, links).select(
-        "area_id", "root", "node", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"), F.lit(float(radius)).alias("radius")
-    )
-    chosen = cut_lineage(chained.groupBy("area_id", "root").applyInArrow(first_come, "area_id long, node string"))
+    chosen = first_come_nodes(places, radius)
     nodes = cut_lineage(places.join(chosen, ["area_id", "node"], "left_semi").select("area_id", "node", "x", "z", "_p"))
-    offers = close(nodes).select(
+    near = within_distance(probes, spots(nodes), radius, size=2 * radius).where(F.col("distance") < radius)
+    offers = near.select(
         "area_id", "px", "pz", F.struct(F.floor(F.col("ax") / (2 * radius)).alias("gx"), F.floor(F.col("az") / (2 * radius)).alias("gz"), "b").alias("o")
     )
     met = numbered.select("area_id", "way_id", "idx", "_at", F.col("x").alias("px"), F.col("z").alias("pz")).join(offers, ["area_id", "px", "pz"])
