@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mapweave.session import cut_lineage
 
 EDGE = ["area_id", "a", "b"]
+SAME = 1e-9  # metres; sums of one path differ by rounding with their order
 
 
 def contract(edges: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +50,13 @@ def contract(edges: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
     done = cut_lineage(done)
     inside = passing.select("area_id", F.col("node").alias("a"))
     inner = done.join(inside, ["area_id", "a"], "left_semi").select("area_id", F.col("a").alias("node"), "end", "length", F.col("b").alias("toward"))
-    short = done.join(inside, ["area_id", "a"], "left_anti").where(F.col("a") != F.col("end")).groupBy(
-        "area_id", F.col("a").alias("src"), F.col("end").alias("dst"), (F.col("b") == F.col("end")).alias("direct")
-    ).agg(F.min("length").alias("length"), F.min_by("b", "length").alias("toward"))
+    pair = ["area_id", "src", "dst", "direct"]
+    between = done.join(inside, ["area_id", "a"], "left_anti").where(F.col("a") != F.col("end")).select(
+        "area_id", F.col("a").alias("src"), F.col("end").alias("dst"), (F.col("b") == F.col("end")).alias("direct"), "length", F.col("b").alias("toward")
+    )
+    least = between.groupBy(*pair).agg(F.min("length").alias("least"))
+    # Of chains that are equal but for rounding, the one with the lower first node.
+    short = between.join(least, pair).where(F.col("length") <= F.col("least") + SAME).groupBy(*pair, F.col("least").alias("length")).agg(
+        F.min("toward").alias("toward")
+    )
     return short, inner

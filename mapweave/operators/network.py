@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.text import half_up
-from mapweave.operators.chains import contract
+from mapweave.operators.chains import SAME, contract
 from mapweave.operators.grid import within_distance
 from mapweave.operators.lines import gap
 from mapweave.operators.ordered import neighbors
@@ -17,7 +17,6 @@ from mapweave.session import cut_lineage
 
 SHORTEST_EDGE = 0.05
 HOPS = 4
-SAME = 1e-9  # metres; sums of one path differ by rounding with their order
 PARTS_PER_CUT = 8
 
 

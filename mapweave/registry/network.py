@@ -10,6 +10,7 @@ from mapweave.operators import lines as L
 from mapweave.operators import network as N
 from mapweave.operators import routes as R
 from mapweave.operators.ordered import hot_keys
+from mapweave.operators.ranking import top_per_group
 from mapweave.registry.catalog import Topic
 from mapweave.registry.plan import POINT_SQL, VIEWS, grid_points
 from mapweave.session import cut_lineage
@@ -191,3 +192,76 @@ def snapped_edges(spark, sf_dir):
     points = grid_points(spark, sf_dir).withColumn("tunnel", F.lit(False))
     _, edges = N.snapped_graph(points)
     return edges.withColumn("length", places(F.col("length"), 4))
+
+
+# The edge from each area's hub to its lowest neighbour is closed; the goal is the second-busiest node.
+CLOSED_SQL = f"""{GRAPH_SQL},
+hu AS (SELECT area_id, src AS hub, row_number() OVER (PARTITION BY area_id ORDER BY count(*) DESC, src) AS k FROM eg GROUP BY 1, 2),
+cl AS (SELECT h.area_id, hub, min(dst) AS other FROM hu h JOIN eg ON eg.area_id = h.area_id AND eg.src = hub WHERE k = 1 GROUP BY 1, 2),
+oe AS (SELECT eg.* FROM eg JOIN cl USING (area_id) WHERE NOT ((src = hub AND dst = other) OR (src = other AND dst = hub)))"""
+
+
+@topic.query(duck(f"""
+WITH RECURSIVE {CLOSED_SQL},
+di(area_id, node, dist) USING KEY (area_id, node) AS (
+ SELECT area_id, hub, 0e0 FROM cl
+ UNION SELECT oe.area_id, oe.dst, min(d.dist + oe.len) FROM di d JOIN oe ON oe.area_id = d.area_id AND oe.src = d.node
+  LEFT JOIN recurring.di r ON r.area_id = oe.area_id AND r.node = oe.dst WHERE r.dist IS NULL OR d.dist + oe.len < r.dist GROUP BY 1, 2)
+SELECT di.area_id, di.node, round(di.dist, 4) AS dist, di.node = other AS closed_end FROM di JOIN cl USING (area_id)""", *VIEWS))
+def detour_distances(spark, sf_dir):
+    """Distances from the hub when the edge to its lowest neighbour is closed."""
+    _, edges = N.road_graph(grid_points(spark, sf_dir))
+    edges = cut_lineage(edges)
+    hubs = ranked_nodes(edges).where("k = 1").select("area_id", F.col("src").alias("node"))
+    first = edges.join(hubs.withColumnRenamed("node", "src"), ["area_id", "src"]).groupBy("area_id", F.col("src").alias("node")).agg(F.min("dst").alias("ex_b"))
+    sources = cut_lineage(first.select("area_id", F.lit("hub").alias("source"), "node", F.col("node").alias("ex_a"), "ex_b"))
+    found = N.shortest_distances(edges, sources)
+    return found.join(sources.select("area_id", "ex_b"), "area_id").select(
+        "area_id", "node", F.round("dist", 4).alias("dist"), (F.col("node") == F.col("ex_b")).alias("closed_end")
+    )
+
+
+def ranked_nodes(edges):
+    """``area_id, src, k``: nodes of each area by their number of edges, the lowest key first."""
+    counts = edges.groupBy("area_id", "src").agg((-F.count("*")).alias("n"))
+    return top_per_group(counts, ["area_id"], [F.col("n"), F.col("src")], 2, "k")
+
+
+@topic.query(duck(f"""
+WITH RECURSIVE {GRAPH_SQL},
+hu AS (SELECT area_id, src AS goal FROM (SELECT area_id, src, row_number() OVER (PARTITION BY area_id ORDER BY count(*) DESC, src) AS k FROM eg GROUP BY 1, 2) WHERE k = 2),
+di(area_id, node, dist) USING KEY (area_id, node) AS (
+ SELECT area_id, goal, 0e0 FROM hu
+ UNION SELECT eg.area_id, eg.dst, min(d.dist + eg.len) FROM di d JOIN eg ON eg.area_id = d.area_id AND eg.src = d.node
+  LEFT JOIN recurring.di r ON r.area_id = eg.area_id AND r.node = eg.dst WHERE r.dist IS NULL OR d.dist + eg.len < r.dist GROUP BY 1, 2),
+nx AS (SELECT t.area_id, t.node, arg_min(f.node, (round(f.dist + eg.len, 7), f.node)) AS next FROM di t JOIN eg ON eg.area_id = t.area_id AND eg.dst = t.node JOIN di f ON f.area_id = eg.area_id AND f.node = eg.src
+  WHERE f.dist < t.dist GROUP BY 1, 2)
+SELECT di.area_id, di.node, round(dist, 4) AS dist, next FROM di LEFT JOIN nx USING (area_id, node)""", *VIEWS))
+def goal_routes(spark, sf_dir):
+    """Distance and next step from every node to its area's second-busiest node."""
+    _, edges = N.road_graph(grid_points(spark, sf_dir))
+    edges = cut_lineage(edges)
+    goals = ranked_nodes(edges).where("k = 2").select("area_id", F.lit("goal").alias("source"), F.col("src").alias("node"))
+    return N.routes_to_goal(edges, goals).select("area_id", "node", F.round("dist", 4).alias("dist"), "next")
+
+
+DENSE_SQL = """
+pt AS (SELECT area_id, way_id, idx, x / 16e0 AS x, z / 16e0 AS z, concat(lpad(cast(way_id AS varchar(20)), 12, '0'), '/', lpad(cast(idx AS varchar(20)), 8, '0')) AS ord FROM v_way_nodes),
+pl AS (SELECT area_id, x, z, min(ord) AS node FROM pt GROUP BY 1, 2, 3),
+lk AS (SELECT a.area_id, a.node AS a, b.node AS b FROM pl a JOIN pl b ON a.area_id = b.area_id AND a.node > b.node AND b.x BETWEEN a.x - 1.5 AND a.x + 1.5 AND b.z BETWEEN a.z - 1.5 AND a.z + 1.5
+  WHERE (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) < 2.25),
+su(area_id, node, open) USING KEY (area_id, node) AS (
+ SELECT area_id, node, true FROM pl WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.area_id = pl.area_id AND lk.a = pl.node)
+ UNION SELECT lk.area_id, lk.a, NOT coalesce(bool_or(r.open), false) FROM lk LEFT JOIN recurring.su r ON r.area_id = lk.area_id AND r.node = lk.b
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.su k WHERE k.area_id = lk.area_id AND k.node = lk.a) AND EXISTS (SELECT 1 FROM su)
+  GROUP BY 1, 2 HAVING coalesce(bool_or(r.open), false) OR count(r.node) = count(*))"""
+
+
+@topic.query(duck(f"WITH RECURSIVE {DENSE_SQL.strip()} SELECT su.area_id, su.node, {places_sql('x', 4)} AS x, {places_sql('z', 4)} AS z FROM su JOIN pl USING (area_id, node) WHERE open", "v_way_nodes"))
+def snapped_nodes(spark, sf_dir):
+    """Nodes of road points that lie within the snapping radius of many others."""
+    near = view(spark, sf_dir, "v_way_nodes").select(
+        "area_id", "way_id", "idx", (F.col("x") / 16.0).alias("x"), (F.col("z") / 16.0).alias("z"), F.lit(False).alias("tunnel")
+    )
+    nodes, _ = N.snapped_graph(near)
+    return nodes.select("area_id", "node", places(F.col("x"), 4).alias("x"), places(F.col("z"), 4).alias("z"))
