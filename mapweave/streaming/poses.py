@@ -33,15 +33,17 @@ def within_area(tiles: DataFrame, size: float = G.TILE_METRES) -> DataFrame:
 
 
 def tile_visits(poses: DataFrame, areas: DataFrame, delay: str = "12 hours") -> DataFrame:
-    """Each tile once per trace. The watermark delay must exceed the longest trace, as tiles are remembered that long.
+    """Each tile once per trace of an area. The watermark delay must exceed the longest trace, as tiles are remembered that long.
 
-    On a batch the same call removes duplicates without a watermark.
+    On a batch the same call needs no watermark: visits are counted first, and only the distinct tiles of an area are located.
     """
-    visited = within_area(pose_tiles(map_poses(poses, areas)))
-    key = ["trace_id", "tile_x", "tile_north"]
+    heading = G.heading_degrees(F.col("qx"), F.col("qy"), F.col("qz"), F.col("qw"))
+    key = ["area_id", "trace_id", "tile_x", "tile_north"]
     if poses.isStreaming:
+        visited = within_area(pose_tiles(poses.withColumn("heading", heading)).join(areas, "area_id"))
         visited = visited.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
-        return visited.select("area_id", *key, "ts", "tile_lon", "tile_lat")
-    return visited.groupBy("area_id", *key).agg(
-        F.min("ts").alias("ts"), F.first("tile_lon").alias("tile_lon"), F.first("tile_lat").alias("tile_lat")
-    )
+        return visited.select(*key, "ts", "tile_lon", "tile_lat")
+    first = pose_tiles(poses.withColumn("heading", heading)).groupBy(*key).agg(F.min("ts").alias("ts"))
+    tiles = first.select("area_id", "tile_x", "tile_north").distinct()
+    placed = within_area(tiles.join(areas, "area_id")).select("area_id", "tile_x", "tile_north", "tile_lon", "tile_lat")
+    return first.join(placed, ["area_id", "tile_x", "tile_north"]).select(*key, "ts", "tile_lon", "tile_lat")

@@ -91,3 +91,50 @@ def test_tile_stream_equals_batch(spark, tmp_path):
     batch = tile_visits(spark.createDataFrame(rows, schema), areas)
     key = ("tile_x", "tile_north")
     assert {tuple(r[k] for k in key) for r in live.collect()} == {tuple(r[k] for k in key) for r in batch.collect()}
+
+
+def drained(df, tmp_path, name):
+    """The rows and the number of state rows that are left."""
+    query = df.writeStream.format("memory").queryName(name).outputMode("append").option(
+        "checkpointLocation", str(tmp_path / f"{name}-checkpoint")
+    ).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    return df.sparkSession.table(name).collect(), [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def batches(spark, tmp_path, parts, schema, name):
+    """One file, and so one batch, for each part."""
+    folder = str(tmp_path / name)
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/part={number}")
+    files = spark.readStream.schema(f"{schema}, part int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
+    return files.drop("part")
+
+
+def test_idle_vehicles_are_forgotten_and_late_poses_told_of(spark, tmp_path):
+    safe = lambda area, seconds: (area, 1, at(seconds), 1.0, 1.0, True, 30.0, 1.0)
+    parts = [
+        [safe(1, 0.0), safe(1, 0.5), safe(2, 0.4)], [safe(1, 0.2)],  # late: area 1 is at 0.5 already
+        [safe(3, 7200.0)], [safe(3, 7201.0)],  # the watermark passes the idle time of areas 1 and 2
+        [safe(1, 7202.0)],  # 0.5 safe seconds of area 1 are forgotten: no safe point yet
+        [safe(1, 7202.5)], [safe(1, 7202.75)],
+    ]
+    schema = "area_id long, trace_id long, ts timestamp, upright double, height double, inside boolean, speed_kph double, throttle double"
+    rows, left = drained(vehicle_events(batches(spark, tmp_path, parts, schema, "idle"), "1 hour", 600.0), tmp_path, "idle_rows")
+    assert {(r.area_id, r.event, r.ts) for r in rows} == {(1, "late", at(0.2)), (3, "saved", at(7201.0)), (1, "saved", at(7202.75))}
+    assert max(left) > left[-1]
+
+
+def test_jobs_are_forgotten_and_late_events_told_of(spark, tmp_path):
+    parts = [[(1, at(10), 1, "queued", 0)], [(1, at(5), 0, "running", 1)], [(2, at(9000), 2, "queued", 0)], [(2, at(9001), 3, "running", 5)], [(1, at(9002), 4, "queued", 0)]]
+    feed = job_feed(batches(spark, tmp_path, parts, "job_id long, ts timestamp, event_id long, status string, progress int", "late_jobs"), "1 hour", 60.0)
+    rows, _ = drained(feed, tmp_path, "late_job_rows")
+    # The same status is told of again only because the job was forgotten in between.
+    assert {(r.event_id, r.late) for r in rows} == {(1, False), (0, True), (2, False), (3, False), (4, False)}
+
+
+def test_poses_without_a_course_are_told_of(spark, tmp_path):
+    rows = [(7, 1, at(t), 10.0 * t, 0.0, 90.0) for t in range(4)] + [(8, 1, at(t), 10.0 * t, 0.0, 90.0) for t in range(4)]
+    courses = spark.createDataFrame([(7, 1, [0.0, 400.0], [0.0, 0.0], [0.0, 400.0], [120.0, 400.0], 7.0)], "area_id long, trace_id long, xs array<double>, zs array<double>, ds array<double>, checkpoints array<double>, road_width double")
+    told = drain(follow_routes(stream(spark, tmp_path, rows, "area_id long, trace_id long, ts timestamp, x double, z double, heading double", "no_course"), courses), tmp_path, "no_course_rows")
+    assert {(r.area_id, r.progress is None): r["count"] for r in told.groupBy("area_id", "progress").count().groupBy("area_id", F.col("progress").isNull().alias("n")).agg(F.sum("count").alias("count")).select("area_id", F.when(F.col("n"), None).otherwise(1).alias("progress"), "count").collect()} == {(7, False): 4, (8, True): 4}
