@@ -95,14 +95,42 @@ def road_components(spark, sf_dir):
     return components(links)
 
 
-@topic.query()
+EASED_SQL = f"""{CLUSTER_SQL},
+rc AS (SELECT area_id, a AS node, a AS root FROM bo GROUP BY ALL UNION SELECT bo.area_id, bo.b, rc.root FROM rc JOIN bo ON bo.area_id = rc.area_id AND bo.a = rc.node AND rc.root < bo.b),
+lb AS (SELECT jk.area_id, junction, y, coalesce(r.root, junction) AS root FROM jk LEFT JOIN (SELECT area_id, node AS junction, min(root) AS root FROM rc GROUP BY 1, 2) r USING (area_id, junction)),
+lv AS (SELECT area_id, junction, avg(y) OVER (PARTITION BY area_id, root) AS level FROM lb),
+al AS (SELECT an.*, level FROM an JOIN lv USING (area_id, junction)),
+of AS (SELECT dl.area_id, dl.way_id, dl.idx, dl.y, al.idx AS ai, level, abs(dl.along - al.along) AS off, reach FROM dl LEFT JOIN al ON al.area_id = dl.area_id AND al.way_id = dl.way_id AND abs(dl.along - al.along) <= reach + 16),
+wt AS (SELECT *, off <= reach AS inside, greatest(0, 1 - (off - reach) / 16) AS t FROM of),
+pu AS (SELECT area_id, way_id, idx, any_value(y) AS y, arg_min(level, ai) FILTER (WHERE inside) AS flat, sum(t * t * (3 - 2 * t)) FILTER (WHERE NOT inside) AS w, sum(t * t * (3 - 2 * t) * level) FILTER (WHERE NOT inside) AS wl FROM wt GROUP BY 1, 2, 3)
+SELECT area_id, way_id, idx, {places_sql('CASE WHEN flat IS NOT NULL THEN flat WHEN w > 0 THEN y + (wl / w - y) * least(1, w) ELSE y END', 5)} AS y FROM pu"""
+
+
+def eased(points):
+    """Road heights of ``points`` after junction clusters are flattened and eased."""
+    points = cut_lineage(points)
+    found = cut_lineage(J.junctions(points))
+    anchored = J.anchors(points, found)
+    levels = J.cluster_heights(found, J.cluster_edges(anchored))
+    return J.ease_heights(points, anchored, levels).select("area_id", "way_id", "idx", places(F.col("y"), 5).alias("y"))
+
+
+@topic.query(duck(f"WITH RECURSIVE {EASED_SQL}", *VIEWS))
 def reconciled_roads(spark, sf_dir):
     """Road heights after junction clusters are flattened and eased."""
-    points, found, anchored = grid_anchors(spark, sf_dir)
-    levels = J.cluster_heights(found, J.cluster_edges(anchored))
-    return J.ease_heights(points, anchored, levels).select(
-        "area_id", "way_id", "idx", F.round("y", 6).alias("y")
-    )
+    return eased(grid_points(spark, sf_dir))
+
+
+# The same roads at three tenths of their size: junctions pull their neighbours, and wide ones form clusters.
+SMALL_SQL = EASED_SQL.replace("n.x, n.z, ", "n.x * 3 / 10e0 AS x, n.z * 3 / 10e0 AS z, ").replace(
+    "x * 10 AS kx, z * 10 AS kz", "cast(floor(x * 10 + 0.5) AS bigint) AS kx, cast(floor(z * 10 + 0.5) AS bigint) AS kz"
+)
+
+
+@topic.query(duck(f"WITH RECURSIVE {SMALL_SQL}", *VIEWS))
+def eased_roads(spark, sf_dir):
+    """Road heights where junctions stand close together."""
+    return eased(grid_points(spark, sf_dir).withColumns({c: F.col(c) * 3 / F.lit(10.0) for c in "xz"}))
 
 
 MEMBER_SQL = f"""{POINT_SQL},
