@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 TOPICS = (
-    "features", "lines", "elevation", "spatial", "registers", "plan", "network", "imagery", "traces", "terrain", "imports", "doors", "meshes",
+    "features", "lines", "elevation", "spatial", "registers", "plan", "network", "imagery", "traces", "terrain", "imports", "doors", "meshes", "details",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
