@@ -13,6 +13,7 @@ from mapweave.operators.ordered import hot_keys
 from mapweave.registry.catalog import Topic
 from mapweave.registry.features import BRIDGE_SQL, LAYER_SQL, TUNNEL_SQL
 from mapweave.registry.lines import DENSE_SQL, dense_points
+from mapweave.session import cut_lineage
 
 topic = Topic()
 
@@ -174,3 +175,22 @@ def dem_sample_text(spark, sf_dir):
     return merged.groupBy("area_id", (F.col("row") * 8 + F.col("area_id")).alias("vec_id")).agg(
         F.count("*").alias("cells"), F.count_if(F.col("height").isNull()).alias("missing")
     )
+
+
+@topic.query(duck(f"""
+WITH {FILL_CTES.strip()}
+SELECT fw.area_id, r AS row, c AS col, {places_sql('-75.01 + (-74.99 + 75.01) * c / (nc - 1)', 7)} AS lon, {places_sql('39.99 + (40.01 - 39.99) * r / (nr - 1)', 7)} AS lat, fw.height FROM fw JOIN hd USING (area_id)""", "v_dem"))
+def elevation_snapshot(spark, sf_dir):
+    """Positions and heights of each area's grid, from sample texts with gaps and texts that are no numbers."""
+    grid = cut_lineage(dem(spark, sf_dir))
+    bad = F.when(F.col("col") % 2 == 0, "NoData").when(F.col("col") % 3 == 0, "nan").otherwise("Infinity,1")
+    text = grid.select(
+        "area_id", (F.col("row") * 64 + F.col("col")).alias("idx"), F.coalesce(F.concat(F.col("height").cast("string"), F.lit(",0")), bad).alias("value"),
+    )
+    sides = (("west", -75.01), ("south", 39.99), ("east", -74.99), ("north", 40.01))
+    size = E.summary(grid).select("area_id", "rows", "columns", *[F.lit(v).alias(k) for k, v in sides])
+    merged = cut_lineage(E.merge_samples(E.lattice(size), text))
+    filled = E.rounded(E.fill_gaps(merged.select("area_id", "row", "col", "height")))
+    return merged.select("area_id", "row", "col", "lon", "lat").join(filled, ["area_id", "row", "col"]).select(
+        "area_id", "row", "col", places(F.col("lon"), 7).alias("lon"), places(F.col("lat"), 7).alias("lat"), "height"
+    )

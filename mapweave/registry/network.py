@@ -265,3 +265,18 @@ def snapped_nodes(spark, sf_dir):
     )
     nodes, _ = N.snapped_graph(near)
     return nodes.select("area_id", "node", places(F.col("x"), 4).alias("x"), places(F.col("z"), 4).alias("z"))
+
+
+# Courses that go to and fro across their direction, so that most have bends.
+BENT_SQL = """
+co AS (SELECT area_id, way_id AS course_id, idx, idx * 45 AS x, (way_id * idx * 7) % 4 * 30 AS z, 0e0 AS y FROM v_way_nodes),
+""" + COURSE_SQL.split("co AS", 1)[1].split("\n", 1)[1]
+
+
+@topic.query(duck(f"WITH {BENT_SQL.strip()} SELECT area_id, course_id, {places_sql('distance', 6)} AS distance FROM tn", "v_way_nodes"))
+def bent_turns(spark, sf_dir):
+    """Turns of courses with bends; those too near to the last one or to an end do not count."""
+    bent = view(spark, sf_dir, "v_way_nodes").select(
+        "area_id", F.col("way_id").alias("course_id"), "idx", (F.col("idx") * 45).alias("x"), (F.col("way_id") * F.col("idx") * 7 % 4 * 30).alias("z"), F.lit(0.0).alias("y")
+    )
+    return R.turns(bent).withColumn("distance", places(F.col("distance"), 6))

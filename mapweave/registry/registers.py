@@ -125,6 +125,15 @@ def orphaned_overrides(spark, sf_dir):
     )
 
 
+@topic.query(duck("""
+SELECT area_id, ordinal, target_id FROM v_overrides o WHERE NOT EXISTS (SELECT 1 FROM v_road_tags t WHERE t.area_id = o.area_id AND t.source_id = o.target_id AND t.way_id % 3 <> 0)""",
+    "v_overrides", "v_road_tags"))
+def lost_overrides(spark, sf_dir):
+    """Overrides that are left over when every third road is gone from the source."""
+    left = view(spark, sf_dir, "v_road_tags").where("way_id % 3 <> 0")
+    return S.orphaned(view(spark, sf_dir, "v_overrides"), left, "target_id", "source_id").select("area_id", "ordinal", "target_id")
+
+
 @topic.query(duck("""
 WITH d AS (SELECT job_id % 20 AS user_id, job_id, status, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM v_job_events GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, job_id, status) AS rank FROM d)
