@@ -14,6 +14,7 @@ from mapweave.operators.ordered import neighbors
 
 KEY = ["area_id", "layer", "kx", "kz"]
 # Footprint margin and easing length of a junction, in metres.
+INDEX_BITS = 24  # of a point's index in its road; ids have the other 39
 MARGIN = 4.0
 EASE = 16.0
 EASE_BAND = 32.0
@@ -31,15 +32,17 @@ def junctions(points: DataFrame, height: bool = True) -> DataFrame:
     combining aggregates: a key that many roads share costs one row per task.
     """
     end = (F.col("idx") == 0) | (F.col("idx") == F.col("count") - 1)
+    # One number ranks points by road and index, and columns are picked one by one, so the aggregate stays a hash aggregate.
+    rank = F.shiftleft(F.col("way_id").cast("long"), INDEX_BITS) + F.col("idx")
     found = keyed(points).groupBy(*KEY).agg(
-        F.min(F.struct("way_id", "idx", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))).alias("_first"),
+        *[F.min_by(F.col(c).cast("double"), rank).alias(c) for c in "xz"],
         *([F.avg("y").alias("y")] if height else []),
         (F.max("width") / 2.0).alias("radius"), F.min("way_id").alias("_lo"), F.max("way_id").alias("_hi"),
         F.count("*").alias("occurrences"), F.count_if(end).alias("endpoints"),
     )
     shared = F.col("_lo") != F.col("_hi")
     return found.where(shared | (F.col("endpoints") > 0)).select(
-        *KEY, junction_key().alias("junction"), F.col("_first.x").alias("x"), F.col("_first.z").alias("z"),
+        *KEY, junction_key().alias("junction"), "x", "z",
         *(["y"] if height else []), "radius", "occurrences", "endpoints", shared.alias("shared"),
         F.when(shared | (F.col("occurrences") > 1), "intersection").otherwise("end-cap").alias("kind"),
     )

@@ -16,7 +16,7 @@ from mapweave.operators.snapping import first_come_nodes
 from mapweave.session import cut_lineage
 
 SHORTEST_EDGE = 0.05
-HOPS = 4
+HOPS = 8
 PARTS_PER_CUT = 8
 
 
