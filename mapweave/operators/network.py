@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from mapweave.functions.text import half_up
 from mapweave.operators.chains import SAME, contract
 from mapweave.operators.grid import within_distance
+from mapweave.operators.junctions import INDEX_BITS
 from mapweave.operators.lines import gap
 from mapweave.operators.ordered import neighbors
 from mapweave.operators.snapping import first_come_nodes
 from mapweave.session import cut_lineage
 
 SHORTEST_EDGE = 0.05
-HOPS = 8
+HOPS = 4
 PARTS_PER_CUT = 8
 
 
@@ -39,18 +40,18 @@ def road_graph(points: DataFrame, block: DataFrame | None = None) -> tuple[DataF
     near = neighbors(keyed, ["area_id", "way_id"], "idx", ["node", *axes], after="_next", block=block)
     length = gap(F.col("x"), F.col("z"), F.col("_next.x"), F.col("_next.z"))
     parts = near.where(F.col("_next").isNotNull()).withColumn("length", length).where(F.col("length") >= SHORTEST_EDGE)
-    order = F.struct("way_id", "idx")
+    # One number ranks points by road and index, so both aggregates are hash aggregates.
+    order = F.shiftleft(F.col("way_id").cast("long"), INDEX_BITS) + F.col("idx")
     both = parts.select("area_id", order.alias("_o"), "length", F.explode(F.array(
         F.struct(F.col("node").alias("src"), F.col("_next.node").alias("dst")),
         F.struct(F.col("_next.node").alias("src"), F.col("node").alias("dst")),
     )).alias("_e")).select("area_id", "_o", "length", "_e.src", "_e.dst")
     edges = both.groupBy("area_id", "src", "dst").agg(F.min_by("length", "_o").alias("length"))
     ends = parts.select("area_id", F.explode(F.array(
-        F.struct("node", F.struct("way_id", "idx", F.lit(0).alias("end")).alias("o"), *axes),
-        F.struct(F.col("_next.node").alias("node"), F.struct("way_id", "idx", F.lit(1).alias("end")).alias("o"),
-                 *[F.col(f"_next.{a}").alias(a) for a in axes]),
+        F.struct("node", (order * 2).alias("o"), *axes),
+        F.struct(F.col("_next.node").alias("node"), (order * 2 + 1).alias("o"), *[F.col(f"_next.{a}").alias(a) for a in axes]),
     )).alias("_v")).select("area_id", "_v.*")
-    vertices = ends.groupBy("area_id", "node").agg(F.max_by(F.struct(*axes), "o").alias("_p")).select("area_id", "node", "_p.*")
+    vertices = ends.groupBy("area_id", "node").agg(*[F.max_by(a, "o").alias(a) for a in axes])
     return vertices, edges
 
 
